@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, language_model, mixing, quality, sharding, simhash, toxicity
+from . import decontaminate, embeddings, html_text, language_model, mixing, quality, secrets, sharding, simhash, toxicity
 from .sparkutil import table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratios = secrets.train(secrets.samples(spark, table(spark, sf_dir, "benchmark")))
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), ratios)
+    return found.select(
+        "doc_id", *(secrets.count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans")
+    )
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard(docs, 16).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -54,11 +62,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16().alias("fingerprint"), "component_id")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
     "op4_mixing": op4_mixing,
@@ -66,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_embeddings": op7_embeddings,
     "op8_simhash": op8_simhash,
+    "op9_html": op9_html,
     "op10_language_model": op10_language_model,
 }
 
