@@ -31,14 +31,17 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def cells(keys: DataFrame, key: str, member: str, block: int) -> DataFrame:
+def cells(keys: DataFrame, key: str, member: str, block: int, alone: bool = False) -> DataFrame:
     """Rows of keys(key, member, ...) dealt to cells (key, i, j) that hold at most about 2 * block rows.
 
-    A key with one row is left out: it has no pair. A key with up to block rows is the cell (0, 0). A larger one is
-    cut into pieces by a hash of the member, and each piece goes to its cells with all pieces, so every pair of members meets
-    in one cell: in (p, p) if both are of piece p, in (p, q) else. No row is dropped. Column piece names a row's own.
+    A key with up to block rows is the cell (0, 0). A larger one is cut into pieces by a hash of the member, and each piece
+    goes to its cells with all pieces, so every pair of members meets in one cell: in (p, p) if both are of piece
+    p, in (p, q) else. Column piece names a row's own. No row is dropped, but for the rows of keys with a single one, which
+    have no pair: without alone they are left out, which pays where rows are wide; with alone only the few large
+    keys are joined, and narrow rows go on as they are.
     """
-    sizes = keys.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key, F.ceil(F.col("_n") / block).cast("int").alias("_c"))
-    out = keys.join(sizes, key).withColumn("piece", F.expr(f"int(pmod(xxhash64({member}), _c))"))
+    sizes = keys.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > (block if alone else 1)).select(key, F.ceil(F.col("_n") / block).cast("int").alias("_c"))
+    out = keys.join(sizes, key, "left" if alone else "inner").withColumn("_c", F.coalesce("_c", F.lit(1)))
+    out = out.withColumn("piece", F.expr(f"int(pmod(xxhash64({member}), _c))"))
     cell = F.expr("transform(sequence(0, _c - 1), q -> struct(least(piece, q) AS i, greatest(piece, q) AS j))")
     return out.withColumn("_cell", F.explode(cell)).select("*", F.col("_cell.i").alias("i"), F.col("_cell.j").alias("j")).drop("_cell", "_c")

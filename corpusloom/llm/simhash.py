@@ -210,7 +210,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
 
     keys = distinct.select("fp").mapInArrow(explode, "key long, fp long")
-    dealt = cells(keys, "key", "fp", block)
+    dealt = cells(keys, "key", "fp", block, alone=True)
     parts = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
     return parts.select("key", "i", "j", "fp").mapInArrow(verify, "u long, v long").distinct()
 
