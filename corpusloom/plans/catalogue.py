@@ -1,10 +1,514 @@
-"""Named queries over the driver's tables, and their DuckDB SQL."""
+"""Named queries over the driver's tables, and their DuckDB SQL.
+
+Stand-ins for a crawl's own tables: pages are the fetched pages; events are a fetch log with user_id as the domain, type error as a
+failure and value in milliseconds.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import extract, urls
+from ..functions import text as tx
+from ..operators import dedup, frontier, graph, metrics, state
+from ..sources import store, web
+from . import crawl
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# URLs.
+
+_AUTH = "lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1))"
+_PATH = "regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)"
+#: The normal form for URLs as the pages have them: plain paths, and queries without encoded characters.
+_NORMAL = (
+    "regexp_extract(url, '^([a-zA-Z]+)://', 1) || '://' || " + _AUTH + " || CASE WHEN regexp_replace(" + _PATH + ", '/+$', '') = '' THEN '/' ELSE regexp_replace(" + _PATH + ", '/+$', '') END || "
+    "CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END"
+)
+_QUERY = (
+    "list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '=.') AND NOT regexp_extract(p, '^[^=]*') IN "
+    "('utm_source','utm_medium','utm_campaign','utm_term','utm_content','fbclid','gclid','ref','source','mc_cid','mc_eid'))"
+)
+_SCORE = (
+    "CASE WHEN lower({p}) IN ('', '/') THEN 100 WHEN regexp_matches(lower({p}), '/categor|/catalog|/topic') THEN 80 WHEN regexp_matches(lower({p}), '/product|/item|/p/|/article') THEN 60 "
+    "WHEN regexp_matches(lower({p}), '/blog|/news|/post') THEN 55 WHEN regexp_matches(url, 'page=\\d+|/page/\\d+') THEN 20 ELSE 40 END"
+).format(p=_PATH)
+_N = f"n AS (SELECT page_id, min(url) AS raw, {_NORMAL} AS url FROM (SELECT *, {_QUERY} AS q FROM pages) GROUP BY ALL)"
+
+
+@query(f"SELECT page_id, {_NORMAL} AS normal FROM (SELECT *, {_QUERY} AS q FROM pages)")
+def url_normalise(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", urls.normalise(F.col("url")).alias("normal"))
+
+
+@query(f"SELECT page_id, ({_SCORE})::INTEGER AS score FROM pages")
+def url_score(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", urls.score(F.col("url")).alias("score"))
+
+
+@query(f"SELECT page_id, {_AUTH} AS domain FROM pages")
+def url_domain(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", urls.domain(F.col("url")).alias("domain"))
+
+
+@query(f"SELECT page_id, regexp_extract(url, '^([a-zA-Z]+)://', 1) || '://' || {_AUTH} || '/en/9' AS link FROM pages")
+def url_resolve(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", urls.resolve(F.lit("/x/../en/9/#top"), F.col("url")).alias("link"))
+
+
+# Texts and hashes.
+
+
+@query("SELECT doc_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 4000) AS text FROM documents")
+def text_collapse(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", tx.collapse(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))::BIGINT AS n_tokens FROM documents")
+def token_counts(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.size(tx.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def content_hash(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"))
+
+
+_SIMHASH = """
+    t AS MATERIALIZED (SELECT doc_id, t, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS t FROM documents) GROUP BY ALL),
+    h AS MATERIALIZED (SELECT doc_id, c, ('0x' || substr(md5(t), 17, 16))::UBIGINT AS h FROM t),
+    v AS MATERIALIZED (SELECT doc_id, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN c ELSE -c END) AS s FROM h, (SELECT unnest(range(64))::UBIGINT AS b) GROUP BY ALL),
+    s AS MATERIALIZED (SELECT d.doc_id, coalesce(sum((1::UBIGINT << b)::HUGEINT) FILTER (s > 0), 0)::UBIGINT AS u FROM documents d LEFT JOIN v USING (doc_id) GROUP BY d.doc_id)"""
+_SIGNED = "CASE WHEN u >= 9223372036854775808 THEN (u::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE u::BIGINT END"
+
+
+@query(f"WITH {_SIMHASH} SELECT doc_id, {_SIGNED} AS simhash FROM s")
+def simhash64(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", tx.simhash("text").alias("simhash"))
+
+
+@query(f"WITH {_SIMHASH} SELECT doc_id, k AS band, ((u >> (8 * k)::UBIGINT) & 255)::BIGINT AS value FROM s, (SELECT unnest(range(8)) AS k)")
+def simhash_bands(spark, sf_dir):
+    marked = _table(spark, sf_dir, "documents").select("doc_id", tx.simhash("text").alias("s"))
+    return marked.select("doc_id", F.posexplode(tx.bands(F.col("s"))).alias("band", "value")).select("doc_id", F.col("band").cast("long"), "value")
+
+
+# Deduplication.
+
+
+@query(f"WITH {_SIMHASH}, r AS (SELECT u, min(doc_id) AS rep FROM s GROUP BY u) SELECT a.rep AS a, b.rep AS b, bit_count(xor(a.u, b.u))::INTEGER AS distance FROM r a JOIN r b ON a.rep < b.rep AND bit_count(xor(a.u, b.u)) <= 4")
+def near_pairs(spark, sf_dir):
+    """Pairs between representatives of equal simhashes; their members are in near_members."""
+    marked = _table(spark, sf_dir, "documents").select("doc_id", tx.simhash("text").alias("simhash"))
+    return dedup.near_pairs(dedup.representatives(marked))
+
+
+@query(f"WITH {_SIMHASH} SELECT doc_id, min(doc_id) OVER (PARTITION BY u) AS rep FROM s")
+def near_members(spark, sf_dir):
+    marked = _table(spark, sf_dir, "documents").select("doc_id", tx.simhash("text").alias("simhash"))
+    return marked.join(dedup.representatives(marked), "simhash").select("doc_id", "rep")
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AS first FROM documents")
+def exact_first(spark, sf_dir):
+    marked = _table(spark, sf_dir, "documents").select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"))
+    return dedup.exact(marked).select("doc_id", "first")
+
+
+@query(f"""
+    WITH RECURSIVE {_SIMHASH},
+    o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, u, sha256(text) AS x FROM s JOIN documents USING (doc_id)),
+    w AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS doc_id, '' AS reason, []::UBIGINT[] AS kept, []::VARCHAR[] AS texts UNION ALL
+          SELECT n, doc_id, reason, CASE WHEN reason = '' THEN list_append(kept, u) ELSE kept END, CASE WHEN reason = '' THEN list_append(texts, x) ELSE texts END FROM
+          (SELECT o.n, o.doc_id, o.u, o.x, w.kept, w.texts, CASE WHEN list_contains(w.texts, o.x) THEN 'exact' WHEN len(list_filter(w.kept, lambda k: bit_count(xor(k, o.u)) <= 4)) > 0 THEN 'near' ELSE '' END AS reason
+           FROM w JOIN o ON o.n = w.n + 1))
+    SELECT doc_id, reason <> '' AS is_dup, reason FROM w WHERE n > 0""")
+def dedup_cascade(spark, sf_dir):
+    return dedup.cascade(_table(spark, sf_dir, "documents"))
+
+
+_NEAREST = 0.3
+
+
+@query(f"""
+    WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
+    SELECT query_id, arg_min(vec_id, (-s, vec_id)) AS vec_id, round(max(s), 6) AS score FROM p GROUP BY query_id HAVING max(s) >= {_NEAREST}""")
+def semantic_nearest(spark, sf_dir):
+    """Queries are the rows whose id is divisible by 20, against all rows."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return dedup.nearest(vectors.where("vec_id % 20 = 0"), vectors, _NEAREST).withColumn("score", F.round("score", 6))
+
+
+# Extraction.
+
+_ENTITIES = "replace(regexp_replace(replace({}, '&quot;', '\"'), '&amp;?', '&', 'g'), '&middot;', '·')"
+_TEXT = (
+    "trim(regexp_replace(" + _ENTITIES.format("regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<!--.*?-->', ' ', 'g'), "
+    "'(?s)<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>|<aside.*?</aside>|<header.*?</header>', ' ', 'g'), '<[^>]*>', ' ', 'g')") + ", '\\s+', ' ', 'g'))"
+)
+_LINKS = f"l AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z]+)://', 1) || '://' || {_AUTH} || u AS dst FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS u FROM pages))"
+
+
+@query(f"SELECT page_id, trim({_ENTITIES.format(chr(39).join(['regexp_extract(html, ', '<title>([^<]*)', ', 1)']))}) AS title FROM pages")
+def html_title(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", extract.parsed(F.col("html"))["title"].alias("title"))
+
+
+@query(f"SELECT page_id, substr({_TEXT}, 1, 4000) AS text FROM pages")
+def html_base_text(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", extract.parsed(F.col("html"))["text"].alias("text"))
+
+
+@query("SELECT page_id, length(html) < 3000 OR regexp_matches(substr(html, 1, 5000), '(?i)(data-reactroot|__NEXT_DATA__|ng-version|vue-app|<app-root|window\\.__STATE__|__nuxt__|_sveltekit)') AS needs_js FROM pages")
+def html_needs_js(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", extract.needs_js(F.col("html")).alias("needs_js"))
+
+
+@query("SELECT page_id, regexp_matches(html, 'g-recaptcha|cf-challenge-running|challenge-form|data-hcaptcha-widget-id') AS captcha FROM pages")
+def html_captcha(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", extract.captcha(F.col("html")).alias("captcha"))
+
+
+@query("SELECT page_id, count(*)::BIGINT AS n_links FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS u FROM pages) GROUP BY page_id")
+def html_links(spark, sf_dir):
+    """With links inside navigation, as all of the pages' are."""
+    got = extract.extract(_table(spark, sf_dir, "pages"), keep_noise_links=True)
+    return got.where(F.size("content.links") > 0).select("page_id", F.size("content.links").cast("long").alias("n_links"))
+
+
+@query()
+def page_content(spark, sf_dir):
+    c = extract.extract(_table(spark, sf_dir, "pages")).withColumn("key", web.page_key(F.col("content.canonical"), F.col("url")))
+    return c.select("page_id", "key", *(F.col(f"content.{x}").alias(x) for x in ("title", "author", "date", "language", "article")), F.to_json("content.entities").alias("entities"), F.to_json("content.schema_org").alias("schema_org"))
+
+
+@query()
+def language_detect(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", extract.detect_language(F.col("text")).alias("language"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de')")
+def lang_filter(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").where(extract.in_scope(F.col("lang"), ("en", "de"))).select("doc_id", "lang")
+
+
+@query("SELECT coalesce(nullif(lang, ''), 'unknown') AS label, count(*)::BIGINT AS n FROM documents GROUP BY 1")
+def lang_counts(spark, sf_dir):
+    return metrics.totals(_table(spark, sf_dir, "documents"), "lang")
+
+
+# The frontier.
+
+
+def _pending(spark, sf_dir):
+    return frontier.admit(_table(spark, sf_dir, "pages"), seq="page_id")
+
+
+_PENDING = f"{_N}, pend AS (SELECT url, {_AUTH} AS domain, ({_SCORE})::INTEGER AS priority, min(page_id)::BIGINT AS seq FROM n GROUP BY url)"
+
+
+@query(f"WITH {_PENDING} SELECT url, domain, priority, seq FROM pend")
+def frontier_admit(spark, sf_dir):
+    return _pending(spark, sf_dir)
+
+
+@query(f"WITH {_PENDING} SELECT url, domain, priority, seq FROM pend ORDER BY priority DESC, url LIMIT 20")
+def frontier_topk(spark, sf_dir):
+    """The 20 urls of a pop."""
+    return frontier.top(_pending(spark, sf_dir))
+
+
+@query(f"""WITH {_PENDING}, q AS (SELECT domain, greatest(1, least(5, round_even(5 * count(*) / (SELECT count(*) FROM pend), 0))) AS quota FROM pend GROUP BY domain),
+    r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY seq, url) AS k FROM pend) SELECT url, domain, priority, seq FROM r JOIN q USING (domain) WHERE k <= quota""")
+def frontier_fair(spark, sf_dir):
+    """The urls of one tick."""
+    return frontier.fair(_pending(spark, sf_dir))
+
+
+@query(f"WITH {_PENDING}, r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY priority DESC, url) AS k FROM pend) SELECT url, domain, priority, seq FROM r WHERE k <= 2")
+def domain_budget(spark, sf_dir):
+    """Urls within a budget of 2 a domain."""
+    return frontier.within_budget(_pending(spark, sf_dir), default=2)
+
+
+@query(f"WITH {_PENDING}, c AS (SELECT domain, count(*) AS used FROM pend GROUP BY domain) SELECT domain, 3::BIGINT AS budget, used::BIGINT AS used, greatest(0, 3 - used)::BIGINT AS remaining FROM c")
+def budget_stats(spark, sf_dir):
+    return frontier.budget_stats(_pending(spark, sf_dir), default=3)
+
+
+@query(f"WITH {_PENDING} SELECT url FROM pend WHERE url NOT IN (SELECT url FROM pend WHERE seq % 3 = 0)")
+def resume_pending(spark, sf_dir):
+    pending = _pending(spark, sf_dir)
+    return frontier.resume(pending.select("url"), pending.where("seq % 3 = 0"))
+
+
+@query(f"WITH {_PENDING} SELECT count(*)::BIGINT AS pending, count(DISTINCT url)::BIGINT AS seen FROM pend")
+def frontier_counts(spark, sf_dir):
+    pending = _pending(spark, sf_dir)
+    return frontier.counts(pending, pending)
+
+
+@query(f"SELECT page_id FROM pages WHERE {_AUTH} IN (SELECT {_AUTH} FROM pages WHERE page_id < 3)")
+def scope_filter(spark, sf_dir):
+    """Pages of the domains of the first three, which are the seeds."""
+    pages = _table(spark, sf_dir, "pages")
+    return frontier.scope(pages, pages.where("page_id < 3").select("url")).select("page_id")
+
+
+# The link graph.
+
+
+def _edges(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).union(
+        _table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey"))
+    )
+
+
+_RANKS = (
+    "e AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_linenumber = 1)), "
+    "nodes AS MATERIALIZED (SELECT src AS url FROM e UNION SELECT dst FROM e), deg AS MATERIALIZED (SELECT src, count(*) AS d FROM e GROUP BY src), n AS (SELECT count(*) AS n FROM nodes), r0 AS MATERIALIZED (SELECT url, 1.0::DOUBLE / n AS pr FROM nodes, n), "
+    + ", ".join(
+        f"r{k} AS MATERIALIZED (SELECT nodes.url, 0.15::DOUBLE / (SELECT n FROM n) + 0.85::DOUBLE * coalesce(g.got, 0) AS pr FROM nodes LEFT JOIN "
+        f"(SELECT e.dst, sum(r.pr / deg.d) AS got FROM e JOIN deg USING (src) JOIN r{k - 1} r ON r.url = e.src GROUP BY e.dst) g ON g.dst = nodes.url)"
+        for k in range(1, 21)
+    )
+)
+
+
+@query(f"WITH {_RANKS} SELECT url, round(pr / (SELECT max(pr) FROM r20) * 100, 5) AS score FROM r20")
+def pagerank(spark, sf_dir):
+    return graph.pagerank(_edges(spark, sf_dir)).withColumn("score", F.round("score", 5))
+
+
+@query(f"WITH {_RANKS} SELECT url, least(200, 40 + floor(round(pr / (SELECT max(pr) FROM r20) * 100, 5) * 0.5))::INTEGER AS priority FROM r20")
+def boosted_priority(spark, sf_dir):
+    ranks = graph.pagerank(_edges(spark, sf_dir))
+    return ranks.select("url", frontier.boost(F.lit(40), F.round("score", 5)).alias("priority"))
+
+
+@query("SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem")
+def links_ignore(spark, sf_dir):
+    """Insert-ignore of edges into an empty table."""
+    edges = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+    return store.insert_ignore(None, edges, ["src", "dst"])
+
+
+# Storage.
+
+
+def _writes(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("url"), F.col("event_type").alias("title"), F.col("value").alias("etag"), F.col("event_id").alias("seq"))
+
+
+@query("SELECT 'u' || user_id AS url, arg_max(event_type, event_id) AS title, arg_min(value, event_id) AS etag FROM events GROUP BY user_id")
+def upsert_pg(spark, sf_dir):
+    """title is updated; etag keeps its first value."""
+    return store.upsert(None, _writes(spark, sf_dir))
+
+
+@query("SELECT 'u' || user_id AS url, arg_max(event_type, event_id) AS title, arg_max(value, event_id) AS etag FROM events GROUP BY user_id")
+def upsert_replace(spark, sf_dir):
+    return store.replace(None, _writes(spark, sf_dir))
+
+
+@query("SELECT 'u' || user_id AS url, min(event_id) AS seen FROM events WHERE event_id % 2 = 1 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 50 = 0) GROUP BY user_id")
+def done_ignore(spark, sf_dir):
+    """Insert-ignore of completions: the first of each url, without those already done."""
+    events = _table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("url"), F.col("event_id").alias("seen"))
+    return store.insert_ignore(events.where("seen % 50 = 0"), events.where("seen % 2 = 1"), ["url"])
+
+
+@query("SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'fetched' END AS event, 'u' || user_id AS url, printf('status=%d ms=%.0f', CASE WHEN event_type = 'error' THEN 500 ELSE 200 END, round_even(value, 0)) AS detail, event_id::DOUBLE + 1 AS ts FROM events")
+def wal_events(spark, sf_dir):
+    """Log lines written as JSON text and read back."""
+    failed = F.col("event_type") == "error"
+    events = _table(spark, sf_dir, "events").select(
+        F.when(failed, "error").otherwise("fetched").alias("event"), F.concat(F.lit("u"), "user_id").alias("url"),
+        store.fetched_detail(F.when(failed, 500).otherwise(200), F.bround("value", 0)).alias("detail"), (F.col("event_id").cast("double") + 1).alias("ts"),
+    )
+    lines = store.wal(events).select(F.to_json(F.struct("*")).alias("line"))
+    return lines.select(F.from_json("line", store.WAL_SCHEMA).alias("r")).select("r.*")
+
+
+@query("SELECT term, doc_id AS key, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents) GROUP BY ALL")
+def inverted_index(spark, sf_dir):
+    return store.inverted_index(_table(spark, sf_dir, "documents"), "doc_id", ("text",))
+
+
+@query("""WITH i AS (SELECT term, doc_id AS key, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents) WHERE term IN ('license', 'copyright') GROUP BY ALL)
+    SELECT key, round(sum(tf * ln(1 + 1000.0::DOUBLE / df)), 6) AS score FROM i JOIN (SELECT term, count(*) AS df FROM i GROUP BY term) USING (term) GROUP BY key""")
+def search_terms(spark, sf_dir):
+    index = store.inverted_index(_table(spark, sf_dir, "documents"), "doc_id", ("text",))
+    return store.search(index, ["License", "copyright"], 1000).withColumn("score", F.round("score", 6))
+
+
+@query()
+def search_documents(spark, sf_dir):
+    c = F.col("content")
+    pages = extract.extract(_table(spark, sf_dir, "pages")).select("url", *(c[x].alias(x) for x in ("title", "text", "article", "author", "date", "language", "entities", "schema_org")), F.lit("2024-01-01").alias("scraped_at"))
+    return store.search_documents(pages)
+
+
+@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'If-None-Match' WHEN page_id % 5 = 1 THEN 'If-Modified-Since' ELSE '' END AS header, CASE WHEN page_id % 5 = 0 THEN 'e' || page_id WHEN page_id % 5 = 1 THEN 'm' || page_id ELSE '' END AS value FROM pages")
+def conditional_request(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    known = pages.select("url", F.when(F.expr("page_id % 5 = 0"), F.concat(F.lit("e"), "page_id")).otherwise("").alias("etag"), F.when(F.expr("page_id % 5 < 2"), F.concat(F.lit("m"), "page_id")).alias("last_modified"))
+    return web.conditional(pages, known).select("page_id", "header", "value")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 = 3 THEN 'not_modified' WHEN page_id % 4 = 0 THEN 'html' ELSE 'rejected' END AS verdict FROM pages")
+def accept_response(spark, sf_dir):
+    kind = F.expr("page_id % 4")
+    got = _table(spark, sf_dir, "pages").select("page_id", F.when(kind == 2, 404).when(kind == 3, 304).otherwise(200).alias("status"), F.when(kind == 1, "application/pdf").otherwise("Text/HTML ; charset=utf-8").alias("content_type"), "html")
+    return web.accept(got).select("page_id", "verdict")
+
+
+@query(f"SELECT page_id, NOT (regexp_matches({_PATH}, '^/en/') AND NOT regexp_matches({_PATH}, '^/en/1')) AS allowed, 2.5::DOUBLE AS crawl_delay FROM pages")
+def robots_rules(spark, sf_dir):
+    """One file of rules for every origin."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    body = "User-agent: x\nDisallow: /\n\nUser-agent: *\nAllow: /en/1\nDisallow: /en/\nCrawl-delay: 2.5\n"
+    robots = pages.select(F.lower(F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]*)", 1)).alias("origin"), F.lit(200).alias("status"), F.lit(body).alias("body")).distinct()
+    return web.robots_allowed(pages, robots).select("page_id", "allowed", "crawl_delay")
+
+
+@query(f"WITH {_N} SELECT DISTINCT {_AUTH} AS root, url FROM n")
+def sitemap_scan(spark, sf_dir):
+    """An index for each domain, over a file that lists its pages."""
+    pages = _table(spark, sf_dir, "pages").select(urls.domain(F.col("url")).alias("d"), F.replace("url", F.lit("&"), F.lit("&amp;")).alias("u"))
+    head = F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">')
+    lists = pages.groupBy("d").agg(F.concat(head, F.concat_ws("", F.collect_list(F.concat(F.lit("<url><loc>"), "u", F.lit("</loc></url>")))), F.lit("</urlset>")).alias("body")).select(F.concat("d", F.lit("/list")).alias("url"), "body")
+    index = pages.select("d").distinct().select(F.col("d").alias("url"), F.concat(F.lit("<sitemapindex><sitemap><loc>"), "d", F.lit("/list</loc></sitemap></sitemapindex>")).alias("body"))
+    files = lists.unionByName(index).withColumn("status", F.lit(200))
+    return web.sitemap_urls(index.select("url"), files)
+
+
+# Metrics and state.
+
+_TS = "strftime(time_bucket(INTERVAL '1 minute', ts), '%Y-%m-%d %H:%M:%S')"
+
+
+@query(f"SELECT {_TS} AS window_start, event_type AS label, count(*) / 60.0::DOUBLE AS rate FROM events GROUP BY ALL")
+def rate_1m(spark, sf_dir):
+    return metrics.rate(_table(spark, sf_dir, "events"), "ts", "event_type").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"SELECT {_TS} AS window_start, 'u' || user_id AS label, count(*) / 60.0::DOUBLE AS rate FROM events WHERE event_type = 'error' GROUP BY ALL")
+def error_rate(spark, sf_dir):
+    errors = _table(spark, sf_dir, "events").where("event_type = 'error'").withColumn("reason", F.concat(F.lit("u"), "user_id"))
+    return metrics.rate(errors, "ts", "reason").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) / 60.0::DOUBLE AS rate FROM events")
+def trailing_rate(spark, sf_dir):
+    return metrics.trailing_rate(_table(spark, sf_dir, "events"), "ts", "event_type").select("event_id", "rate")
+
+
+@query("SELECT event_type AS label, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def by_label(spark, sf_dir):
+    return metrics.totals(_table(spark, sf_dir, "events"), "event_type")
+
+
+@query("SELECT count(*)::BIGINT AS n FROM events")
+def total_pages(spark, sf_dir):
+    return _table(spark, sf_dir, "events").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type AS label, arg_max(value, (ts, value)) AS value FROM events GROUP BY 1")
+def gauge_last(spark, sf_dir):
+    return metrics.gauge(_table(spark, sf_dir, "events"), "ts", "value", "event_type")
+
+
+_LE = "[" + ", ".join(f"{b}::DOUBLE" for b in metrics.FETCH_MS) + ", 'inf'::DOUBLE]"
+_HIST = f"hb AS MATERIALIZED (SELECT event_type, le, count(*) FILTER (value <= le)::BIGINT AS cumulative FROM events, (SELECT unnest({_LE}) AS le) WHERE value IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"WITH {_HIST} SELECT * FROM hb")
+def hist_buckets(spark, sf_dir):
+    return metrics.histogram(_table(spark, sf_dir, "events"), "value", by=[F.col("event_type")])
+
+
+@query(
+    f"""WITH {_HIST}, st AS (SELECT *, coalesce(lag(le) OVER o, 0) AS low, coalesce(lag(cumulative) OVER o, 0) AS bef, max(cumulative) OVER (PARTITION BY event_type) AS tot FROM hb WINDOW o AS (PARTITION BY event_type ORDER BY le)),
+    qq AS (SELECT unnest([0.5::DOUBLE, 0.95::DOUBLE, 0.99::DOUBLE]) AS q), f AS (SELECT event_type, q, min(le) AS le FROM st, qq WHERE cumulative >= q * tot GROUP BY ALL)
+    SELECT event_type, q, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (q * tot - bef) / (cumulative - bef) END, 6) AS value FROM f JOIN st USING (event_type, le)"""
+)
+def hist_quantile(spark, sf_dir):
+    buckets = metrics.histogram(_table(spark, sf_dir, "events"), "value", by=[F.col("event_type")])
+    out = [metrics.quantile(buckets, q, ["event_type"]) for q in (0.5, 0.95, 0.99)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT event_type AS stage, count(*)::BIGINT AS n, round(sum(value), 3) AS total_ms, round(avg(value), 6) AS mean_ms, max(value) AS max_ms FROM events GROUP BY 1")
+def trace_spans(spark, sf_dir):
+    return metrics.spans(_table(spark, sf_dir, "events"), "event_type", "value").withColumn("total_ms", F.round("total_ms", 3)).withColumn("mean_ms", F.round("mean_ms", 6))
+
+
+def _log(spark, sf_dir):
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return _table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("u"), F.expr("user_id % 20")).alias("domain"), seconds.alias("arrival"), F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "view", "success").otherwise("other").alias("outcome"))
+
+
+@query("""WITH a AS (SELECT event_id, 'u' || (user_id % 20) AS domain, epoch_us(ts) / 1000000.0::DOUBLE AS arrival FROM events),
+    i AS (SELECT *, (row_number() OVER (PARTITION BY domain ORDER BY arrival, event_id) - 1)::DOUBLE AS i FROM a)
+    SELECT event_id, round(max(arrival - i * 1.5::DOUBLE) OVER (PARTITION BY domain ORDER BY arrival, event_id ROWS UNBOUNDED PRECEDING) + i * 1.5::DOUBLE, 3) AS start FROM i""")
+def rate_schedule(spark, sf_dir):
+    return state.schedule(_log(spark, sf_dir)).select("event_id", F.round("start", 3).alias("start"))
+
+
+_BREAK = """WITH RECURSIVE a AS MATERIALIZED (SELECT event_id, 'u' || (user_id % 20) AS domain, epoch_us(ts) / 1000000.0::DOUBLE AS t, event_type AS e, row_number() OVER (PARTITION BY user_id % 20 ORDER BY epoch_us(ts), event_id) AS k FROM events),
+    w AS (SELECT domain, 0::BIGINT AS k, NULL::BIGINT AS event_id, 0.0::DOUBLE AS t, true AS allowed, 0 AS failures, 0.0::DOUBLE AS until FROM (SELECT DISTINCT domain FROM a) UNION ALL
+      SELECT a.domain, a.k, a.event_id, a.t, NOT a.t < w.until,
+        CASE WHEN a.t < w.until THEN w.failures WHEN e = 'view' THEN 0 WHEN e = 'error' THEN w.failures + 1 ELSE w.failures END,
+        CASE WHEN a.t < w.until THEN w.until WHEN e = 'error' AND w.failures + 1 >= 3 THEN a.t + 20000.0 ELSE 0 END
+      FROM w JOIN a ON a.domain = w.domain AND a.k = w.k + 1)"""
+
+
+@query(_BREAK + " SELECT domain, event_id, allowed, failures::INTEGER AS failures FROM w WHERE k > 0")
+def circuit_breaker(spark, sf_dir):
+    """Three failures block a domain for 20,000 s: the log is thin."""
+    return state.breaker(_log(spark, sf_dir), ts="arrival", threshold=3, cooldown=20000.0).select("domain", "event_id", "allowed", "failures")
+
+
+@query(_BREAK + " SELECT domain, arg_max(failures, k)::INTEGER AS failures, arg_max(until, k) > 0 AS open, sum((allowed AND until > 0)::INTEGER)::BIGINT AS trips FROM w WHERE k > 0 GROUP BY domain")
+def trips_by_domain(spark, sf_dir):
+    return state.breaker_stats(state.breaker(_log(spark, sf_dir), ts="arrival", threshold=3, cooldown=20000.0))
+
+
+# The whole path.
+
+
+@query()
+def process_pages(spark, sf_dir):
+    return crawl.process(_table(spark, sf_dir, "pages")).select("page_id", "key", "status", F.col("content.language").alias("language"))
+
+
+@query()
+def crawl_rounds(spark, sf_dir):
+    """A crawl from the first pages' urls: what it stores, with kinds of verdicts counted."""
+    pages = _table(spark, sf_dir, "pages")
+    first = [r["url"] for r in pages.where("page_id < 25").select("url").collect()]
+    got = crawl.crawl(spark, first, pages, crawl.Settings(keep_noise_links=True, rounds=2, max_pages=1000))
+    return got["kinds"]
