@@ -87,7 +87,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: CRC-32 of a text's UTF-8 bytes, in a query that has the tables crc_t (of the 256 byte steps) at hand.
+_CRC_TABLE = "crc_t AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS t)"
+_CRC = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode({x}))), lambda i: ('0x' || substr(hex({x}), 2 * i + 1, 2))::BIGINT)), "
+    "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+)
+
+_BLOCKS = "string_split_regex(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?b>', '', 'g'), '</?(?:p|h1|br)>')"
+_PLAIN = "trim(regexp_replace(regexp_replace(replace(b, '&quot;', '\"'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_sharding": f"""
+        WITH {_CRC_TABLE}, d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(doc_id, 0) AS k FROM documents),
+        h AS MATERIALIZED (SELECT d.*, octet_length(encode(text)) + 1 AS size, {sharding.jump_sql("k", 16)} AS shard, {sharding.jump_sql("k", 17)} AS grown,
+                           ('0x' || substr(md5(k::VARCHAR), 1, 4))::INTEGER % 256 AS piece, {_CRC.format(x="text")} AS crc FROM d, crc_t)
+        SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY piece, k, size, crc) - 1 AS slot, grown AS grown_shard FROM h""",
+    "op7_embeddings": """
+        WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+        r AS (SELECT vec_id, vec_id AS low FROM v UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.vec_id),
+        c AS (SELECT vec_id, min(low) AS component_id FROM r GROUP BY vec_id)
+        SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c""",
+    "op9_html": f"""
+        WITH t AS (SELECT page_id, url, array_to_string(list_filter(list_transform({_BLOCKS}, lambda b: {_PLAIN}), lambda b: b <> ''), chr(10)) AS text FROM pages)
+        SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t""",
+    "op10_language_model": f"""
+        WITH {_CRC_TABLE}, d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_CRC.format(x="coalesce(doc_id::VARCHAR, '')")} % 7 = 2 AS held_out,
+                 list_append(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+'), '<end>') AS w FROM documents, crc_t),
+        k AS MATERIALIZED (SELECT r, held_out, i, w[i] AS w, CASE WHEN i = 1 THEN '<start>' ELSE w[i - 1] END AS h, CASE WHEN i = len(w) THEN 1 ELSE 0 END AS last, CASE WHEN i = 1 THEN 1 ELSE 0 END AS first FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)),
+        u AS MATERIALIZED (SELECT w, last, count(*) AS c FROM k WHERE NOT held_out GROUP BY ALL), b AS MATERIALIZED (SELECT h, first, w, last, count(*) AS c FROM k WHERE NOT held_out GROUP BY ALL),
+        x AS MATERIALIZED (SELECT h, first, sum(c) AS c FROM b GROUP BY ALL), n AS (SELECT sum(c) AS n, count(*) AS v FROM u),
+        p AS (SELECT k.r, coalesce(u.c, 0) AS c, (coalesce(u.c, 0) + 1)::DOUBLE / (n.n + n.v + 1)::DOUBLE AS p, coalesce(b.c, 0) AS bc, coalesce(x.c, 0) AS xc
+              FROM k CROSS JOIN n LEFT JOIN u USING (w, last) LEFT JOIN b USING (h, first, w, last) LEFT JOIN x USING (h, first)),
+        s AS (SELECT r, count(*)::BIGINT AS n_tokens, count(*) FILTER (c > 0)::BIGINT AS n_known, sum(log10(p)) AS base, sum(log10((bc + {language_model.MU}::DOUBLE * p) / (xc + {language_model.MU}::DOUBLE))) AS score FROM p GROUP BY r)
+        SELECT doc_id, held_out, n_tokens, n_known, (SELECT n FROM n)::BIGINT AS train_tokens, round(base, 6) AS base_score, round(score, 6) AS score FROM d JOIN s USING (r)""",
     "op3_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORDS}') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORDS}') AS w FROM benchmark),
