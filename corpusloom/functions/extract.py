@@ -215,7 +215,7 @@ ENTITY_PATTERNS = (
 def entities(text: Column) -> Column:
     """Map of label to ordered distinct mentions in the first 5000 characters; labels without any are left out. Default: patterns."""
     head = F.substring(F.coalesce(text, F.lit("")), 1, ENTITY_PREFIX)
-    found = F.array(*(F.struct(F.lit(label), F.array_distinct(F.transform(F.regexp_extract_all(head, F.lit(p), F.lit(0)), F.trim))) for label, p in ENTITY_PATTERNS))
+    found = F.array(*(F.struct(F.lit(label), F.array_distinct(F.transform(F.regexp_extract_all(head, F.lit(p), F.lit(0)), lambda m: F.trim(m)))) for label, p in ENTITY_PATTERNS))
     return F.map_from_entries(F.filter(found, lambda e: F.size(e["col2"]) > 0))
 
 
