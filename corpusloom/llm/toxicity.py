@@ -1,7 +1,7 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams of NGRAMS characters, with marks at both ends; each n-gram, hashed to one of BUCKETS, has a
-vector; a word is the mean of its n-grams' vectors, a passage of about PASSAGE words the mean of its words', and two
+vector; a word is the mean of its n-grams' vectors, a passage of about PASSAGE words the mean of its words' (repeated ones once), and two
 linear units with a softmax score it. A misspelling shares most n-grams with its word. A document is as toxic as its
 worst passage, so a few words are not diluted by a long text. Embeddings and softmax are learnt together from labels of
 documents: at first each passage has its document's label; then the passages that the model itself finds worst stand for
@@ -29,7 +29,7 @@ from .arrowtext import column_of, mix
 from .samples import labelled, remainder, texts_of
 
 NGRAMS = (3, 4, 5)
-BUCKETS = 1 << 17
+BUCKETS = 1 << 20
 DIM = 8
 PASSAGE = 40
 ROWS = 1500
@@ -38,11 +38,18 @@ EPOCHS = 8
 SEED = 6
 #: Averages are multiplied by this before the softmax: one word in a passage of PASSAGE has to be able to decide.
 SCALE = 40.0
-#: Share of the training texts that an n-gram has to be in (and two at least); share by which parameters shrink at each step.
-LEAST_SHARE = 0.004
+#: Share of the toxic training texts that an n-gram has to be in (and three at least); share by which parameters shrink at each step.
+LEAST_SHARE = 0.02
 DECAY = 2e-3
 #: Weight of the toxic class in training.
 TOXIC_SHARE = 0.2
+#: A passage counts as having so many distinct words at least.
+LEAST_WORDS = 12
+#: Share of the sample that is kept for calibration, and the weight of its clean rows there.
+CALIBRATION = 0.2
+CLEAN_WEIGHT = 1.0
+#: Steps of training at least, whatever the number of epochs.
+STEPS = 600
 CHUNK = 1 << 18
 
 _CORE = np.zeros(128, dtype=bool)
@@ -50,7 +57,7 @@ _CORE[48:58] = _CORE[65:91] = _CORE[97:123] = True
 
 
 def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text of each word, hash of each word, word of each n-gram, bucket of each n-gram)."""
+    """(text of each word, hash of its spelling, word of each n-gram, bucket of each n-gram)."""
     joined = "\n\n" + "\n\n".join(t.lower() for t in texts) + "\n\n"
     chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     core = np.ones(len(chars), dtype=bool)
@@ -65,6 +72,9 @@ def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     word = np.cumsum(np.concatenate([[False], inside[1:] & ~inside[:-1]])) - 1
     lengths = np.array([len(t.lower()) + 2 for t in texts], dtype=np.int64)
     text = np.searchsorted(np.cumsum(lengths) + 2, first, side="right")
+    place = np.arange(len(codes)) - (first[np.maximum(word, 0)] if len(first) else 0)
+    letters = np.where(inside, mix(codes * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)), np.uint64(0))
+    spelled = np.add.reduceat(letters, first) if len(first) else np.zeros(0, dtype=np.uint64)
     words, buckets = [], []
     for n in NGRAMS:
         if len(codes) < n:
@@ -78,7 +88,7 @@ def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         at = np.flatnonzero(whole)
         words.append(word[at + 1])
         buckets.append((mix(h[at] + np.uint64(n)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32))
-    return text, first, np.concatenate(words), np.concatenate(buckets)
+    return text, spelled, np.concatenate(words), np.concatenate(buckets)
 
 
 def cut_passages(text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,22 +99,57 @@ def cut_passages(text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray
     return (np.cumsum(parts) - parts)[text] + k * parts[text] // np.maximum(n[text], 1), np.repeat(np.arange(n_texts), parts)
 
 
+def passages(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """(distinct words of each passage, LEAST_WORDS at least, text of each passage, passage of each distinct word, word of each n-gram, bucket of each n-gram).
+
+    A word that a passage repeats counts once there, so that a text which says one harmless word all over is no more
+    than that word.
+    """
+    text, spelled, word, bucket = bags(texts)
+    passage, owner = cut_passages(text, len(texts))
+    _, kept = np.unique(mix(spelled + passage.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), return_index=True)
+    kept.sort()
+    number = np.full(len(text), -1, dtype=np.int64)
+    number[kept] = np.arange(len(kept))
+    some = number[word] >= 0
+    return np.maximum(np.bincount(passage[kept], minlength=len(owner)), LEAST_WORDS), owner, passage[kept], number[word[some]], bucket[some]
+
+
 class SubwordModel:
     """weights: what each n-gram adds, that is its embedding times the difference of the two softmax units."""
 
     def __init__(self, weights: np.ndarray, bias: float) -> None:
         self.weights, self.bias = weights.astype(np.float32), bias
+        self.slope, self.shift = 1.0, 0.0
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        text, first, word, bucket = bags(texts)
+    def worst(self, texts: list[str]) -> np.ndarray:
+        """Logit of each text's worst passage."""
+        size, owner, passage, word, bucket = passages(texts)
         best = np.full(len(texts), -np.inf)
-        if len(first):
-            per_word = np.bincount(word, weights=self.weights[bucket], minlength=len(first)) / np.maximum(np.bincount(word, minlength=len(first)), 1)
-            passage, owner = cut_passages(text, len(texts))
-            mean = np.bincount(passage, weights=per_word) / np.bincount(passage)
-            np.maximum.at(best, owner, mean)
+        if len(owner):
+            per_word = np.bincount(word, weights=self.weights[bucket], minlength=len(passage)) / np.maximum(np.bincount(word, minlength=len(passage)), 1)
+            np.maximum.at(best, owner, np.bincount(passage, weights=per_word, minlength=len(owner)) / size)
         best[~np.isfinite(best)] = 0.0
-        return 1 / (1 + np.exp(-np.clip(SCALE * best + self.bias, -40, 40)))
+        return SCALE * best + self.bias
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.worst(texts) + self.shift, -40, 40)))
+
+    def calibrate(self, texts: list[str], labels: np.ndarray, clean_weight: float = CLEAN_WEIGHT) -> None:
+        """Fits slope and shift, by Newton steps of a weighted logistic regression, to texts that were not trained on."""
+        x = np.clip(np.concatenate([self.worst(texts[k : k + 64]) for k in range(0, len(texts), 64)]), -30, 30)
+        w = np.where(labels == 1, 1.0, clean_weight)
+        a = np.stack([x, np.ones_like(x)], axis=1)
+        # The prior holds the fit where the classes are apart: unchanged scores, as of one row of evidence.
+        prior, strength = np.array([1.0, 0.0]), np.array([0.5, 0.05])
+        c = prior.copy()
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(a @ c, -40, 40)))
+            step = np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + np.diag(strength), a.T @ (w * (p - labels)) + strength * (c - prior))
+            c = c - np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-6:
+                break
+        self.slope, self.shift = float(max(c[0], 0.05)), float(c[1])
 
 
 class Constant:
@@ -120,33 +165,44 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: floa
     if len(set(labels.tolist())) < 2:
         return Constant(float(labels.mean()) if len(labels) else 0.5)
     rng = np.random.default_rng(seed)
+    kept_out = [k for k in range(len(texts)) if k % round(1 / CALIBRATION) == 0]
+    aside = [texts[k] for k in kept_out], labels[kept_out]
+    if len(set(aside[1].tolist())) == 2:
+        used = [k for k in range(len(texts)) if k % round(1 / CALIBRATION)]
+        texts, labels = [texts[k] for k in used], labels[used]
+        if len(set(labels.tolist())) < 2:
+            return Constant(float(labels.mean()))
     parts = []
     for at in range(0, len(texts), 64):
-        text, first, word, bucket = bags(texts[at : at + 64])
-        passage, owner = cut_passages(text, len(texts[at : at + 64]))
-        by = np.argsort(word, kind="stable")
-        parts.append((passage, owner + at, word[by], bucket[by], len(first)))
-    # N-grams of few training texts would be learnt by heart: their vectors stay zero, like those of unseen ones.
+        size, owner, passage, word, bucket = passages(texts[at : at + 64])
+        parts.append((size, owner + at, passage, word, bucket))
+    # N-grams of few toxic texts would be learnt by heart: their vectors stay zero, like those of unseen ones.
     seen = np.zeros(BUCKETS, dtype=np.int64)
-    for passage, owner, word, bucket, _ in parts:
+    for _, owner, passage, word, bucket in parts:
         if len(word):
             pairs = np.unique(owner[passage[word]].astype(np.int64) * BUCKETS + bucket)
-            seen += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
-    usual = (seen >= max(2, LEAST_SHARE * len(texts)))[:, None]
-    embedding = (rng.standard_normal((BUCKETS, DIM)) * 0.05 * usual).astype(np.float32)
+            seen += np.bincount(pairs[labels[pairs // BUCKETS] == 1] % BUCKETS, minlength=BUCKETS)
+    usual = np.flatnonzero(seen >= max(3, LEAST_SHARE * labels.sum()))
+    # Only those are trained; row 0 stands for all others and stays zero.
+    row = np.zeros(BUCKETS, dtype=np.int32)
+    row[usual] = np.arange(1, len(usual) + 1)
+    parts = [(size, owner, passage, word, row[bucket]) for size, owner, passage, word, bucket in parts]
+    learnt = (np.arange(len(usual) + 1) > 0)[:, None]
+    epochs = max(epochs, -(-STEPS // max(1, len(parts))))
+    embedding = (rng.standard_normal((len(learnt), DIM)) * 0.05 * learnt).astype(np.float32)
     softmax = (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32)
     bias = np.zeros(2, dtype=np.float32)
     squares = [np.full_like(x, 1e-6) for x in (embedding, softmax, bias)]
     for epoch in range(epochs):
         for k in rng.permutation(len(parts)).tolist():
-            passage, owner, word, bucket, n_words = parts[k]
-            if not n_words:
+            size, owner, passage, word, bucket = parts[k]
+            if not len(passage):
                 continue
+            n_words = len(passage)
             grams = np.bincount(word, minlength=n_words)
             sums = np.stack([np.bincount(word, weights=embedding[bucket, d], minlength=n_words) for d in range(DIM)], axis=1)
             vectors = sums / np.maximum(grams, 1)[:, None]
-            size = np.bincount(passage)
-            mean = np.stack([np.bincount(passage, weights=vectors[:, d]) for d in range(DIM)], axis=1) / size[:, None]
+            mean = np.stack([np.bincount(passage, weights=vectors[:, d], minlength=len(owner)) for d in range(DIM)], axis=1) / size[:, None]
             logits = SCALE * mean @ softmax + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -163,13 +219,18 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: floa
             d = (p - np.stack([1 - y, y], axis=1)) * share[:, None]
             d_mean = SCALE * d @ softmax.T
             d_word = (d_mean / size[:, None])[passage] / np.maximum(grams, 1)[:, None]
-            d_embedding = np.stack([np.bincount(bucket, weights=d_word[word, k2], minlength=BUCKETS) for k2 in range(DIM)], axis=1) * usual
+            d_embedding = np.stack([np.bincount(bucket, weights=d_word[word, k2], minlength=len(learnt)) for k2 in range(DIM)], axis=1) * learnt
             for x, s, g in zip((embedding, softmax, bias), squares, (d_embedding, SCALE * mean.T @ d, d.sum(axis=0))):
                 s *= 0.98
                 s += 0.02 * g * g
                 x *= 1 - DECAY
                 x -= (rate * (1 - epoch / epochs) * g / (np.sqrt(s) + 1e-5)).astype(np.float32)
-    return SubwordModel(embedding @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0]))
+    weights = np.zeros(BUCKETS, dtype=np.float32)
+    weights[usual] = (embedding @ (softmax[:, 1] - softmax[:, 0]))[1:]
+    model = SubwordModel(weights, float(bias[1] - bias[0]))
+    if len(set(aside[1].tolist())) == 2:
+        model.calibrate(*aside)
+    return model
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:
