@@ -5,7 +5,8 @@ consecutive words of a benchmark item; an item of fewer words, but not none, is
 hash in one vectorised pass over whole texts and then verified word by word, so a hash collision is no hit.
 
 Edge cases: a null or empty text has no words and no hits; an item without words has no window; repeated items count
-once per item_id; an item with a null id contributes windows, but no id; columns of other names pass through unread.
+once per item_id; an item with a null id contributes windows, but no id; other columns pass
+through unread; scan replaces those named like its results, the removing functions keep them.
 Rows keep their multiplicity. An empty benchmark gives no hits.
 """
 
@@ -21,12 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import ALNUM, LOWER, chunks, column_of, spans_hash, words
-from .sparkutil import cut, fresh
+from .sparkutil import aside, cut, fresh, without
 
 WIDTH = 13
 #: UTF-8 bytes of benchmark text that one broadcast set is built from; a larger benchmark is scanned in several rounds.
 GROUP_BYTES = 16 << 20
 _FILTER_BITS = 22
+_NEW = ("n_words", "hits", "items")
 
 
 def _windows(h: np.ndarray, width: int) -> np.ndarray:
@@ -106,9 +108,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     driver nor executors ever hold more than one set.
     """
     spark = docs.sparkSession
-    taken = {c.lower() for c in docs.columns} & {"n_words", "hits", "items"}
-    if taken:
-        raise ValueError(f"columns in the way: {sorted(taken)}")
+    docs = without(docs, _NEW)
     named = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
     total = named.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
@@ -167,16 +167,18 @@ def contaminated(words_: Column, hit: Column) -> Column:
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs without the contaminated ones; the others are left as they are."""
+    docs, restore = aside(docs, _NEW)
     scanned = scan(docs, benchmark, text)
-    return scanned.where(~contaminated(F.col("n_words"), n_hit())).drop("n_words", "hits", "items")
+    return restore(scanned.where(~contaminated(F.col("n_words"), n_hit())).drop(*_NEW))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs whose benchmark passages are cut out of the text, whole windows at a time."""
+    docs, restore = aside(docs, _NEW)
     scanned = scan(docs, benchmark, text)
     (raw,) = fresh(scanned, "raw")
     # The gaps between the spans, taken from the text's bytes.
     gaps = f"transform(sequence(0, size(hits)), k -> struct(if(k = 0, 0L, hits[greatest(k - 1, 0)].end_byte) AS a, if(k = size(hits), cast(octet_length({raw}) AS bigint), hits[least(k, size(hits) - 1)].start_byte) AS b))"
     piece = f"concat_ws('', transform({gaps}, g -> decode(substring({raw}, int(g.a) + 1, int(g.b - g.a)), 'UTF-8')))"
     out = scanned.withColumn(raw, F.col(text).cast("binary")).withColumn(text, F.when(F.size("hits") > 0, F.expr(piece)).otherwise(F.col(text)))
-    return out.drop(raw, "n_words", "hits", "items")
+    return restore(out.drop(raw, *_NEW))

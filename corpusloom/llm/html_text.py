@@ -11,7 +11,7 @@ of their class, id or role before that, and take no part in the ratios.
 
 Edge cases: a null or empty page, or one without text, gives an empty text. Unclosed tags are closed by the rules for p, li,
 td and the like, or at their parent's end. Text in broken markup is kept. Very long pages are read whole; rows keep their
-multiplicity and other columns are not read.
+multiplicity and other columns are not read; one named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -201,9 +201,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, page: str = "html", to: str = "text", keep: list[str] | None = None) -> DataFrame:
     """pages (or its columns keep) with the main text of the column page."""
-    kept = pages.columns if keep is None else keep
-    if to.lower() in {c.lower() for c in kept}:
-        raise ValueError(f"column in the way: {to}")
+    kept = [c for c in (pages.columns if keep is None else keep) if c.lower() != to.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -14,7 +14,7 @@ table of sources (one row each) is sorted as a whole.
 
 Edge cases: a null text has size 0, as has an empty one; a null source is a source, the last; sources of size 0 have
 target 0; with the same seed reruns agree (ties are identical rows but for columns beside id, size and text). An empty
-table gives an empty result.
+table gives an empty result. Columns named like the results are replaced by planned, and kept by mix.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sparkutil import aside, without
+
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
-_OWN = ["_size", "_class", "_piece", "_rank", "_before", "_source_size", "_target", "_rate", "_tie", "_copies"]
+_OWN = ["_size", "_class", "_piece", "_rank", "_before", "_source_size", "_target", "_tie", "_n", "_s", "_plan_source", "_plan_class", "_plan_piece"]
 
 
 def words_of(text: str) -> Column:
@@ -57,8 +59,7 @@ def targets(sizes: DataFrame, source: str, weights: tuple[int, ...] = WEIGHTS, m
 def planned(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, pieces: int = 64) -> DataFrame:
     """docs with size, source_size, target and copies (times that the mix emits the row)."""
     new = ["size", "source_size", "target", "copies"]
-    if taken := {c.lower() for c in docs.columns} & {*new, *_OWN}:
-        raise ValueError(f"columns in the way: {sorted(taken)}")
+    docs, restore = aside(without(docs, new), _OWN)
     sized = docs.withColumn("_size", words_of(text))
     # Number of leading bits and the next three: the upper limit of a class is an eighth above the lower.
     bits = F.when(F.col("_size") > 0, F.length(F.bin("_size"))).otherwise(0)
@@ -79,10 +80,11 @@ def planned(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", tex
     offset = F.expr(f"conv(substring(md5(concat('{seed}:', coalesce({source}, ''))), 1, 4), 16, 10) / 65536D")
     place = F.col("_before") + F.col("_rank")
     copies = F.floor(place * rate + offset) - F.floor((place - 1) * rate + offset)
-    return rows.select(*docs.columns, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies.cast("long").alias("copies"))
+    return restore(rows.select(*docs.columns, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies.cast("long").alias("copies")))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix: docs' rows, each as often as planned, with docs' columns."""
+    docs, restore = aside(docs, ("size", "source_size", "target", "copies"))
     rows = planned(docs, **how)
-    return rows.where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    return restore(rows.where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns))

@@ -9,7 +9,8 @@ Training takes a bounded sample: ROWS labelled documents of each class, the firs
 have TRAIN_PASSAGES passages together. Scoring takes whole texts.
 
 Edge cases: a null or empty text has no passage and is scored by the zero representation; without rows of both classes the
-score of every text is the share of label 1 (0.5 without any). An empty table gives an empty result.
+score of every text is the share of label 1 (0.5 without any). An empty table gives an empty result. A
+column named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import types as T
 
 from .arrowtext import chunks, column_of
 from .samples import labelled, remainder, texts_of
+from .sparkutil import without
 
 PASSAGE = 512
 ROWS = 3000
@@ -170,8 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train: Colum
 
 def scored(docs: DataFrame, model: AttentionModel | Constant, text: str = "text", to: str = "score") -> DataFrame:
     """docs with the score of label 1."""
-    if to.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"column in the way: {to}")
+    docs = without(docs, (to,))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ pairs of characters. The ratio table (alphabet squared, however large the sample
 one narrow pass without a shuffle. Spans count code points, with exclusive ends.
 
 Edge cases: a null or empty text has no spans; texts of any length are read whole; rows keep their multiplicity; a class
-without samples has the uniform model.
+without samples has the uniform model. Columns named base or spans are replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sparkutil import aside, without
+
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
@@ -91,8 +93,7 @@ def _spans(text: str, pattern: str, kind: int, good: str) -> str:
 
 def scan(docs: DataFrame, ratios: list[float], text: str = "text", total: float = LEAST_TOTAL, each: float = LEAST_EACH) -> DataFrame:
     """docs with base and spans: sorted arrays of (start, kind, end), kind an index of KINDS."""
-    if taken := {c.lower() for c in docs.columns} & {"base", "spans", "_text"}:
-        raise ValueError(f"columns in the way: {sorted(taken)}")
+    docs, restore = aside(without(docs, ("base", "spans")), ("_text",))
     table = "cast(split('" + ",".join(f"{x:.9g}" for x in ratios) + "', ',') AS array<double>)"
     assign = _spans("_text", ASSIGN, 0, f"length(regexp_extract({{m}}, {_quoted(ASSIGN)}, 2)) >= {LEAST['assign']}")
     access, hexes = (_spans("_text", _LONG[k], KINDS.index(k), f"length({{m}}) >= {LEAST[k]}") for k in ("access", "hex"))
@@ -100,7 +101,7 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text", total: float
     random = _spans("_text", TOKEN, 3, f"{ratio} >= greatest({total}D, {each}D * length({{m}}))")
     out = docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("base", F.array_sort(F.expr(f"concat({assign}, {access}, {hexes})")))
     out = out.withColumn("spans", F.expr(f"array_sort(concat(base, filter({random}, r -> not exists(base, b -> b.start < r.end AND r.start < b.end))))"))
-    return out.drop("_text")
+    return restore(out.drop("_text"))
 
 
 def count(kind: str, spans: str = "base") -> Column:

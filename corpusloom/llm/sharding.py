@@ -8,8 +8,8 @@ Slots number each shard's rows from 0 without gaps. A shard is cut into `pieces`
 sorts a whole shard: a row's slot is the number of rows in the pieces before plus its rank in its own.
 
 Edge cases: a null key counts as key 0; a null text as no bytes; rows with equal keys share a shard and have
-different slots, in the order of size, checksum and text hash (identical rows are interchangeable). Clashing column
-names raise an error. An empty table gives an empty result.
+different slots, in the order of size, checksum and text hash (identical rows are interchangeable). Columns named like
+the results are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sparkutil import aside, without
+
 _MULTIPLIER = 2862933555777941757
 _L0, _L1, _L2 = _MULTIPLIER & 0x3FFFFF, _MULTIPLIER >> 22 & 0x3FFFFF, _MULTIPLIER >> 44
 #: Steps of the first fold; a key needs more with a probability that is negligible, and then gets them.
@@ -51,8 +53,7 @@ def _next(s: str) -> str:
 def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", pieces: int = 256) -> DataFrame:
     """docs with size, text_crc32, law, shard, slot and grown_shard (the shard if there were one more)."""
     new = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    if taken := {c.lower() for c in docs.columns} & {*new, "_key", "_piece", "_tie"}:
-        raise ValueError(f"columns in the way: {sorted(taken)}")
+    docs, restore = aside(without(docs, new), ("_key", "_piece", "_tie", "_rank", "_before", "_n"))
     keyed = docs.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")))
     dealt = keyed.withColumn("shard", jump("_key", shards)).withColumn("_piece", F.expr(f"int(pmod(conv(substring(md5(string(_key)), 1, 4), 16, 10), {pieces}))"))
     before = Window.partitionBy("shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,7 +65,7 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
     })
     rank = F.row_number().over(Window.partitionBy("shard", "_piece").orderBy("_key", "size", "text_crc32", "_tie"))
     placed = rows.withColumn("_rank", rank.cast("long")).join(F.broadcast(offsets), ["shard", "_piece"])
-    return placed.withColumn("slot", F.col("_before") + F.col("_rank") - 1).select(*docs.columns, *new)
+    return restore(placed.withColumn("slot", F.col("_before") + F.col("_rank") - 1).select(*docs.columns, *new))
 
 
 def jump_sql(key: str, shards: int) -> str:

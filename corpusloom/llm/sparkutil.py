@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -35,5 +37,24 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def without(df: DataFrame, names) -> DataFrame:
+    """df without columns of these names: those of an operator's results take their place."""
+    wanted = {n.lower() for n in names}
+    return df.drop(*(c for c in df.columns if c.lower() in wanted))
+
+
+def aside(df: DataFrame, names) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with columns of these names renamed, and the function that renames them back in a result."""
+    wanted = {n.lower() for n in names}
+    clash = [c for c in df.columns if c.lower() in wanted]
+    hidden = dict(zip(clash, fresh(df, *(f"aside_{c}" for c in clash))))
+    back = {new: c for c, new in hidden.items()}
+
+    def restore(out: DataFrame) -> DataFrame:
+        return out.withColumnsRenamed({k: v for k, v in back.items() if k in out.columns})
+
+    return df.withColumnsRenamed(hidden), restore
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -11,7 +11,8 @@ Training takes a bounded sample: ROWS labelled documents of each class, the firs
 words at most. Scoring takes whole texts.
 
 Edge cases: a null or empty text, or one without words, has the score of an empty passage; without rows of both classes
-every score is the share of label 1 (0.5 without any). An empty table gives an empty result.
+every score is the share of label 1 (0.5 without any). An empty table gives an empty result. A
+column named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 
 from .arrowtext import column_of, mix
 from .samples import labelled, remainder, texts_of
+from .sparkutil import without
 
 NGRAMS = (3, 4, 5)
 BUCKETS = 1 << 20
@@ -253,8 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: Co
 
 def scored(docs: DataFrame, model: SubwordModel | Constant, text: str = "text", to: str = "score") -> DataFrame:
     """docs with the score of label 1."""
-    if to.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"column in the way: {to}")
+    docs = without(docs, (to,))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -313,9 +313,31 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.scored(docs, toxicity.fit(docs, labels.where("toxic = 0"))).collect()} == {0.0}
 
 
-def test_clashing_columns(docs):
-    taken = docs.withColumn("score", F.lit(1)).withColumn("hits", F.lit(1)).withColumn("slot", F.lit(1)).withColumn("copies", F.lit(1)).withColumn("spans", F.lit(1))
-    for call in (lambda: quality.scored(taken, quality.Constant(0.5)), lambda: toxicity.scored(taken, toxicity.Constant(0.5)), lambda: sharding.shard(taken), lambda: mixing.planned(taken), lambda: secrets.scan(taken, [0.0])):
-        with pytest.raises(ValueError, match="in the way"):
-            call()
-    assert hashlib.sha256(b"").hexdigest() == taken.limit(1).select(F.sha2(F.lit(""), 256).alias("h")).first()["h"]
+def test_clashing_columns(spark, docs):
+    names = ["score", "hits", "items", "n_words", "slot", "shard", "copies", "size", "target", "spans", "base", "_text", "_size", "_rank", "_key", "fp", "component_id", "_kept", "_n", "block", "train"]
+    more = docs.select("*", *(F.concat(F.lit("own "), F.col("doc_id").cast("string")).alias(n) for n in names))
+    bench = spark.createDataFrame([(2, "one TWO")], "item_id long, text string")
+    same = lambda out: all(r[n] is None or r[n] == f"own {r['doc_id']}" for r in out.collect() for n in names)
+    for out in (mixing.mix(more), decontaminate.remove_documents(more, bench), decontaminate.remove_spans(more, bench), simhash.keep_one(more)):
+        assert sorted(out.columns) == sorted(more.columns) and same(out)
+    shard = sharding.shard(more)
+    assert shard.columns.count("slot") == 1 and shard.count() == len(TEXTS) + 2 and shard.select(F.max("_key")).first()[0].startswith("own")
+    assert mixing.planned(more).select(F.max("copies")).first()[0] <= 3
+    assert decontaminate.scan(more, bench).select(F.sum(F.size("hits"))).first()[0] > 0
+    assert quality.scored(more, quality.Constant(0.5)).select("score").first()[0] == 0.5
+    assert toxicity.scored(more, toxicity.Constant(0.5)).select("score").first()[0] == 0.5
+    assert secrets.scan(more, [0.0] * 68 * 67).select(F.max(F.size("base"))).first()[0] == 4
+    assert language_model.scores(more).count() == simhash.groups(more).count() == len(TEXTS) + 2
+    pages = spark.createDataFrame([(1, "u", "<p>Some text, here.</p>", "own")], "page_id long, url string, html string, text string")
+    assert html_text.extract(pages).first()["text"] == "Some text, here."
+    assert hashlib.sha256(b"").hexdigest() == more.limit(1).select(F.sha2(F.lit(""), 256).alias("h")).first()["h"]
+
+
+def test_empty_tables(spark, docs):
+    none = docs.limit(0)
+    bench = spark.createDataFrame([], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for out in (sharding.shard(none), mixing.planned(none), simhash.groups(none), decontaminate.scan(none, bench), quality.scored(none, quality.fit(none, labels)), toxicity.scored(none, toxicity.fit(none, labels)), language_model.scores(none)):
+        assert out.count() == 0
+    assert secrets.train(secrets.samples(spark, bench, rows=10)) and embeddings.links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
