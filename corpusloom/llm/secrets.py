@@ -28,8 +28,8 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: For these two a run's match is the run, so shorter ones may be skipped by the pattern itself.
 _LONG = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 KINDS = ("assign", "access", "hex", "random")
-#: Tokens that the models judge: runs of these characters that are not a part of a longer word.
-TOKEN = r"(?<![\p{L}\p{N}+/_=.-])[A-Za-z0-9+/_-]{20,}={0,2}(?![\p{L}\p{N}+/_=-])"
+#: Tokens that the models judge: maximal runs of these characters, whatever stands beside them, with the padding at their end.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 #: Nats by which the random model has to be likelier: for the token, and for each character.
 LEAST_TOTAL, LEAST_EACH = 12.0, 0.35

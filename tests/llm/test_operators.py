@@ -63,6 +63,18 @@ def test_secrets(spark, docs):
     assert by_id[101]["s"] == by_id[102]["s"] == ""
 
 
+def test_secrets_unquoted(spark):
+    """Every maximal run of the token alphabet is judged, whatever stands before or after it."""
+    ordinary = spark.createDataFrame([("the ordinary words of a benchmark",), *((m.__doc__,) for m in (secrets, simhash, mixing, sharding, language_model, html_text, embeddings))], "text string")
+    ratios = secrets.train(secrets.samples(spark, ordinary, rows=1000))
+    one, two = "q7Zt9XbW2mKp4RvLs8Yd3NfHc6JgQ1Ae", "Xk3Vn8TzB5wQ7hLr2YpD9mGcF4sJ6uKe"
+    forms = [f"AccountKey={one}==", f"https://host/?key={one}&x=1", f"GITHUB_PAT={one}", f"SG.{one}.{two}", f"eyJ.{one}.{two} end", f"密钥{one}", f"密钥{one}密钥", f"\"{one}\"", f"the_ordinary_words_of_benchmark={one}"]
+    docs = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
+    for r in secrets.scan(docs, ratios).select("text", secrets.listed("spans").alias("s")).collect():
+        found = {(m.start(), m.end()) for m in re.finditer(f"(?:{one}|{two})=*", r["text"])}
+        assert {(int(a), int(b)) for _, a, b in (x.split(":") for x in r["s"].split(","))} == found, r
+
+
 def jump(key: int, n: int) -> int:
     b, j, key = -1, 0, key & (2**64 - 1)
     while j < n:
