@@ -6,8 +6,10 @@ against the number of its tags and its link text. These ratios are smoothed over
 fused by their product, and thresholded: the paths above the page's threshold are content, and so are paths that
 share a content path's container.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are told by their tags or by words
-of their class, id or role before that, and take no part in the ratios.
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are told by their tags or roles, or by whole
+names in their class or id, before that, and take no part in the ratios. A name doesn't count where the element holds
+the page's article or main (as much of their text as stands outside such elements) or, without any of that outside, most of the plain
+text: its blocks are left to the ratios.
 
 Edge cases: a null or empty page, or one without text, gives an empty text. Unclosed tags are closed by the rules for p, li,
 td and the like, or at their parent's end. Text in broken markup is kept. Very long pages are read whole; rows keep their
@@ -71,9 +73,10 @@ class _Blocks:
     """Reads one page into blocks: (path, text, linked characters, tags)."""
 
     def __init__(self, page: str) -> None:
-        self.stack: list[tuple[str, str, bool]] = []  # tag, name in paths, noise
-        self.found: list[tuple[str, str, int, int]] = []
-        self.parts: list[tuple[str, bool]] = []
+        self.stack: list[tuple[str, str, bool, tuple[int, ...], bool]] = []  # tag, name in paths, noise, elements named like noise, in an article
+        self.raw: list[tuple[str, list, int]] = []
+        self.parts: list[tuple[str, bool, tuple[int, ...], bool]] = []
+        self.named = 0
         self.tags = 0
         at, end = 0, len(page)
         while at < end:
@@ -97,23 +100,46 @@ class _Blocks:
                 at = stop.end() if stop else end
                 self.close(tag)
         self.flush()
+        self.found = self.judged()
 
     def noisy(self) -> bool:
         return bool(self.stack) and self.stack[-1][2]
 
     def text(self, raw: str) -> None:
         if raw and not self.noisy():
-            self.parts.append((html.unescape(raw) if "&" in raw else raw, any(x[0] == "a" for x in self.stack[-3:])))
+            named, article = self.stack[-1][3:] if self.stack else ((), False)
+            self.parts.append((html.unescape(raw) if "&" in raw else raw, any(x[0] == "a" for x in self.stack[-3:]), named, article))
 
     def flush(self) -> None:
         if self.parts:
-            text = _SPACE.sub(" ", "".join(x for x, _ in self.parts)).strip()
-            if text:
-                linked = sum(len(_SPACE.sub(" ", x).strip()) for x, link in self.parts if link)
-                self.found.append(("/".join(x[1] for x in self.stack if x[0] not in _INLINE), text, min(linked, len(text)), self.tags + 1))
+            self.raw.append(("/".join(x[1] for x in self.stack if x[0] not in _INLINE), self.parts, self.tags + 1))
             self.parts = []
         self.tags = 0
 
+    def judged(self) -> list[tuple[str, str, int, int]]:
+        """The blocks without the parts in elements that are named like noise and don't hold the page's main text."""
+        noise: frozenset[int] = frozenset()
+        if self.named:
+            plain, article = np.zeros(self.named), np.zeros(self.named)
+            total = outside = 0
+            for _, parts, _ in self.raw:
+                for x, link, named, inside in parts:
+                    n = 0 if link else len(_SPACE.sub(" ", x).strip())
+                    total += n
+                    outside += n * (inside and not named)
+                    for k in named:
+                        plain[k] += n
+                        article[k] += n * inside
+            noise = frozenset(np.flatnonzero(((2 * plain <= total) | (outside > 0)) & ((article == 0) | (article < outside))).tolist())
+        found = []
+        for path, parts, tags in self.raw:
+            parts = [x for x in parts if noise.isdisjoint(x[2])] if noise else parts
+            text = _SPACE.sub(" ", "".join(x[0] for x in parts)).strip()
+            if text:
+                linked = sum(len(_SPACE.sub(" ", x[0]).strip()) for x in parts if x[1])
+                found.append((path, text, min(linked, len(text)), tags))
+        return found
+
     def open(self, tag: str, attributes: str) -> None:
         self.tags += 1
         if tag == "br" or tag not in _INLINE:
@@ -128,14 +154,17 @@ class _Blocks:
         if tag in _VOID:
             return
         name, noise = tag, self.noisy() or tag in _NOISE_TAGS or tag in _RAW
+        named, article = self.stack[-1][3:] if self.stack else ((), False)
         if attributes:
             given = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
             if cls := given.get("class", ""):
                 name += "." + ".".join(sorted(cls.split()))
             if not noise and tag not in ("html", "body", "article", "main"):
-                told = set(re.split(r"[^a-z]+", f"{cls} {given.get('id', '')}".lower()))
-                noise = bool(told & _NOISE_WORDS) or given.get("role", "").lower() in _NOISE_ROLES or given.get("aria-hidden") == "true" or "hidden" in re.sub(r"=\s*(\"[^\"]*\"|'[^']*')", "", attributes).lower().split()
-        self.stack.append((tag, name, noise))
+                noise = given.get("role", "").lower() in _NOISE_ROLES or given.get("aria-hidden") == "true" or "hidden" in re.sub(r"=\s*(\"[^\"]*\"|'[^']*')", "", attributes).lower().split()
+                if not noise and not _NOISE_WORDS.isdisjoint(f"{cls} {given.get('id', '')}".lower().split()):
+                    named = (*named, self.named)
+                    self.named += 1
+        self.stack.append((tag, name, noise, named, article or tag in ("article", "main")))
 
     def close(self, tag: str) -> None:
         self.tags += 1

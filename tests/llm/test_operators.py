@@ -283,6 +283,16 @@ def test_language_model_adds_up_to_one():
     assert math.isclose(total, 1.0, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize("name", ["container has-sidebar", "no-sidebar", "site header-fixed", "nav-open", "entry-content social-policy", "post related-work", "post related"])
+def test_html_wrappers(name, tag):
+    page = f"<body><div class='{name}'><{tag}><p>One sentence, of the text.</p><p>Another one, here.</p></{tag}><div class='ad'>Buy now, please.</div></div><div id='comments'>First, of all.</div></body>"
+    assert html_text.main_text(page) == "One sentence, of the text.\nAnother one, here."
+    beside = f"<body><article><p>One sentence, of the text.</p></article><div class='{name} sidebar'><article><p>Also, read.</p></article></div></body>"
+    assert html_text.main_text(beside) == "One sentence, of the text."
+    assert html_text.main_text("<article><p>Short, so.</p></article><div class='ad'><p>Buy now, please, and pay later, if at all.</p></div>") == "Short, so."
+
+
 def test_html():
     page = "<html><body><nav><a href=1>Menu</a></nav><div class='ad'>Buy now, please. Really.</div><article><h1>Head &amp; more</h1><p><b>One,  two.<br><p>Three\n four, five.</article><footer>&copy; me</footer><script>var t='</p>';</script>"
     assert html_text.main_text(page) == "Head & more\nOne, two.\nThree four, five."
