@@ -1,37 +1,47 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the bag of its character n-grams of NGRAMS characters, with marks at both ends; each n-gram, hashed to one of BUCKETS, has a
-vector; a word is the mean of its n-grams' vectors, a passage of about PASSAGE words the mean of its words' (repeated ones once), and two
-linear units with a softmax score it. A misspelling shares most n-grams with its word. A document is as toxic as its
-worst passage, so a few words are not diluted by a long text. Embeddings and softmax are learnt together from labels of
-documents: at first each passage has its document's label; then the passages that the model itself finds worst stand for
-their document, as in scoring.
-
-Training takes a bounded sample: ROWS labelled documents of each class, the first by a hash of the id, with TRAIN_WORDS
-words at most. Scoring takes whole texts.
+A word is the bag of its character n-grams of NGRAMS characters, with marks at both ends, and of its whole spelling (WHOLE times); each
+of these, hashed to one of BUCKETS, has a vector; a word is the mean of its bag's vectors, a passage of about PASSAGE words the mean of its
+words' (repeated ones once), and two linear units with a softmax score it. A misspelling shares most n-grams with its word.
+Embeddings and softmax are learnt together from labels of documents: at first each passage has its document's label;
+then the passages that the model itself finds worst stand for their document. A document's score pools its passages: the
+worst one's logit (a few words are not diluted by a long text), the mean of all, and their number, weighted by a logistic
+regression on rows of the sample that were set aside.
+
+N-grams that are in fewer than LEAST_TEXTS toxic training texts, or not LEAST_RATIO times commoner in toxic ones than in others, keep the
+zero vector. The floor is a count and not a share, so a language with few toxic rows is learnt like one with many.
+
+Training takes a bounded sample: ROWS labelled documents of each class, the first by a hash of the id, with about 8 * TRAIN_WORDS bytes
+at most. Where the whole texts are more, each gives its excerpt (windows spread evenly over all of it) of the largest size that keeps
+the bound, so no long text can push another out. Scoring takes whole texts; one of more than PIECE characters is cut into
+passages piece by piece, at white space, in bounded memory.
 
 Edge cases: a null or empty text, or one without words, has the score of an empty passage; without rows of both classes
-every score is the share of label 1 (0.5 without any). An empty table gives an empty result. A
-column named like the score is replaced.
+every score is the share of label 1 (0.5 without any). Null ids or labels don't train; an id with several rows trains with one
+of them, with several labels as toxic. Repeated rows and ties have equal scores. An empty table gives an empty
+result. A column named like the score is replaced.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import column_of, mix
-from .samples import labelled, remainder, texts_of
+from .samples import excerpts, labelled, remainder, texts_of
 from .sparkutil import without
 
 NGRAMS = (3, 4, 5)
 BUCKETS = 1 << 20
+#: Times that a word's whole spelling counts in its bag, beside its n-grams.
+WHOLE = 4
 DIM = 8
 PASSAGE = 40
 ROWS = 1500
@@ -40,8 +50,8 @@ EPOCHS = 8
 SEED = 6
 #: Averages are multiplied by this before the softmax: one word in a passage of PASSAGE has to be able to decide.
 SCALE = 40.0
-#: Share of the toxic training texts that an n-gram has to be in (and three at least); share by which parameters shrink at each step.
-LEAST_SHARE = 0.02
+#: Toxic training texts that an n-gram has to be in, and how much commoner it has to be there; share by which parameters shrink at each step.
+LEAST_TEXTS, LEAST_RATIO = 3, 3.0
 DECAY = 2e-3
 #: Weight of the toxic class in training.
 TOXIC_SHARE = 0.2
@@ -49,11 +59,17 @@ TOXIC_SHARE = 0.2
 LEAST_WORDS = 12
 #: Share of the sample that is kept for calibration, and the weight of its clean rows there.
 CALIBRATION = 0.2
-CLEAN_WEIGHT = 1.0
+CLEAN_WEIGHT = 0.4
 #: Steps of training at least, whatever the number of epochs.
 STEPS = 600
+#: How pooled values (worst passage, mean, length, 1) count without calibration; ridge of the calibration.
+PRIOR = np.array([1.0, 0.0, 0.0, 0.0])
+RIDGE = np.array([0.1, 0.1, 0.1, 0.01])
 CHUNK = 1 << 18
+#: Characters of a longer text that are cut into passages together.
+PIECE = 1 << 16
 
+_BLANK = re.compile(r"\s")
 _CORE = np.zeros(128, dtype=bool)
 _CORE[48:58] = _CORE[65:91] = _CORE[97:123] = True
 
@@ -90,6 +106,9 @@ def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         at = np.flatnonzero(whole)
         words.append(word[at + 1])
         buckets.append((mix(h[at] + np.uint64(n)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32))
+    whole_word = (mix(spelled + np.uint64(1)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32)
+    words += [np.arange(len(first))] * WHOLE
+    buckets += [whole_word] * WHOLE
     return text, spelled, np.concatenate(words), np.concatenate(buckets)
 
 
@@ -117,41 +136,73 @@ def passages(texts: list[str]) -> tuple[np.ndarray, ...]:
     return np.maximum(np.bincount(passage[kept], minlength=len(owner)), LEAST_WORDS), owner, passage[kept], number[word[some]], bucket[some]
 
 
+def pieces(text: str, most: int = PIECE) -> list[str]:
+    """The whole text in parts of about most characters, cut at the next white space (or after most more without any)."""
+    out, at = [], 0
+    while len(text) - at > most:
+        space = _BLANK.search(text, at + most, at + 2 * most)
+        end = space.end() if space else min(len(text), at + 2 * most)
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
 class SubwordModel:
     """weights: what each n-gram adds, that is its embedding times the difference of the two softmax units."""
 
     def __init__(self, weights: np.ndarray, bias: float) -> None:
         self.weights, self.bias = weights.astype(np.float32), bias
-        self.slope, self.shift = 1.0, 0.0
+        self.pooling = PRIOR.copy()
 
-    def worst(self, texts: list[str]) -> np.ndarray:
-        """Logit of each text's worst passage."""
+    def passage_means(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(mean of the words' weights, text) of each passage."""
         size, owner, passage, word, bucket = passages(texts)
-        best = np.full(len(texts), -np.inf)
-        if len(owner):
-            per_word = np.bincount(word, weights=self.weights[bucket], minlength=len(passage)) / np.maximum(np.bincount(word, minlength=len(passage)), 1)
-            np.maximum.at(best, owner, np.bincount(passage, weights=per_word, minlength=len(owner)) / size)
-        best[~np.isfinite(best)] = 0.0
-        return SCALE * best + self.bias
+        per_word = np.bincount(word, weights=self.weights[bucket], minlength=len(passage)) / np.maximum(np.bincount(word, minlength=len(passage)), 1)
+        return np.bincount(passage, weights=per_word, minlength=len(owner)) / size, owner
+
+    def pooled(self, texts: list[str]) -> np.ndarray:
+        """(texts, 4): the logit of each text's worst passage, the mean of its passages' logits, the log of their number, and 1."""
+        cut = [(k, part) for k, t in enumerate(texts) for part in pieces(t)]
+        best, total, n = np.full(len(texts), -np.inf), np.zeros(len(texts)), np.zeros(len(texts))
+        first = 0
+        while first < len(cut):
+            end, chars = first + 1, len(cut[first][1])
+            while end < len(cut) and chars + len(cut[end][1]) <= CHUNK:
+                chars += len(cut[end][1])
+                end += 1
+            own = np.array([k for k, _ in cut[first:end]])
+            each, part = self.passage_means([t for _, t in cut[first:end]])
+            if len(part):
+                np.maximum.at(best, own[part], each)
+                np.add.at(total, own[part], each)
+                np.add.at(n, own[part], 1)
+            first = end
+        best[n == 0] = 0.0
+        mean = total / np.maximum(n, 1)
+        return np.stack([np.clip(SCALE * best + self.bias, -30, 30), np.clip(SCALE * mean + self.bias, -30, 30), np.log1p(n), np.ones(len(texts))], axis=1)
 
     def score(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.worst(texts) + self.shift, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.pooled(texts) @ self.pooling, -40, 40)))
 
     def calibrate(self, texts: list[str], labels: np.ndarray, clean_weight: float = CLEAN_WEIGHT) -> None:
-        """Fits slope and shift, by Newton steps of a weighted logistic regression, to texts that were not trained on."""
-        x = np.clip(np.concatenate([self.worst(texts[k : k + 64]) for k in range(0, len(texts), 64)]), -30, 30)
+        """Fits how worst passage, mean and length count, by a ridge logistic regression on texts that were not trained on."""
+        x = np.concatenate([self.pooled(texts[k : k + 64]) for k in range(0, len(texts), 64)])
+        centre, spread = x.mean(axis=0) * [1, 1, 1, 0], np.where(np.arange(4) < 3, np.maximum(x.std(axis=0), 0.1), 1.0)
+        a = (x - centre) / spread
         w = np.where(labels == 1, 1.0, clean_weight)
-        a = np.stack([x, np.ones_like(x)], axis=1)
-        # The prior holds the fit where the classes are apart: unchanged scores, as of one row of evidence.
-        prior, strength = np.array([1.0, 0.0]), np.array([0.5, 0.05])
-        c = prior.copy()
-        for _ in range(50):
+        loss = lambda c: (w * np.logaddexp(0, np.where(labels == 1, -1, 1) * (a @ c))).sum() + (RIDGE * c * c).sum() / 2
+        c = np.zeros(4)
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(a @ c, -40, 40)))
-            step = np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + np.diag(strength), a.T @ (w * (p - labels)) + strength * (c - prior))
-            c = c - np.clip(step, -2, 2)
-            if np.abs(step).max() < 1e-6:
+            step = np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + np.diag(RIDGE), a.T @ (w * (p - labels)) + RIDGE * c)
+            rate = 1.0
+            while rate > 1e-6 and loss(c - rate * step) > loss(c):
+                rate /= 2
+            c = c - rate * step
+            if np.abs(step).max() < 1e-8 or rate <= 1e-6:
                 break
-        self.slope, self.shift = float(max(c[0], 0.05)), float(c[1])
+        self.pooling = c / spread
+        self.pooling[3] = c[3] - (c / spread * centre)[:3].sum()
 
 
 class Constant:
@@ -178,13 +229,15 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: floa
     for at in range(0, len(texts), 64):
         size, owner, passage, word, bucket = passages(texts[at : at + 64])
         parts.append((size, owner + at, passage, word, bucket))
-    # N-grams of few toxic texts would be learnt by heart: their vectors stay zero, like those of unseen ones.
-    seen = np.zeros(BUCKETS, dtype=np.int64)
+    # N-grams of few toxic texts, or not much commoner there, would be learnt by heart: their vectors stay zero, like those of unseen ones.
+    seen = np.zeros((2, BUCKETS), dtype=np.int64)
     for _, owner, passage, word, bucket in parts:
         if len(word):
             pairs = np.unique(owner[passage[word]].astype(np.int64) * BUCKETS + bucket)
-            seen += np.bincount(pairs[labels[pairs // BUCKETS] == 1] % BUCKETS, minlength=BUCKETS)
-    usual = np.flatnonzero(seen >= max(3, LEAST_SHARE * labels.sum()))
+            for y in (0, 1):
+                seen[y] += np.bincount(pairs[labels[pairs // BUCKETS] == y] % BUCKETS, minlength=BUCKETS)
+    n_toxic = labels.sum()
+    usual = np.flatnonzero((seen[1] >= LEAST_TEXTS) & ((seen[1] + 0.5) / (n_toxic + 1) >= LEAST_RATIO * (seen[0] + 0.5) / (len(labels) - n_toxic + 1)))
     # Only those are trained; row 0 stands for all others and stays zero.
     row = np.zeros(BUCKETS, dtype=np.int32)
     row[usual] = np.arange(1, len(usual) + 1)
@@ -240,14 +293,10 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: Column | None = None, rows: int = ROWS, words: int = TRAIN_WORDS, seed: int = SEED) -> SubwordModel | Constant:
-    """A model from the labelled rows that fulfil train_rows (those not held out); the driver gets texts of at most about
-    words words (8 bytes each)."""
+    """A model from the labelled rows that fulfil train_rows (those not held out); the driver gets texts of about words words
+    (8 bytes each) at most."""
     sample = labelled(labels, label, rows, ~is_held_out() if train_rows is None else train_rows)
-    found = texts_of(sample, docs)
-    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    # At most 2 * rows ids (and repeated rows of them) in this order; their texts stay where they are.
-    few = found.select("doc_id", F.octet_length("text").alias("n")).withColumn("all", F.sum("n").over(before)).where(F.col("all") <= 8 * words).select("doc_id").distinct()
-    got = found.join(F.broadcast(few), "doc_id").select("doc_id", "label", "text").toArrow()
+    got = excerpts(texts_of(sample, docs), 8 * words).toArrow()
     rows_ = sorted(zip(got.column("doc_id").to_pylist(), got.column("label").to_pylist(), got.column("text").to_pylist()))
     order = np.random.default_rng(seed).permutation(len(rows_)).tolist()
     return train([rows_[k][2] for k in order], np.array([rows_[k][1] for k in order]), seed=seed)
