@@ -5,12 +5,14 @@ coarser classes, encoded by one tanh layer, weighted by gated attention (softmax
 w . (tanh(V h) * sigmoid(U h))), and the weighted mean is scored by a logistic unit. All layers are trained jointly, in
 numpy, from labels of documents only.
 
-Training takes a bounded sample: ROWS labelled documents of each class, the first by a hash of the id, and of these as many as
-have TRAIN_PASSAGES passages together. Scoring takes whole texts.
+Training takes a bounded sample: ROWS labelled documents of each class, the first by a hash of the id, with TRAIN_PASSAGES passages
+together at most. Where they have more, each gives so many passages, spread evenly over its whole text, as keep the bound, so
+no long text can push another out. Scoring takes whole texts, whose passages are described in steps of bounded size.
 
 Edge cases: a null or empty text has no passage and is scored by the zero representation; without rows of both classes the
-score of every text is the share of label 1 (0.5 without any). An empty table gives an empty result. A
-column named like the score is replaced.
+score of every text is the share of label 1 (0.5 without any). Null ids or labels don't train; an id with several rows
+trains with one of them, with several labels as good. Repeated rows and ties have equal scores. An empty table gives
+an empty result. A column named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -19,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import chunks, column_of
-from .samples import labelled, remainder, texts_of
+from .samples import labelled, level, remainder, texts_of
 from .sparkutil import without
 
 PASSAGE = 512
@@ -34,6 +36,8 @@ HIDDEN = 24
 ATTENTION = 12
 EPOCHS = 40
 SEED = 5
+#: Passages that are described together.
+_STEP = 2048
 
 #: Byte classes: each small letter and each mark of its own; capitals, digits, ends of lines, controls, lead and continuation bytes.
 _FINE = np.zeros(256, dtype=np.int64)
@@ -56,13 +60,18 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
     begin = offsets[text] + k * size[text] // n[text]
     length = np.diff(np.concatenate([begin, [offsets[-1]]]))
-    owner = np.repeat(np.arange(len(text)), length)
-    part = data[begin[0] : offsets[-1]]
-    fine = np.bincount(owner * _N_FINE + _FINE[part], minlength=len(text) * _N_FINE).reshape(len(text), _N_FINE)
+    return np.concatenate([_described(data, begin[at : at + _STEP], length[at : at + _STEP]) for at in range(0, len(text), _STEP)]), n
+
+
+def _described(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Features of consecutive passages."""
+    owner = np.repeat(np.arange(len(begin)), length)
+    part = data[begin[0] : begin[-1] + length[-1]]
+    fine = np.bincount(owner * _N_FINE + _FINE[part], minlength=len(begin) * _N_FINE).reshape(len(begin), _N_FINE)
     coarse = _COARSE[part]
     same = owner[1:] == owner[:-1]
-    pair = np.bincount((owner[1:] * _N_COARSE**2 + coarse[:-1] * _N_COARSE + coarse[1:])[same], minlength=len(text) * _N_COARSE**2).reshape(len(text), -1)
-    return np.sqrt(np.concatenate([fine, pair], axis=1) / length[:, None]).astype(np.float32), n
+    pair = np.bincount((owner[1:] * _N_COARSE**2 + coarse[:-1] * _N_COARSE + coarse[1:])[same], minlength=len(begin) * _N_COARSE**2).reshape(len(begin), -1)
+    return np.sqrt(np.concatenate([fine, pair], axis=1) / length[:, None]).astype(np.float32)
 
 
 class AttentionModel:
@@ -144,22 +153,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train: Colum
     driver gets features of at most limit passages."""
     sample = labelled(labels, label, rows, ~is_held_out() if train is None else train)
     found = texts_of(sample, docs)
-    sized = found.withColumn("n", F.ceil(F.octet_length("text") / PASSAGE))
-    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    # At most 2 * rows ids (and repeated rows of them) in this order; their texts stay where they are.
-    few = sized.select("doc_id", "n", "label").withColumn("all", F.sum("n").over(before)).where(F.col("all") <= limit).select("doc_id").distinct()
-    chosen = found.join(F.broadcast(few), "doc_id")
+    # One number for each of at most 2 * rows ids.
+    sizes = found.groupBy("doc_id").agg(F.max(F.ceil(F.octet_length("text") / PASSAGE)).alias("n")).select("n").toArrow().column("n").to_numpy()
+    most = level(sizes, limit)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in chunks(column_of(batch, "text")):
                 x, n = passages(data, offsets)
-                ends = np.cumsum(n)
-                blobs = [x[e - k : e].tobytes() for k, e in zip(n.tolist(), ends.tolist())]
+                blobs = []
+                for e, k in zip(np.cumsum(n).tolist(), n.tolist()):
+                    some = np.arange(k) if k <= most else (2 * np.arange(most) + 1) * k // (2 * most)
+                    blobs.append(x[e - k + some].tobytes())
                 yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id").slice(a, b - a), column_of(batch, "label").slice(a, b - a), pa.array(blobs, pa.binary())], ["doc_id", "label", "x"])
 
-    schema = T.StructType([chosen.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())])
-    got = chosen.mapInArrow(encode, schema).toArrow().sort_by([("doc_id", "ascending")])
+    schema = T.StructType([found.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())])
+    encoded = found.select("doc_id", "label", "text").mapInArrow(encode, schema)
+    # Rows that repeat an id are aggregated where they are.
+    got = encoded.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x")).toArrow().sort_by([("doc_id", "ascending")])
     y = got.column("label").to_numpy().astype(float) if got.num_rows else np.zeros(0)
     if len(set(y.tolist())) < 2:
         return Constant(float(y.mean()) if len(y) else 0.5)
