@@ -113,14 +113,25 @@ ORACLE_SQL: dict[str, str] = {
         WITH t AS (SELECT page_id, url, array_to_string(list_filter(list_transform({_BLOCKS}, lambda b: {_PLAIN}), lambda b: b <> ''), chr(10)) AS text FROM pages)
         SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t""",
     "op10_language_model": f"""
-        WITH {_CRC_TABLE}, d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_CRC.format(x="coalesce(doc_id::VARCHAR, '')")} % 7 = 2 AS held_out,
-                 list_append(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+'), '<end>') AS w FROM documents, crc_t),
-        k AS MATERIALIZED (SELECT r, held_out, i, w[i] AS w, CASE WHEN i = 1 THEN '<start>' ELSE w[i - 1] END AS h, CASE WHEN i = len(w) THEN 1 ELSE 0 END AS last, CASE WHEN i = 1 THEN 1 ELSE 0 END AS first FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)),
-        u AS MATERIALIZED (SELECT w, last, count(*) AS c FROM k WHERE NOT held_out GROUP BY ALL), b AS MATERIALIZED (SELECT h, first, w, last, count(*) AS c FROM k WHERE NOT held_out GROUP BY ALL),
-        x AS MATERIALIZED (SELECT h, first, sum(c) AS c FROM b GROUP BY ALL), n AS (SELECT sum(c) AS n, count(*) AS v FROM u),
-        p AS (SELECT k.r, coalesce(u.c, 0) AS c, (coalesce(u.c, 0) + 1)::DOUBLE / (n.n + n.v + 1)::DOUBLE AS p, coalesce(b.c, 0) AS bc, coalesce(x.c, 0) AS xc
-              FROM k CROSS JOIN n LEFT JOIN u USING (w, last) LEFT JOIN b USING (h, first, w, last) LEFT JOIN x USING (h, first)),
-        s AS (SELECT r, count(*)::BIGINT AS n_tokens, count(*) FILTER (c > 0)::BIGINT AS n_known, sum(log10(p)) AS base, sum(log10((bc + {language_model.MU}::DOUBLE * p) / (xc + {language_model.MU}::DOUBLE))) AS score FROM p GROUP BY r)
+        WITH {_CRC_TABLE},
+        d AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, doc_id, {_CRC.format(x="coalesce(doc_id::VARCHAR, '')")} % 7 = 2 AS held_out,
+                   list_concat(['^'], list_transform(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+'), lambda w: '.' || w), ['$']) AS w
+            FROM documents, crc_t),
+        k AS MATERIALIZED (
+            SELECT r, held_out, w[i] AS w, w[i - 1] AS h, CASE WHEN i > 2 THEN w[i - 2] END AS g FROM (SELECT *, unnest(range(2, len(w) + 1)) AS i FROM d)),
+        c1 AS MATERIALIZED (SELECT w, count(*) AS c FROM k WHERE NOT held_out GROUP BY ALL),
+        c2 AS MATERIALIZED (SELECT h, w, count(*) AS c FROM k WHERE NOT held_out GROUP BY ALL),
+        c3 AS MATERIALIZED (SELECT g, h, w, count(*) AS c FROM k WHERE NOT held_out AND g IS NOT NULL GROUP BY ALL),
+        x2 AS MATERIALIZED (SELECT h, sum(c) AS c FROM c2 GROUP BY ALL),
+        x3 AS MATERIALIZED (SELECT g, h, sum(c) AS c FROM c3 GROUP BY ALL),
+        n AS (SELECT sum(c) AS n, count(*) AS v FROM c1),
+        p1 AS (SELECT k.*, coalesce(c1.c, 0) AS c1, (coalesce(c1.c, 0) + 1)::DOUBLE / (n.n + n.v + 1)::DOUBLE AS p1 FROM k CROSS JOIN n LEFT JOIN c1 USING (w)),
+        p2 AS (SELECT p1.*, (coalesce(c2.c, 0) + {language_model.MU[0]}::DOUBLE * p1) / (coalesce(x2.c, 0) + {language_model.MU[0]}::DOUBLE) AS p2
+               FROM p1 LEFT JOIN c2 USING (h, w) LEFT JOIN x2 USING (h)),
+        p3 AS (SELECT p2.*, CASE WHEN g IS NULL THEN p2 ELSE (coalesce(c3.c, 0) + {language_model.MU[1]}::DOUBLE * p2) / (coalesce(x3.c, 0) + {language_model.MU[1]}::DOUBLE) END AS p3
+               FROM p2 LEFT JOIN c3 USING (g, h, w) LEFT JOIN x3 USING (g, h)),
+        s AS (SELECT r, count(*)::BIGINT AS n_tokens, count(*) FILTER (c1 > 0)::BIGINT AS n_known, sum(log10(p1)) AS base, sum(log10(p3)) AS score FROM p3 GROUP BY r)
         SELECT doc_id, held_out, n_tokens, n_known, (SELECT n FROM n)::BIGINT AS train_tokens, round(base, 6) AS base_score, round(score, 6) AS score FROM d JOIN s USING (r)""",
     "op3_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORDS}') AS w FROM documents),

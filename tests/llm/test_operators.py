@@ -236,51 +236,79 @@ def test_embeddings(spark):
         assert got[906]["component_id"] == got[0]["component_id"]
 
 
-def test_language_model(spark, docs):
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    texts = [[*re.findall(r"[^\x20\x09-\x0D]+", lower(t)), None] for _, t in rows]
-    train = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2 for i, _ in rows]
-    one, two, context = collections.Counter(), collections.Counter(), collections.Counter()
+def plain_model(texts, train, order, mu):
+    """(base, score, known) of each text by states as tuples: arcs where an n-gram was seen, else failure arcs."""
+    grams = collections.Counter()
     for t, k in zip(texts, train):
         if k:
-            one.update(t)
-            two.update(zip(["<s>", *t], t))
-            context.update(["<s>", *t[:-1]])
-    n, v, mu = sum(one.values()), len(one), language_model.MU
-    want = []
-    for (i, _), t, k in zip(rows, texts, train):
-        p = [(one[w] + 1) / (n + v + 1) for w in t]
-        score = sum(math.log10((two[a, w] + mu * q) / (context[a] + mu)) for a, w, q in zip(["<s>", *t], t, p))
-        want.append((i or -1, not k, len(t), sum(one[w] > 0 for w in t), n, round(sum(map(math.log10, p)), 4), round(score, 4)))
+            grams.update(tuple(t[a : a + n]) for n in range(1, order + 1) for a in range(len(t) - n + 1))
+    n = sum(c for g, c in grams.items() if len(g) == 1 and g != ("<s>",))
+    v = sum(len(g) == 1 and g != ("<s>",) for g in grams)
+
+    def p(h, w):
+        return (grams[(*h, w)] + mu[len(h) - 1] * p(h[1:], w)) / (grams[h] + mu[len(h) - 1]) if h else (grams[(w,)] + 1) / (n + v + 1)
+
+    out = []
+    for t in texts:
+        state, score = ("<s>",) if grams[("<s>",)] else (), 0.0
+        for w in t[1:]:
+            while state and not grams[(*state, w)]:
+                score += math.log10(mu[len(state) - 1] / (grams[state] + mu[len(state) - 1]))
+                state = state[1:]
+            score += math.log10(p(state, w))
+            state = (*state, w)[-(order - 1) :]
+            while state and not grams[state]:
+                state = state[1:]
+        out.append((sum(math.log10(p((), w)) for w in t[1:]), score, sum(grams[(w,)] > 0 for w in t[1:])))
+    return out, n
+
+
+@pytest.mark.parametrize("order,mu", [(2, (4.0,)), (3, language_model.MU), (4, (8.0, 4.0, 2.0))])
+def test_language_model(spark, docs, order, mu):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    texts = [["<s>", *re.findall(r"[^\x20\x09-\x0D]+", lower(t)), None] for _, t in rows]
+    train = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2 for i, _ in rows]
+    plain, n = plain_model(texts, train, order, mu)
+    want = np.array(sorted((i or -1, not k, len(t) - 1, known, n, base, score) for (i, _), t, k, (base, score, known) in zip(rows, texts, train, plain)), dtype=float)
     for size, entries in ((6 << 20, 1 << 20), (300, 20)):
-        got = language_model.scores(docs, block_bytes=size, range_entries=entries).collect()
-        assert sorted((r[0] or -1, *r[1:5], round(r[5], 4), round(r[6], 4)) for r in got) == sorted(want)
+        got = language_model.scores(docs, order=order, mu=mu, block_bytes=size, range_entries=entries).collect()
+        assert np.allclose(np.array(sorted((r[0] or -1, *r[1:]) for r in got), dtype=float), want, rtol=0, atol=1e-5)
     assert language_model.scores(docs.limit(0)).count() == 0
 
 
-def test_language_model_adds_up_to_one():
-    """The arcs and failure arcs of the state "a b": over all words and one unseen, the walk's probabilities add up to one."""
-    block = language_model.Block(pa.array(["a b a c", "b a b"]), np.array([True, True]), 3)
+def test_language_model_stretches():
+    """A text cut into stretches is traversed through the same states as one that is not."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefgh"), n)) for n in (0, 1, 2, 3, 300, 1000)]
+    block = language_model.Block(pa.array(texts), np.array([True, True, False, True, False, True]), 3)
+    automaton = language_model.Automaton(block, block.own, 1000, 9, language_model.MU)
+    whole = automaton.walk(10**6)
+    assert all(np.allclose(automaton.walk(k), whole) for k in (1, 2, 3, 128))
 
-    def walk(text):
-        probe = language_model.Block(pa.array([text]), np.array([False]), 3)
-        at = np.minimum(np.searchsorted(block.hashes, probe.hashes), len(block.hashes) - 1)
-        return float(probe.walk(np.where(block.hashes[at] == probe.hashes, block.own[at], 0), 9, 4, 2.0)[3][0])
 
-    # The end's own weight after w is taken off: it is p(end | b w) of the same model, by the recursion.
-    grams = collections.Counter()
-    for s in (["<s>", "a", "b", "a", "c", None], ["<s>", "b", "a", "b", None]):
-        for n in (1, 2, 3):
-            grams.update(tuple(s[k : k + n]) for k in range(len(s) - n + 1))
-
-    def p(w, h):
-        return (grams[(*h, w)] + 2.0 * p(w, h[1:])) / (grams[tuple(h)] + 2.0) if h else (grams[(w,)] + 1) / (9 + 4 + 1)
-
-    start = p("a", ["<s>"]) * p("b", ["<s>", "a"])
-    total = 10 ** walk("a b") / start
-    for w in ("a", "b", "c", "unseen"):
-        total += 10 ** walk(f"a b {w}") / p(None, ["b", w]) / start
-    assert math.isclose(total, 1.0, rel_tol=1e-9)
+def test_language_model_adds_up_to_one():
+    """In each state, the probabilities of all words, the end and one unseen word add up to one."""
+    texts = ["a b a c", "b a b", "unseen"]
+    block = language_model.Block(pa.array(texts), np.array([True, True, False]), 3)
+    automaton = language_model.Automaton(block, block.own, 9, 4, (2.0, 3.0))
+    tokens = np.unique(block.gram[0][block.place >= 1]).astype(np.int64)
+    end = block.gram[0][block.lengths[0] - 1]
+    states = {int(block.gram[k][at]) for k in (0, 1) for at in np.flatnonzero((block.place >= k) & (block.gram[0] != end))} | {automaton.root}
+    checked = [state for state in states if automaton.seen[state]]
+    assert len(tokens) == 5 and len(checked) > 8
+    for state in checked:
+        _, log = automaton.step(np.full(5, state), tokens)
+        assert math.isclose((10**log).sum(), 1.0, rel_tol=1e-9)
+
+
+def test_packing():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 1000):
+        for top in (1 << 20, 1 << 62):
+            h = np.unique(rng.integers(0, top, n, dtype=np.uint64))
+            counts = rng.integers(0, 5, len(h)).astype(np.uint64)
+            got, at = language_model.unpack_steps(blob := language_model.pack_steps(h) + language_model.pack(counts))
+            assert (got == h).all() and (language_model.unpack(blob, at)[0] == counts).all()
 
 
 @pytest.mark.parametrize("tag", ["article", "div"])
