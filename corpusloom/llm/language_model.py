@@ -17,8 +17,8 @@ The model grows with the corpus, so it is never in one place. Texts are dealt to
 asks for the counts of its own n-grams: sorted hashes, cut into ranges and packed. A range adds up the counts of all
 blocks and answers each block with those totals that differ from its own count. So most n-grams that occur in one
 block only cost nothing on the way back, and no count is dropped: there is no cutoff. From the totals a block builds the part of the
-automaton that its own texts can reach. Hashes have 26 bits more than the number of the corpus's n-grams has (64 at most), so
-that about one in 2^26 n-grams shares its hash with another.
+automaton that its own texts can reach. Hashes have 22 bits more than the number of the corpus's n-grams
+has (LEAST_BITS at least, 64 at most), so that about one in 2^22 n-grams or fewer shares its hash with another.
 
 Edge cases: a null or empty text, or one of white space, is the end token alone; a null id is in the remainder 0 and
 trains; rows with equal ids, or all equal, are texts of their own with equal scores. With no training text N = V = 0. An empty table
@@ -42,10 +42,12 @@ ORDER = 3
 #: mu of states of one token, of two, ...: the last holds for longer ones.
 MU = (32.0, 32.0)
 #: UTF-8 bytes of the texts of a block, about; and n-grams that a range adds up, about.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 5 << 20
 RANGE_ENTRIES = 1 << 20
 #: Tokens of a stretch of text that one traversal reads.
 STRETCH = 128
+#: Bits of the hashes of n-grams at least.
+LEAST_BITS = 52
 _START, _END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -112,30 +114,31 @@ class Block:
         token = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.uint64)
         self.first = np.cumsum(self.lengths) - self.lengths
         self.text = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
-        self.place = np.arange(len(token)) - self.first[self.text]
+        self.place = (np.arange(len(token)) - self.first[self.text]).astype(np.int32)
+        tokens.clear()
         hashes, wheres = [], []
         gram = token
         for k in range(order):
             if k:
                 gram = np.concatenate([np.zeros(1, dtype=np.uint64), mix(gram[:-1] * _STEP + token[1:] + np.uint64(k))])[: len(token)]
-            where = np.flatnonzero(self.place >= k)
+            where = np.flatnonzero(self.place >= k).astype(np.int32)
             hashes.append(gram[where] >> np.uint64(64 - bits))
             wheres.append(where)
-        self.hashes, at, self.own = _numbered(np.concatenate(hashes), np.concatenate([train[self.text[w]] for w in wheres]))
+        del token, gram
+        every = np.concatenate(hashes)
+        hashes.clear()
+        self.hashes, at = np.unique(every, return_inverse=True)
+        del every
+        at = at.astype(np.int32)
+        self.own = np.bincount(at, weights=np.concatenate([train[self.text[w]] for w in wheres]), minlength=len(self.hashes)).astype(np.int64)
         self.gram, done = [], 0
         for where in wheres:
-            numbers = np.full(len(token), -1, dtype=np.int32)
+            numbers = np.full(len(self.text), -1, dtype=np.int32)
             numbers[where] = at[done : done + len(where)]
             self.gram.append(numbers)
             done += len(where)
 
 
-def _numbered(h: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct values, number of each, how many known ones each has)."""
-    every, at = np.unique(h, return_inverse=True)
-    return every, at.astype(np.int32), np.bincount(at, weights=known, minlength=len(every)).astype(np.int64)
-
-
 class Automaton:
     """The part of the backoff automaton that a block's texts can reach. A state is the number of its n-gram; the last is the root."""
 
@@ -149,7 +152,7 @@ class Automaton:
         for k in range(block.order):
             # One place of each n-gram of k + 1 tokens tells its last token, and those without the first and the last token.
             where = np.flatnonzero(block.place >= k)
-            some = np.full(size, -1, dtype=np.int64)
+            some = np.full(size, -1, dtype=np.int32)
             some[block.gram[k][where]] = where
             number = np.flatnonzero(some >= 0)
             place = some[number]
@@ -163,18 +166,20 @@ class Automaton:
                 arc = counts[number] > 0
                 keys.append(context[arc].astype(np.int64) * (size + 1) + block.gram[0][place[arc]])
                 logs.append(np.log10(weight[number[arc]]))
-                targets.append(number[arc] if k < block.order - 1 else shorter[arc])
+                targets.append((number[arc] if k < block.order - 1 else shorter[arc]).astype(np.int32))
             m = mu[min(k + 1, len(mu)) - 1]
             self.fail_log[number] = np.log10(m / (counts[number] + m))
             if not k:
                 self.root_log = np.zeros(size)
                 self.root_log[number] = np.log10(weight[number])
         key = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
-        by = np.argsort(key)
+        keys.clear()
+        by = np.argsort(key).astype(np.int32)
         # One more arc, under no token, so that there is a last one.
         self.key = np.append(key[by], np.iinfo(np.int64).max)
+        del key
         self.log = np.append((np.concatenate(logs) if logs else np.zeros(0))[by], 0.0)
-        self.target = np.append((np.concatenate(targets) if targets else np.zeros(0, dtype=np.int64))[by], size).astype(np.int64)
+        self.target = np.append((np.concatenate(targets) if targets else np.zeros(0, dtype=np.int64))[by], size).astype(np.int32)
 
     def state_before(self, at: np.ndarray) -> np.ndarray:
         """The state in which the token at each position is read: the longest one that the tokens before end with."""
@@ -238,8 +243,20 @@ def is_held_out(doc_id: str, folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def vocabulary(docs: DataFrame) -> tuple[int, int]:
-    """(tokens, distinct tokens) of docs(text, train), the end included."""
+def ranges_of(hashes: np.ndarray, bits: int, range_bits: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(ranges that have some of the sorted hashes, places of each)."""
+    top = hashes >> np.uint64(bits - range_bits)
+    at = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]])) if len(top) else np.zeros(0, dtype=np.int64)
+    return top[at].astype(np.int64), list(zip(at.tolist(), [*at[1:].tolist(), len(hashes)]))
+
+
+def vocabulary(docs: DataFrame, bits: int = 64, range_bits: int = 4) -> tuple[int, int]:
+    """(tokens, distinct tokens) of docs(text, train), the end included: packed ranges of hashes, each counted where it is merged."""
+
+    def packed(held: list[np.ndarray]):
+        h = np.unique(np.concatenate(held))
+        ranges, places = ranges_of(h, bits, range_bits)
+        return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.nulls(len(ranges), pa.int64()), pa.array([pack_steps(h[a:b]) for a, b in places], pa.binary())], ["range", "n", "blob"])
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -251,22 +268,26 @@ def vocabulary(docs: DataFrame) -> tuple[int, int]:
                 some = train[a:b][text]
                 ended = int(train[a:b].sum())
                 total += int(some.sum()) + ended
-                held.append(np.unique(np.append(spans_hash(data, starts[some], ends[some]), np.full(min(1, ended), _END))))
+                held.append(np.unique(np.append(spans_hash(data, starts[some], ends[some]), np.full(min(1, ended), _END)) >> np.uint64(64 - bits)))
                 rows += len(held[-1])
                 if rows > 1 << 21:
                     held = [np.unique(np.concatenate(held))]
                     rows = len(held[0])
                     if rows > 1 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.nulls(rows, pa.int64())], ["h", "n"])
+                        yield packed(held)
                         held, rows = [], 0
         if held:
-            h = np.unique(np.concatenate(held)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.nulls(len(h), pa.int64())], ["h", "n"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([total])], ["h", "n"])
+            yield packed(held)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([total]), pa.nulls(1, pa.binary())], ["range", "n", "blob"])
+
+    def count(table: pa.Table) -> pa.Table:
+        merged = [unpack_steps(x)[0] for x in table.column("blob").to_pylist() if x is not None]
+        tokens = sum(x or 0 for x in table.column("n").to_pylist())
+        return pa.table({"n": pa.array([tokens]), "v": pa.array([len(np.unique(np.concatenate(merged))) if merged else 0])})
 
-    found = docs.select("text", "train").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    n, v = found.agg(F.sum("n"), F.count("h")).first()
-    return n or 0, v
+    found = docs.select("text", "train").mapInArrow(run, "range int, n long, blob binary")
+    n, v = found.groupBy("range").applyInArrow(count, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    return n or 0, v or 0
 
 
 def scores(
@@ -277,25 +298,19 @@ def scores(
     out = is_held_out(doc_id) if held_out is None else held_out
     given = docs.select(F.col(doc_id).alias("doc_id"), (~out).alias("train"), F.col(text).alias("text"))
     total = given.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-    n_tokens, n_types = vocabulary(given)
     blocks = max(1, -(-total // block_bytes))
     range_bits = max(0, (total * order // 4 // range_entries).bit_length())
-    bits = min(64, max(32, (total * order // 4).bit_length() + 26))
+    bits = min(64, max(LEAST_BITS, (total * order // 4).bit_length() + 22))
+    n_tokens, n_types = vocabulary(given, bits, range_bits)
     dealt = given.withColumn("block", F.expr(f"int(pmod(xxhash64(doc_id, text), {blocks}))")).repartition("block")
 
     def block_of(table: pa.Table) -> Block:
         return Block(table.column("text"), table.column("train").to_numpy(), order, bits)
 
-    def ranges_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ranges that have hashes, first place of each)."""
-        top = hashes >> np.uint64(bits - range_bits)
-        at = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]])) if len(top) else np.zeros(0, dtype=np.int64)
-        return top[at].astype(np.int64), at
-
     def ask(table: pa.Table) -> pa.Table:
         block = block_of(table)
-        ranges, at = ranges_of(block.hashes)
-        blobs = [pack_steps(block.hashes[a:b]) + pack(block.own[a:b]) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(block.hashes)])]
+        ranges, places = ranges_of(block.hashes, bits, range_bits)
+        blobs = [pack_steps(block.hashes[a:b]) + pack(block.own[a:b]) for a, b in places]
         return pa.table({"range": pa.array(ranges, pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(ranges), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     def add_up(table: pa.Table) -> pa.Table:
@@ -324,8 +339,9 @@ def scores(
         if not table.num_rows:
             return pa.table({n: pa.array([], t) for n, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
         block = block_of(table)
-        counts = block.own.copy()
-        first = dict(zip(*(x.tolist() for x in ranges_of(block.hashes))))
+        counts, block.own = block.own, None
+        ranges, places = ranges_of(block.hashes, bits, range_bits)
+        first, block.hashes = {r: a for r, (a, _) in zip(ranges.tolist(), places)}, None
         for r, blob in zip(answers.column("range").to_pylist(), answers.column("blob").to_pylist()):
             steps, at = unpack(blob)
             counts[first[r] + np.cumsum(steps.astype(np.int64))] = unpack(blob, at)[0]

@@ -228,7 +228,7 @@ def test_embeddings(spark):
     near = x @ x.T >= 0.9
     want = {i: int(n) - 1 for (i, _), n in zip(good, near.sum(axis=1))}
     for block in (2048, 4):
-        got = {r["vec_id"]: r for r in embeddings.links(frame, block=block).collect()}
+        got = {r["vec_id"]: r for r in embeddings.links(frame, block=block, exact=block).collect()}
         assert len(got) == len(rows + odd)
         assert all(r["n_links"] <= want.get(i, 0) for i, r in got.items())
         assert sum(r["n_links"] for r in got.values()) >= 0.9 * sum(want.values())
@@ -236,6 +236,47 @@ def test_embeddings(spark):
         assert got[906]["component_id"] == got[0]["component_id"]
 
 
+def test_embeddings_planted(spark):
+    """Recall of planted pairs of cosine 0.9 to 0.92 among 20,000 vectors, with as few candidates as for that many."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for k in range(0, 2000, 2):
+        other = x[k + 1] - (x[k + 1] @ x[k]) * x[k]
+        cosine = rng.uniform(0.9, 0.92)
+        x[k + 1] = cosine * x[k] + math.sqrt(1 - cosine**2) * other / np.linalg.norm(other)
+    x = x.astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = [np.flatnonzero(unit[k] @ unit.T >= 0.9) for k in range(2000)]
+    want = sum(len(n) - 1 for n in near)
+    frame = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = embeddings.links(frame).where("n_links > 0").collect()
+    assert want >= 1900 and sum(r["n_links"] for r in got) >= 0.93 * want and all(r["n_links"] == 1 and r["component_id"] == r["vec_id"] // 2 * 2 for r in got)
+
+
+def test_embeddings_candidates():
+    """The number of vectors that one meets does not grow with their number; tables do, slowly."""
+    rng = np.random.default_rng(13)
+    sample = rng.standard_normal((500, 64)).tolist()
+    distances = embeddings._distances(sample, 0.9)
+    tables = []
+    for n in (10**3, 10**4, 10**5, 10**6, 10**7):
+        t, k = embeddings.chosen(n, distances)
+        assert n * t * float((embeddings.collides(distances) ** k).mean()) <= embeddings.CANDIDATES
+        assert 1 - (1 - float(embeddings.collides(np.array([math.sqrt(0.2)]))[0]) ** k) ** t >= embeddings.RECALL
+        tables.append(t)
+    assert tables == sorted(tables) and tables[-1] <= embeddings.TABLES_MOST
+    a, b = rng.standard_normal((2, 4000, 64))
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    a = unit(a)
+    b = unit(a + 0.4843 * unit(b - (a * b).sum(axis=1)[:, None] * a))
+    index = embeddings.Index(8, 4)
+    (p, s), (q, t) = index.rows(a), index.rows(b)
+    assert abs((p == q).mean() - float(embeddings.collides(np.array([np.linalg.norm(a - b, axis=1).mean()]))[0]) ** 4) < 0.02
+    assert (np.bitwise_count((s ^ t).view(np.uint64)).sum(axis=1) > embeddings.sketch_limit()).mean() < 1e-3
+    assert embeddings.chosen(1, np.zeros(0)) and embeddings.chosen(0, np.zeros(0))
+
+
 def plain_model(texts, train, order, mu):
     """(base, score, known) of each text by states as tuples: arcs where an n-gram was seen, else failure arcs."""
     grams = collections.Counter()
