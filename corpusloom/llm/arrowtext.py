@@ -103,29 +103,3 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
 
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
-
-
-def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], least_rows: int = 100_000) -> Iterator[pa.Table]:
-    """Tables of rows sorted by keys, cut only where a key changes."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows < least_rows:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        same = np.ones(table.num_rows, dtype=bool)
-        for key in keys:
-            values = table.column(key).to_numpy()
-            same &= values == values[-1]
-        cut = table.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
-        if cut:
-            yield table.slice(0, cut)
-        held = table.slice(cut).combine_chunks().to_batches()
-        rows = table.num_rows - cut
-        least_rows = max(least_rows, 2 * rows)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()

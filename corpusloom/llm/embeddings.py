@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import column_of, mix, whole_runs
-from .graphs import cells, components
+from .arrowtext import column_of, mix
+from .graphs import cells, components, lowest, runs, stars, whole_runs
 from .sparkutil import cut
 
 THRESHOLD = 0.9
@@ -48,7 +48,7 @@ CANDIDATES = 4096
 TABLES_MOST = 128
 WIDTH = 2.4
 SKETCH = 128
-SAMPLE = 2000
+SAMPLE = 1000
 SEED = 11
 #: Rows of one bucket, and classes of one component, that a cell compares.
 BLOCK, EXACT = 4096, 8192
@@ -120,20 +120,9 @@ def _distances(vectors: list[list[float]], threshold: float) -> np.ndarray:
     return np.concatenate(found)
 
 
-def _runs(run: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(begins, ends) of the stretches of rows with equal keys."""
-    values = [run.column(k).to_numpy() for k in keys]
-    new = np.zeros(run.num_rows, dtype=bool)
-    new[:1] = True
-    for v in values:
-        new[1:] |= v[1:] != v[:-1]
-    begin = np.flatnonzero(new)
-    return begin, np.append(begin[1:], run.num_rows)
-
-
 def _alike(run: pa.Table, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that join the rows of each cell whose sketches are alike, as stars of cells' components."""
-    begin, end = _runs(run, ["key", "i", "j"])
+    begin, end = runs([run.column(k).to_numpy() for k in ("key", "i", "j")])
     c = run.column("c").to_numpy()
     sketch = np.stack([run.column(f"s{k}").to_numpy().view(np.uint64) for k in range(SKETCH // 64)], axis=1)
     size = end - begin
@@ -158,7 +147,7 @@ def _alike(run: pa.Table, limit: int) -> tuple[np.ndarray, np.ndarray]:
             p, q = p[p < q], q[p < q]
             if len(p):
                 # A star for each component found here is enough for the components of all.
-                node, root = _stars(at + p, at + q)
+                node, root = stars(at + p, at + q)
                 us.append(node)
                 vs.append(root)
     if not us:
@@ -201,7 +190,7 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
         for run in whole_runs(batches, ["key", "i", "j"], 8192):
             column = run.column("v").combine_chunks() if isinstance(run.column("v"), pa.ChunkedArray) else run.column("v")
             c, n, i, j, piece = (run.column(x).to_numpy() for x in ("c", "n", "i", "j", "piece"))
-            begin, end = _runs(run, ["key", "i", "j"])
+            begin, end = runs([run.column(k).to_numpy() for k in ("key", "i", "j")])
             cell = np.repeat(np.arange(len(begin)), end - begin)
             others, us, vs = np.zeros(len(c), dtype=np.int64), [], []
             for rows, x in _vectors(column):
@@ -221,7 +210,7 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
                             others[own[right]] += n[own[some]] @ near
                         p, q = np.nonzero(near)
                         if len(p):
-                            node, root = _stars(c[own[some[p]]], c[own[right[q]]])
+                            node, root = stars(c[own[some[p]]], c[own[right[q]]])
                             us.append(node)
                             vs.append(root)
             found = np.flatnonzero(others)
@@ -244,28 +233,9 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     found = cut(parts.select("key", "i", "j", "piece", "c", "n", "v").mapInArrow(compared, "u long, n long, v long"))
     partners = found.where("n is not null").groupBy("u").agg(F.sum("n").alias("others"))
     roots = components(found.where("v is not null").select("u", "v"))
-    own = classes.select("c", "low", "n").join(partners, F.col("c") == F.col("u"), "left").drop("u").join(roots, F.col("c") == F.col("node"), "left")
-    own = own.select("c", "low", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("root", "c").alias("root"))
-    lows = own.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_class = own.join(lows, "root").select("c", "n_links", "component_id")
+    own = classes.select("c", "low", "n").join(partners, F.col("c") == F.col("u"), "left").drop("u")
+    by_class = lowest(own, roots, "c", "low").select("c", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id")
     rows = marked.select("vec_id", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("c"))
     out = rows.join(by_class, "c", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(F.col("c").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-
-
-def _stars(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest node reachable) of the graph of pairs (p, q), without the smallest themselves."""
-    nodes, at = np.unique(np.concatenate([p, q]), return_inverse=True)
-    a, b = at[: len(p)], at[len(p) :]
-    low = np.arange(len(nodes))
-    while True:
-        new = low.copy()
-        np.minimum.at(new, a, low[b])
-        np.minimum.at(new, b, low[a])
-        new = new[new]
-        if (new == low).all():
-            break
-        low = new
-    some = np.flatnonzero(low != np.arange(len(nodes)))
-    return nodes[some], nodes[low[some]]

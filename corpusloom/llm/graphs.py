@@ -1,47 +1,26 @@
-"""Connected components by alternating large-star and small-star steps, and bounded cells of LSH buckets."""
+"""Connected components and bounded cells of LSH buckets: the library's own, and the smallest id of each component."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sparkutil import cut
+from ..operators.cells import cells, components, runs, stars, whole_runs
 
+__all__ = ["cells", "components", "lowest", "runs", "stars", "whole_runs"]
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges(u, v): root is the smallest node reachable.
+#: Tasks among which the members of one component are spread.
+WAYS = 16
 
-    Every step is an aggregation (partial first) and an equi-join that the adaptive planner can split; the state is
-    checkpointed after each round. Rounds grow with the logarithm of the longest chain. Nodes without an edge to
-    another node are not returned.
-    """
-    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def cells(keys: DataFrame, key: str, member: str, block: int, alone: bool = False) -> DataFrame:
-    """Rows of keys(key, member, ...) dealt to cells (key, i, j) that hold at most about 2 * block rows.
-
-    A key with up to block rows is the cell (0, 0). A larger one is cut into pieces by a hash of the member, and each piece
-    goes to its cells with all pieces, so every pair of members meets in one cell: in (p, p) if both are of piece
-    p, in (p, q) else. Column piece names a row's own. No row is dropped, but for the rows of keys with a single one, which
-    have no pair: without alone they are left out, which pays where rows are wide; with alone only the few large
-    keys are joined, and narrow rows go on as they are.
+
+def lowest(nodes: DataFrame, roots: DataFrame, node: str, low: str) -> DataFrame:
+    """nodes(node, low, ...) with root (node, if it has no link) and the smallest low of its component as component_id.
+
+    Nodes without links are never joined on their root; the members of a component are spread over WAYS tasks, so a
+    component of a third of all nodes is no task of its own.
     """
-    sizes = keys.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > (block if alone else 1)).select(key, F.ceil(F.col("_n") / block).cast("int").alias("_c"))
-    out = keys.join(sizes, key, "left" if alone else "inner").withColumn("_c", F.coalesce("_c", F.lit(1)))
-    out = out.withColumn("piece", F.expr(f"int(pmod(xxhash64({member}), _c))"))
-    cell = F.expr("transform(sequence(0, _c - 1), q -> struct(least(piece, q) AS i, greatest(piece, q) AS j))")
-    return out.withColumn("_cell", F.explode(cell)).select("*", F.col("_cell.i").alias("i"), F.col("_cell.j").alias("j")).drop("_cell", "_c")
+    linked = nodes.join(roots.select(F.col("node").alias(node), "root"), node)
+    lows = linked.groupBy("root").agg(F.min(low).alias("component_id")).withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))))
+    found = linked.withColumn("_way", F.expr(f"int(pmod(xxhash64({node}), {WAYS}))")).join(lows, ["root", "_way"]).select(node, "root", "component_id")
+    out = nodes.join(found, node, "left")
+    return out.withColumn("component_id", F.when(F.col("root").isNull(), F.col(low)).otherwise(F.col("component_id"))).withColumn("root", F.coalesce("root", node))

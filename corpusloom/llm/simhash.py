@@ -15,7 +15,9 @@ fingerprint), verified by exact bit count, and linked groups found as connected
 
 Edge cases: a null or empty text, or one of white space, has fingerprint zero and is linked like any other. Equal
 fingerprints are one node, so groups of exact copies cost one row. A null doc_id takes no part in choosing the
-smallest id. An empty table gives an empty result.
+smallest id. Repeated rows and ties have one fingerprint and component. Very long texts are read whole; their bits are counted in steps.
+Only id and text are read, so other columns cannot clash; keep_one gives all columns back as they are. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .arrowtext import LOWER, NOT_SPACE, chunks, column_of, whole_runs, words
-from .graphs import cells, components
+from .arrowtext import LOWER, NOT_SPACE, chunks, column_of, words
+from .graphs import cells, components, lowest, whole_runs
 from .sparkutil import cut, fresh
 
 SHINGLE = 4
@@ -219,8 +221,7 @@ def by_fingerprint(marked: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(fp, root, component_id) of each distinct fingerprint of marked(doc_id, fp): its group and the group's smallest id."""
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = components(links(distinct, max_bits))
-    linked = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    return linked.join(linked.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "root", "component_id")
+    return lowest(distinct, roots, "fp", "low").select("fp", "root", "component_id")
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -236,16 +237,17 @@ def hex16(fp: str = "fp") -> Column:
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each group, with all columns of docs: that of the smallest id.
 
-    If several rows have that id, one of them stays. A group in which no row has an id keeps one row as well.
+    If several rows of the group have that id, one of them stays. A group in which no row has an id keeps one row as well.
     """
     marked = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), keep=["doc_id"]))
-    found = cut(by_fingerprint(marked, max_bits))
-    kept = marked.join(found, "fp").where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    mark, n, fp, root = fresh(docs, "kept", "n", "fp", "root")
-    rows = docs.join(kept.select(F.col("doc_id").alias(mark), F.col("n").alias(n)), F.col(doc_id) == F.col(mark)).drop(mark)
-    once = rows.where(F.col(n) == 1).drop(n)
-    again = rows.where(F.col(n) > 1).drop(n).dropDuplicates([doc_id])
-    nameless = fingerprints(docs.where(F.col(doc_id).isNull()), text, to=fp)
-    alone = found.where("component_id is null").select(F.col("fp").alias(mark), F.col("root").alias(root))
-    nameless = nameless.join(alone, F.col(fp) == F.col(mark)).dropDuplicates([root]).select(docs.columns)
-    return once.unionByName(again).unionByName(nameless)
+    counted = marked.groupBy("fp", "doc_id").agg(F.count("*").alias("n"))
+    # Of each group: the fingerprint and id of the row that stays, and how many rows have both.
+    least = cut(counted.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "n")).alias("least")))
+    roots = components(links(least, max_bits))
+    whole = least.join(roots, least.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("k"))
+    kept = cut(whole.select("k.fp", "k.doc_id", "k.n"))
+    mark, low, n, fp = fresh(docs, "mark", "low", "n", "fp")
+    rows = fingerprints(docs, text, to=fp).join(kept.select(F.col("fp").alias(mark), F.col("doc_id").alias(low), F.col("n").alias(n)), (F.col(fp) == F.col(mark)) & F.col(doc_id).eqNullSafe(F.col(low)))
+    once = rows.where(F.col(n) == 1).select(docs.columns)
+    again = rows.where(F.col(n) > 1).dropDuplicates([fp]).select(docs.columns)
+    return once.unionByName(again)

@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint.
-
-    The folder is the one that the cluster names in spark.checkpoint.dir. Only where that is unset, as in tests on
-    one machine, a temporary folder is taken.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+from ..functions.session import cut  # noqa: F401
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

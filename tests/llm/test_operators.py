@@ -179,6 +179,39 @@ def test_golay_keys_lose_no_link():
     assert len({r for r, _ in a & b}) == len(x)
 
 
+def groups_of(fps):
+    """The smallest place of each fingerprint's group, by all comparisons."""
+    f = np.array(fps, dtype=np.uint64)
+    low = np.arange(len(f))
+    near = np.bitwise_count(f[:, None] ^ f[None, :]) <= 4
+    while not ((new := np.array([low[n].min() for n in near])) == low).all():
+        low = new
+    return low
+
+
+def test_simhash_groups(spark):
+    """doc_id, fingerprint and component_id of every row, against all comparisons, with texts that differ in a word."""
+    rng = np.random.default_rng(7)
+    vocabulary = [f"{a}{b}" for a in ("ri", "sto", "clo", "pa") for b in ("ver", "ne", "ud", "per")]
+    rows = [(k, t) for k, t in enumerate([None, "", " \n", "one", "One", "one two three", "é " * 9])]
+    for k in range(30):
+        own = rng.choice(vocabulary, 400).tolist()
+        for change in range(3):
+            copy = list(own)
+            if change:
+                copy[int(rng.integers(400))] = "other"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [rows[8], rows[9], (None, rows[10][1]), (None, "x y z")]
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    fps = [fingerprint(t) for _, t in order]
+    low = groups_of(fps)
+    want = collections.Counter((i, f"{f:016x}", order[g][0]) for (i, _), f, g in zip(order, fps, low))
+    assert len(set(low.tolist())) < len(set(fps)) - 10
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.groups(frame).select("doc_id", simhash.hex16().alias("f"), "component_id").collect()
+    assert collections.Counter(map(tuple, got)) == want
+
+
 def test_simhash(spark, docs):
     for r in simhash.groups(docs).collect():
         texts = {t for t in TEXTS if simhash_hex(t) == simhash_hex_of(r["fp"])}

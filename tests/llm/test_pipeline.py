@@ -10,9 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import decontaminate, quality, simhash
+from corpusloom.llm import decontaminate, quality
 from corpusloom.llm.sparkutil import table
 
+from test_near_dedup import groups as jaccard_groups
+
 
 @pytest.fixture(scope="module")
 def sf_dir(spark, tmp_path_factory):
@@ -57,15 +59,11 @@ def test_stages(spark, sf_dir, tmp_path):
     assert len(bad) <= 2
 
     before, after = steps["near_dedup"]
-    marked = [(r["doc_id"], r["fp"] & (2**64 - 1)) for r in simhash.fingerprints(before).collect()]
-    fps = np.array([f for _, f in marked], dtype=np.uint64)
-    low = np.arange(len(fps))
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
-    while not ((new := np.array([low[n].min() for n in near])) == low).all():
-        low = new
+    marked = [(r["doc_id"], r["text"]) for r in before.collect()]
     groups = collections.defaultdict(list)
-    for (i, _), g in zip(marked, low.tolist()):
+    for (i, _), g in zip(marked, jaccard_groups([t for _, t in marked])):
         groups[g].append(i)
+    assert len(groups) < len(marked) - 2
     want = collections.Counter(min((i for i in ids if i is not None), default=None) for ids in groups.values())
     assert collections.Counter(r["doc_id"] for r in after.collect()) == want
     assert not rows(after) - rows(before)
