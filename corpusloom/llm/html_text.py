@@ -1,24 +1,29 @@
 """HTML extraction by tag-path ratios.
 
 A page is cut into blocks of text: runs without a block tag between them. Each block has a tag path, from the root to
-its leaf, of tag names with their class. Per path the text length and the punctuation of its blocks are added up and set
-against the number of its tags and its link text. These ratios are smoothed over neighbouring blocks in page order,
-fused by their product, and thresholded: the paths above the page's threshold are content, and so are paths that
-share a content path's container.
+its leaf, of tag names with their class. Per path the text length (less its links) and the punctuation of its blocks are added up and set
+against the number of its tags. The two ratios are smoothed over neighbouring blocks in page order and
+fused by their geometric mean; a path's score is the logarithm of its fused ratio over the mean of the page's text, between -3 and 3.
+Paths whose score is above the threshold, zero, are content; so are headings, lists and short paragraphs that stand among them.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are told by their tags or roles, or by whole
-names in their class or id, before that, and take no part in the ratios. A name doesn't count where the element holds
-the page's article or main (as much of their text as stands outside such elements) or, without any of that outside, most of the plain
-text: its blocks are left to the ratios.
+What the markup says weighs in on the score, it doesn't decide: a path in an article or main gains INSIDE, one outside of those that the page
+has loses OUTSIDE, and names in class or id that are whole words of a list lose WEAK or STRONG. So a paragraph of text in an
+article stays under a name like "related" or "notice", and a list of links there goes without any name. A name doesn't count
+where the element holds the page's article or main (as much of their text as stands outside such elements, or, within one, nine tenths of it) or,
+without any of that outside, most of the plain text. Elements that HTML defines as no part of the text (nav, form, script and the like, and the
+page's own header and footer) are left out before.
 
 Edge cases: a null or empty page, or one without text, gives an empty text. Unclosed tags are closed by the rules for p, li,
-td and the like, or at their parent's end. Text in broken markup is kept. Very long pages are read whole; rows keep their
-multiplicity and other columns are not read; one named like the result is replaced.
+td and the like, or at their parent's end; a tag that never ends is text, and from there on quotes don't hide the end of a tag. Elements
+nested deeper than DEPTH count as at that depth. Text in broken markup is kept. Very long pages are read whole, in a time in proportion to their length; rows
+keep their multiplicity, equal ones have equal texts, and other columns are not read; one named like the result is replaced. An empty
+table gives an empty result. Equal scores are no tie to break: each path is judged by itself.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -30,11 +35,12 @@ from pyspark.sql import types as T
 
 from .arrowtext import column_of
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.DOTALL,
-)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+_HEAD = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
+_REMARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.DOTALL)
+#: A quote hides the end of a tag only after an equals sign.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ATTRIBUTE = re.compile(r"""(?<![^\s/"'])([^\s=/"'>]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""")
 _SPACE = re.compile(r"\s+")
 _MARK = re.compile(r"[.,;:!?。，；：！？…]")
 #: Elements whose content is no markup.
@@ -45,13 +51,16 @@ _INLINE = frozenset((
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 ))
-#: Elements that are never part of an article.
-_NOISE_TAGS = frozenset(("nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "object", "canvas", "audio", "video", "map", "fieldset"))
+#: Elements that are never part of an article; and those that are not where they stand outside of one.
+_NOISE_TAGS = frozenset(("nav", "form", "button", "select", "dialog", "menu", "head", "object", "canvas", "audio", "video", "map", "fieldset"))
+_PAGE_TAGS = frozenset(("header", "footer", "aside"))
+#: Names of parts that are seldom text, and of parts that may well be.
 _NOISE_WORDS = frozenset((
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus",
-    "footer", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pagination", "popup", "promo", "related", "reply", "replies",
-    "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer",
+    "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "overlay", "pagination", "popup", "replies", "reply", "respond", "sidebar", "signup",
+    "sponsor", "sponsored", "subscribe", "toolbar",
 ))
+_WEAK_WORDS = frozenset(("banner", "header", "notice", "promo", "related", "share", "sharing", "social", "widget"))
 _NOISE_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "form", "menu", "menubar", "toolbar"))
 #: Open elements that a start tag closes, up to one of the third column's.
 _P_ENDERS = frozenset((
@@ -64,32 +73,46 @@ _CLOSES = {
 }
 _P_STOPS = frozenset(("article", "aside", "blockquote", "body", "button", "div", "dd", "li", "main", "section", "table", "td", "th", "nav", "footer", "header", "form", "object"))
 
-#: Neighbours on either side over which a block's ratios are smoothed, and the share of the page's mean above which a path is content.
+#: Elements that may stand among paragraphs of text.
+_AMONG = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "p", "ul", "ol", "li", "dl", "dt", "dd", "blockquote", "pre", "table", "tbody", "thead", "tr", "td", "th", "figure", "figcaption"))
+
+#: Neighbours on either side over which a block's ratios are smoothed, and the share of the page's mean at which a path's score is zero.
 RADIUS = 1
-SHARE = 0.2
+SHARE = 0.6
+#: What the markup weighs, as logarithms.
+INSIDE, OUTSIDE, WEAK, STRONG = 2.0, 1.0, 1.5, 3.5
+DEPTH = 256
 
 
 class _Blocks:
     """Reads one page into blocks: (path, text, linked characters, tags)."""
 
     def __init__(self, page: str) -> None:
-        self.stack: list[tuple[str, str, bool, tuple[int, ...], bool]] = []  # tag, name in paths, noise, elements named like noise, in an article
+        self.stack: list[tuple[str, str, bool, tuple[int, ...], bool]] = []  # tag, path without inline elements, noise, elements named like noise, in an article
         self.raw: list[tuple[str, list, int]] = []
         self.parts: list[tuple[str, bool, tuple[int, ...], bool]] = []
         self.named = 0
         self.tags = 0
-        at, end = 0, len(page)
+        self.open_tags: dict[str, int] = defaultdict(int)
+        self.weight: list[float] = []
+        self.within: list[bool] = []
+        at, end, tag_of = 0, len(page), _TAG
         while at < end:
-            m = _TOKEN.search(page, at)
-            if m is None:
-                self.text(page[at:])
+            head = _HEAD.search(page, at)
+            if head is None:
                 break
-            self.text(page[at : m.start()])
-            at = m.end()
-            if m[0].startswith("<![CDATA["):
+            self.text(page[at : head.start()])
+            at = head.start()
+            if m := _REMARK.match(page, at):
+                at = m.end()
                 continue
-            if m[2] is None:
+            m = tag_of.match(page, at)
+            if m is None:
+                if tag_of is _PLAIN_TAG:
+                    break
+                tag_of = _PLAIN_TAG
                 continue
+            at = m.end()
             tag = m[2].lower()
             if m[1]:
                 self.close(tag)
@@ -99,6 +122,7 @@ class _Blocks:
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
                 at = stop.end() if stop else end
                 self.close(tag)
+        self.text(page[at:])
         self.flush()
         self.found = self.judged()
 
@@ -112,32 +136,36 @@ class _Blocks:
 
     def flush(self) -> None:
         if self.parts:
-            self.raw.append(("/".join(x[1] for x in self.stack if x[0] not in _INLINE), self.parts, self.tags + 1))
+            self.raw.append((self.stack[-1][1] if self.stack else "", self.parts, self.tags + 1))
             self.parts = []
         self.tags = 0
 
-    def judged(self) -> list[tuple[str, str, int, int]]:
-        """The blocks without the parts in elements that are named like noise and don't hold the page's main text."""
-        noise: frozenset[int] = frozenset()
-        if self.named:
-            plain, article = np.zeros(self.named), np.zeros(self.named)
-            total = outside = 0
-            for _, parts, _ in self.raw:
-                for x, link, named, inside in parts:
-                    n = 0 if link else len(_SPACE.sub(" ", x).strip())
-                    total += n
-                    outside += n * (inside and not named)
-                    for k in named:
-                        plain[k] += n
-                        article[k] += n * inside
-            noise = frozenset(np.flatnonzero(((2 * plain <= total) | (outside > 0)) & ((article == 0) | (article < outside))).tolist())
+    def judged(self) -> list[tuple[str, float, str, int, int]]:
+        """(path, what the markup weighs, text, linked characters, tags) of each block with text."""
+        plain, article = np.zeros(self.named), np.zeros(self.named)
+        total = outside = within = 0
+        for _, parts, _ in self.raw:
+            for x, link, named, inside in parts:
+                n = 0 if link else len(_SPACE.sub(" ", x).strip())
+                total += n
+                within += n * inside
+                outside += n * (inside and not named)
+                for k in named:
+                    plain[k] += n
+                    article[k] += n * inside
+        # A part of the article counts unless it holds nearly all of its text; another unless it holds the article, or most of a page without one.
+        part = np.array(self.within, dtype=bool)
+        counts = np.where(part, 10 * article <= 9 * within, ((2 * plain <= total) | (outside > 0)) & ((article == 0) | (article < outside)))
         found = []
         for path, parts, tags in self.raw:
-            parts = [x for x in parts if noise.isdisjoint(x[2])] if noise else parts
+            weights = [(INSIDE if inside else -OUTSIDE if within else 0.0) - max((self.weight[k] for k in named if counts[k]), default=0.0) for _, _, named, inside in parts]
+            # The block weighs what most of its text does; an inline element with a strong name goes by itself.
+            main = max(zip((len(x[0]) for x in parts), weights))[1]
+            parts = [x for x, w in zip(parts, weights) if w > main - STRONG]
             text = _SPACE.sub(" ", "".join(x[0] for x in parts)).strip()
             if text:
                 linked = sum(len(_SPACE.sub(" ", x[0]).strip()) for x in parts if x[1])
-                found.append((path, text, min(linked, len(text)), tags))
+                found.append((path, main, text, min(linked, len(text)), tags))
         return found
 
     def open(self, tag: str, attributes: str) -> None:
@@ -153,30 +181,50 @@ class _Blocks:
             self.close_until(*_CLOSES[tag])
         if tag in _VOID:
             return
-        name, noise = tag, self.noisy() or tag in _NOISE_TAGS or tag in _RAW
+        if len(self.stack) >= DEPTH:
+            return
         named, article = self.stack[-1][3:] if self.stack else ((), False)
+        name, noise = tag, self.noisy() or tag in _NOISE_TAGS or tag in _RAW or (tag in _PAGE_TAGS and not article)
+        if tag in _PAGE_TAGS and article:
+            named = self.name(named, STRONG if tag == "aside" else WEAK)
         if attributes:
             given = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
             if cls := given.get("class", ""):
                 name += "." + ".".join(sorted(cls.split()))
             if not noise and tag not in ("html", "body", "article", "main"):
                 noise = given.get("role", "").lower() in _NOISE_ROLES or given.get("aria-hidden") == "true" or "hidden" in re.sub(r"=\s*(\"[^\"]*\"|'[^']*')", "", attributes).lower().split()
-                if not noise and not _NOISE_WORDS.isdisjoint(f"{cls} {given.get('id', '')}".lower().split()):
-                    named = (*named, self.named)
-                    self.named += 1
-        self.stack.append((tag, name, noise, named, article or tag in ("article", "main")))
+                words = f"{cls} {given.get('id', '')}".lower().split()
+                if not noise and not (strong := _NOISE_WORDS.isdisjoint(words)) or not _WEAK_WORDS.isdisjoint(words):
+                    named = self.name(named, WEAK if strong else STRONG)
+        above = self.stack[-1][1] if self.stack else ""
+        path = above if tag in _INLINE else f"{above}/{name}" if above else name
+        self.stack.append((tag, path, noise, named, article or tag in ("article", "main")))
+        self.open_tags[tag] += 1
+
+    def name(self, named: tuple[int, ...], weight: float) -> tuple[int, ...]:
+        self.weight.append(weight)
+        self.within.append(bool(self.stack) and self.stack[-1][4])
+        self.named += 1
+        return (*named, self.named - 1)
+
+    def drop(self, at: int, end: int | None = None) -> None:
+        for x in self.stack[at:end]:
+            self.open_tags[x[0]] -= 1
+        del self.stack[at:end]
 
     def close(self, tag: str) -> None:
         self.tags += 1
         if tag not in _INLINE:
             self.flush()
+        if not self.open_tags[tag]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 if tag in _INLINE and any(x[0] not in _INLINE for x in self.stack[k:]):
                     # An inline end tag doesn't close blocks: only the inline element is taken out.
-                    del self.stack[k]
+                    self.drop(k, k + 1)
                 else:
-                    del self.stack[k:]
+                    self.drop(k)
                 return
             if self.stack[k][0] in ("article", "body", "td", "nav", "footer", "aside", "header") and tag in ("p", "li", *_INLINE):
                 return
@@ -185,8 +233,12 @@ class _Blocks:
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] in tags:
                 # Inline elements left open go on in the next block.
-                kept = [x for x in self.stack[k + 1 :] if x[0] in _INLINE]
-                self.stack[k:] = kept
+                kept = [x for x in self.stack[k + 1 :] if x[0] in _INLINE][-3:]
+                self.drop(k)
+                above = self.stack[-1][1] if self.stack else ""
+                for tag, _, *rest in kept:
+                    self.open_tags[tag] += 1
+                    self.stack.append((tag, above, *rest))
                 if len(tags) == 1:
                     return
             elif self.stack[k][0] in stops:
@@ -204,7 +256,7 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     length, marks, linked, tags = defaultdict(float), defaultdict(float), defaultdict(float), defaultdict(float)
-    for path, text, link, n in blocks:
+    for path, _, text, link, n in blocks:
         length[path] += len(text)
         marks[path] += len(_MARK.findall(text))
         linked[path] += link
@@ -213,19 +265,26 @@ def main_text(page: str | None) -> str:
     text_ratio = _smooth(np.array([plain[p] / tags[p] for p, *_ in blocks]))
     mark_ratio = _smooth(np.array([(marks[p] + 1) / tags[p] * (plain[p] > 0) for p, *_ in blocks]))
     fused = np.sqrt(text_ratio * mark_ratio)
-    weight = np.array([len(text) for _, text, _, _ in blocks], dtype=float)
+    weight = np.array([len(b[2]) for b in blocks], dtype=float)
     by_path: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
     for (path, *_), f, w in zip(blocks, fused.tolist(), weight.tolist()):
         by_path[path][0] += f * w
         by_path[path][1] += w
     value = {p: (a / b if plain[p] > 0 else 0.0) for p, (a, b) in by_path.items()}
-    level = SHARE * float(np.average([value[p] for p, *_ in blocks], weights=weight))
-    content = {p for p, v in value.items() if v > 0 and v >= level}
-    # Headings and short lists in a container of content belong to it.
-    inside = {p.rpartition("/")[0] for p in content if re.search(r"(^|/)(article|main)\b", p)}
-    named = [q for q in inside if q]
-    content |= {p for p in value if plain[p] > 0 and any(p == q or p.startswith(q + "/") for q in named)}
-    return "\n".join(text for path, text, _, _ in blocks if path in content)
+    level = SHARE * float(np.average([value[b[0]] for b in blocks], weights=weight))
+    score = {p: max(-3.0, min(3.0, math.log(v / level))) if v > 0 and level > 0 else -9.0 for p, v in value.items()}
+    content = {(p, m) for p, m, *_ in blocks if score[p] + m >= 0}
+    # Headings, lists and short paragraphs that stand among content of the same weight.
+    homes = {(_container(p), m) for p, m in content}
+    return "\n".join(text for path, m, text, _, _ in blocks if (path, m) in content or (plain[path] > 0 and (_container(path), m) in homes))
+
+
+def _container(path: str) -> str:
+    """The path without the elements at its end that stand among paragraphs, one at least."""
+    head, _, leaf = path.rpartition("/")
+    while head and leaf.partition(".")[0] in _AMONG and (above := head.rpartition("/"))[2].partition(".")[0] in _AMONG:
+        head, _, leaf = above[0], "/", above[2]
+    return head if leaf.partition(".")[0] in _AMONG else path
 
 
 def extract(pages: DataFrame, page: str = "html", to: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -402,6 +403,48 @@ def test_html():
     assert html_text.main_text("just text &lt;") == "just text <"
 
 
+PARAGRAPHS = ["A first sentence, of some length, that tells what this is about.", "The second, which is longer still, goes on. It has more to say, and says it well.", "Short one."]
+
+
+def test_html_without_article():
+    body = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+    links = "<ul>" + "".join(f"<li><a href=/{k}>Link number {k}</a></li>" for k in range(9)) + "</ul>"
+    want = "\n".join(["The title", *PARAGRAPHS])
+    for wrapper in ("div", "section class='post'", "td"):
+        page = f"<header>Site name</header><div class=top>{links}</div><{wrapper}><h1>The title</h1>{body}</{wrapper.split()[0]}><div class='side'>{links}</div><footer>Imprint, and so on, please.</footer>"
+        assert html_text.main_text(f"<table><tr>{page}</table>" if wrapper == "td" else page) == want
+    assert html_text.main_text(f"<body>{links}<p>{'</p><p>'.join(PARAGRAPHS)}</p>{links}") == "\n".join(PARAGRAPHS)
+
+
+@pytest.mark.parametrize("name", ["related work", "notice", "share", "promo box", "header", "notice-board"])
+def test_html_names_inside_article(name):
+    page = f"<body><div class=ad>Buy now, please.</div><article><header><h1>Head</h1></header><p>{PARAGRAPHS[0]}</p><div class='{name}'><p>{PARAGRAPHS[1]}</p></div><div class='comments'><p>{PARAGRAPHS[0]} Thanks, all of you.</p></div><p>{PARAGRAPHS[2]}</p></article></body>"
+    assert html_text.main_text(page) == "\n".join(["Head", *PARAGRAPHS])
+    links = f"<article><p>{PARAGRAPHS[0]}</p><ul>{'<li><a href=x>Some other page</a></li>' * 6}</ul><p>{PARAGRAPHS[1]}</p></article>"
+    assert html_text.main_text(links) == "\n".join(PARAGRAPHS[:2])
+
+
+def test_html_ratios_decide(monkeypatch):
+    """Without any list of names, adverts outside the article go by their paths' ratios."""
+    monkeypatch.setattr(html_text, "_NOISE_WORDS", frozenset())
+    monkeypatch.setattr(html_text, "_WEAK_WORDS", frozenset())
+    rng = np.random.default_rng(3)
+    right = 0
+    for _ in range(100):
+        sentence = lambda: " ".join(rng.choice(["some", "words", "that", "stand", "here"], rng.integers(3, 12))).capitalize() + "."
+        own = [" ".join(sentence() for _ in range(rng.integers(1, 6))) for _ in range(rng.integers(1, 8))]
+        page = f"<nav><a href=/>Home</a></nav><div class=x>{sentence()}</div><article><h1>Title</h1><p>{'</p><p>'.join(own)}</p></article><div>{sentence()}</div>"
+        right += html_text.main_text(page) == "\n".join(["Title", *own])
+    assert right >= 90
+
+
+@pytest.mark.parametrize("unit", ["<a '", '<a ="', "<div>x", "<b><p>x", "<", "<p class='x", "</p><i>", "<a b", "<!--", "&amp"])
+def test_html_in_linear_time(unit):
+    begin = time.process_time()
+    html_text.main_text(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - begin < 12  # 1 to 3 s alone on one core
+
+
 def _labelled(spark):
     rng = np.random.default_rng(4)
     words = ["river", "stone", "cloud", "paper", "light", "green", "horse", "table", "music", "bread"]
