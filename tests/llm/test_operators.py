@@ -113,7 +113,7 @@ def test_decontaminate(spark, docs):
         n = min(13, len(w))
         for k in range(len(w) - n + 1 if n else 0):
             windows[tuple(w[k : k + n])].add(item)
-    for size in (16 << 20, 60):
+    for size in (64 << 20, 1000):
         for r in decontaminate.scan(docs, bench, group_bytes=size).select("text", "n_words", decontaminate.n_hit().alias("n"), "items").collect():
             w, hit, ids = word.findall(lower(r["text"])), set(), set()
             for win, own in windows.items():
@@ -128,6 +128,37 @@ def test_decontaminate(spark, docs):
     assert decontaminate.scan(docs, bench.limit(0)).where("size(hits) > 0").count() == 0
 
 
+def test_benchmark_set_is_compact():
+    """16 MB of benchmark text, in the rounds that the bound asks for, in little memory; equal windows of many items are one."""
+    import pickle
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    vocabulary = np.array([f"w{k}" for k in range(100_000)])
+    texts = [" ".join(rng.choice(vocabulary, 2000)) for _ in range(1200)]
+    assert sum(map(len, texts)) > 15 << 20
+    most = decontaminate.GROUP_BYTES // (decontaminate.WORD_BYTES + 7) // 2000
+    tracemalloc.start()
+    known = decontaminate.BenchmarkSet([(str(k), t) for k, t in enumerate(texts[:most])])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20 and len(pickle.dumps(known)) < 1.5 * decontaminate.GROUP_BYTES
+    same = decontaminate.BenchmarkSet([(str(k), texts[0]) for k in range(50)] + [(None, texts[0])])
+    assert len(same.by_width[13].hash) == 1988 and len(same.by_width[13].item) == 1988 * 51
+    data = np.frombuffer(texts[0].encode(), dtype=np.uint8)
+    n_words, spans, items = same.scan(data, np.array([0, len(data)]))
+    assert n_words.tolist() == [2000] and [s[:2] for s in spans[0]] == [(0, 2000)] and items[0] == {str(k) for k in range(50)}
+
+
+def test_benchmark_set_tells_collisions_apart(monkeypatch):
+    """Windows of different texts with one hash are different windows."""
+    monkeypatch.setattr(decontaminate, "_windows", lambda h, width: np.zeros(max(0, len(h) - width + 1), dtype=np.uint64))
+    known = decontaminate.BenchmarkSet([("a", "one two"), ("b", "two one"), ("c", "one two"), ("d", "six six")])
+    data = np.frombuffer(b"one two one", dtype=np.uint8)
+    _, spans, items = known.scan(data, np.array([0, len(data)]))
+    assert len(known.by_width[2].hash) == 3 and [s[:2] for s in spans[0]] == [(0, 3)] and items[0] == {"a", "b", "c"}
+
+
 def test_mixing(spark):
     rows = [(k, "w " * (1 + k * 7 % 40), "big" if k % 3 else f"s{k % 4}", "x") for k in range(600)] + [(601, None, None, "x"), (602, "a b", None, "x"), (602, "a b", None, "x"), (603, "", "empty", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra string")
