@@ -4,12 +4,12 @@ A stable 64-bit key and the number of shards alone decide a row's shard; there i
 moves rows only into it, about 1 in n + 1 of them. The key drives a 64-bit linear congruential generator; its
 draws give the ever larger shard counts at which the key jumps to the newest shard.
 
-Slots number each shard's rows from 0 without gaps. A shard is cut into `pieces` by a hash of the key, so no task
-sorts a whole shard: a row's slot is the number of rows in the pieces before plus its rank in its own.
+Slots number each shard's rows from 0 without gaps. A shard is cut into pieces of about PIECE_ROWS rows by a hash of key and text, so no task
+sorts a whole shard, or all rows of a key that many have: a row's slot is the number of rows in the pieces before plus its rank in its own.
 
 Edge cases: a null key counts as key 0; a null text as no bytes; rows with equal keys share a shard and have
 different slots, in the order of size, checksum and text hash (identical rows are interchangeable). Columns named like
-the results are replaced. An empty table gives an empty result.
+the results are replaced. Very long texts are hashed whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ _MULTIPLIER = 2862933555777941757
 _L0, _L1, _L2 = _MULTIPLIER & 0x3FFFFF, _MULTIPLIER >> 22 & 0x3FFFFF, _MULTIPLIER >> 44
 #: Steps of the first fold; a key needs more with a probability that is negligible, and then gets them.
 _FIRST = 48
+#: Pieces of a shard at least, and rows of one, about, where a shard has more.
+LEAST_PIECES, PIECE_ROWS = 256, 100_000
 
 
 def jump(key: str, shards: int) -> Column:
@@ -50,21 +52,22 @@ def _next(s: str) -> str:
     )
 
 
-def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", pieces: int = 256) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", pieces: int | None = None) -> DataFrame:
     """docs with size, text_crc32, law, shard, slot and grown_shard (the shard if there were one more)."""
     new = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     docs, restore = aside(without(docs, new), ("_key", "_piece", "_tie", "_rank", "_before", "_n"))
+    pieces = pieces or max(LEAST_PIECES, -(-docs.count() // (shards * PIECE_ROWS)))
     keyed = docs.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")))
-    dealt = keyed.withColumn("shard", jump("_key", shards)).withColumn("_piece", F.expr(f"int(pmod(conv(substring(md5(string(_key)), 1, 4), 16, 10), {pieces}))"))
+    dealt = keyed.withColumn("shard", jump("_key", shards)).withColumn("_piece", F.expr(f"int(pmod(bigint(conv(substring(md5(concat(string(_key), ':', md5(coalesce({text}, '')))), 1, 8), 16, 10)), {pieces}))"))
     before = Window.partitionBy("shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    # At most shards * pieces rows, however large the input.
+    # shards * pieces rows: one for PIECE_ROWS rows of the input, or less.
     offsets = dealt.groupBy("shard", "_piece").agg(F.count("*").alias("_n")).select("shard", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     rows = dealt.withColumns({
         "size": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"), "text_crc32": F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")), "law": F.lit("key"),
         "grown_shard": jump("_key", shards + 1), "_tie": F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
     })
     rank = F.row_number().over(Window.partitionBy("shard", "_piece").orderBy("_key", "size", "text_crc32", "_tie"))
-    placed = rows.withColumn("_rank", rank.cast("long")).join(F.broadcast(offsets), ["shard", "_piece"])
+    placed = rows.withColumn("_rank", rank.cast("long")).join(offsets, ["shard", "_piece"])
     return restore(placed.withColumn("slot", F.col("_before") + F.col("_rank") - 1).select(*docs.columns, *new))
 
 
