@@ -8,13 +8,13 @@ class of sizes is represented in proportion and the words taken come close to th
 Targets share the total of all sizes by weight; a target stops at `most` times its source's size and the excess is shared
 again by weight, until none is above. That fixed point is found in closed form over the sorted ratios of caps to weights.
 
-A source is cut into pieces by size class and a hash of the id: a row's place in its source is the number of rows in
+A source is cut into pieces by size class and a hash of id and text: a row's place in its source is the number of rows in
 the pieces before plus its rank in its own piece, so a source with a third of all rows is no task of its own. Only the
 table of sources (one row each) is sorted as a whole.
 
 Edge cases: a null text has size 0, as has an empty one; a null source is a source, the last; sources of size 0 have
 target 0; with the same seed reruns agree (ties are identical rows but for columns beside id, size and text). An empty
-table gives an empty result. Columns named like the results are replaced by planned, and kept by mix.
+table gives an empty result. Very long texts are counted whole; rows that repeat an id are rows of their own. Columns named like the results are replaced by planned, and kept by mix.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sparkutil import aside, without
+from .sparkutil import aside, cut, without
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = 17
+#: Pieces of a source's size class at least, and rows of one, about, if all rows were of one source and class.
+LEAST_PIECES, PIECE_ROWS = 64, 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 _OWN = ["_size", "_class", "_piece", "_rank", "_before", "_source_size", "_target", "_tie", "_n", "_s", "_plan_source", "_plan_class", "_plan_piece"]
 
@@ -56,16 +58,18 @@ def targets(sizes: DataFrame, source: str, weights: tuple[int, ...] = WEIGHTS, m
     return placed.select(source, "_source_size", F.when(F.col("_place") < F.col("_at"), (most * F.col("_source_size")).cast("double")).otherwise(share.cast("double")).alias("_target"))
 
 
-def planned(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, pieces: int = 64) -> DataFrame:
+def planned(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, pieces: int | None = None) -> DataFrame:
     """docs with size, source_size, target and copies (times that the mix emits the row)."""
     new = ["size", "source_size", "target", "copies"]
     docs, restore = aside(without(docs, new), _OWN)
+    pieces = pieces or max(LEAST_PIECES, -(-docs.count() // PIECE_ROWS))
     sized = docs.withColumn("_size", words_of(text))
     # Number of leading bits and the next three: the upper limit of a class is an eighth above the lower.
     bits = F.when(F.col("_size") > 0, F.length(F.bin("_size"))).otherwise(0)
     classed = sized.withColumn("_class", F.when(F.col("_size") < 8, F.col("_size").cast("int")).otherwise(bits * 8 + F.expr("int(shiftright(_size, int(greatest(length(bin(_size)) - 4, 0))) & 7)")))
-    dealt = classed.withColumn("_piece", F.expr(f"int(pmod(conv(substring(md5(concat('{seed}:', coalesce(string({doc_id}), ''))), 1, 4), 16, 10), {pieces}))"))
-    counts = dealt.groupBy(source, "_class", "_piece").agg(F.count("*").alias("_n"), F.sum("_size").alias("_s"))
+    dealt = classed.withColumn("_piece", F.expr(f"int(pmod(bigint(conv(substring(md5(concat('{seed}:', coalesce(string({doc_id}), ''), ':', md5(coalesce({text}, '')))), 1, 8), 16, 10)), {pieces}))"))
+    # Cut, so that the words of all texts are counted once here and once for the rows.
+    counts = cut(dealt.groupBy(source, "_class", "_piece").agg(F.count("*").alias("_n"), F.sum("_size").alias("_s")))
     before = Window.partitionBy(source).orderBy("_class", "_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(source, "_class", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     goals = targets(counts.groupBy(source).agg(F.sum("_s").alias("_source_size")), source, weights, most)

@@ -101,7 +101,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_sharding": f"""
         WITH {_CRC_TABLE}, d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(doc_id, 0) AS k FROM documents),
         h AS MATERIALIZED (SELECT d.*, octet_length(encode(text)) + 1 AS size, {sharding.jump_sql("k", 16)} AS shard, {sharding.jump_sql("k", 17)} AS grown,
-                           ('0x' || substr(md5(k::VARCHAR), 1, 4))::INTEGER % 256 AS piece, {_CRC.format(x="text")} AS crc FROM d, crc_t)
+                           ('0x' || substr(md5(k::VARCHAR || ':' || md5(text)), 1, 8))::BIGINT % greatest(256, ceil((SELECT count(*) FROM documents) / (16 * 100000)))::BIGINT AS piece, {_CRC.format(x="text")} AS crc FROM d, crc_t)
         SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY piece, k, size, crc) - 1 AS slot, grown AS grown_shard FROM h""",
     "op7_embeddings": """
         WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
@@ -147,9 +147,9 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN pos USING (r) LEFT JOIN ids USING (r)""",
     "op4_mixing": rf"""
-        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS h FROM documents),
         p AS (SELECT *, CASE WHEN size < 8 THEN size ELSE length(bin(size)) * 8 + ((size >> (length(bin(size)) - 4)) & 7) END AS class,
-                     ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 4))::INTEGER % 64 AS piece FROM d),
+                     ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || h), 1, 8))::BIGINT % greatest(64, ceil((SELECT count(*) FROM documents) / 100000))::BIGINT AS piece FROM d),
         s AS (SELECT source, sum(size)::BIGINT AS ss FROM d GROUP BY source),
         w AS (SELECT *, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s),
         o AS (SELECT *, row_number() OVER r AS place, sum(ss) OVER () - 3 * coalesce(sum(ss) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
