@@ -92,6 +92,25 @@ def test_stages(spark, sf_dir, tmp_path):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_run_resumes(spark, sf_dir, tmp_path, monkeypatch):
+    whole = rows(corpus_pipeline.run(spark, sf_dir, str(tmp_path / "run")))
+    assert sum(whole.values()) > 100
+
+    def broken(*_):
+        raise AssertionError("a finished stage was run again")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, broken) for n, _ in corpus_pipeline.STAGES[:-1]] + corpus_pipeline.STAGES[-1:])
+    assert rows(corpus_pipeline.run(spark, sf_dir, str(tmp_path / "run"))) == whole
+
+
+def test_empty_and_only_nulls(spark, sf_dir, tmp_path):
+    docs = table(spark, sf_dir, "documents")
+    nulls = spark.createDataFrame([(None,) * 6] * 3, docs.schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        assert stage(spark, nulls, sf_dir).count() <= 3
+
+
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 100 and {"doc_id", "text", "shard", "slot"} <= set(out.columns)
