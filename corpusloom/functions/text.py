@@ -32,7 +32,6 @@ def content_hash(text: Column) -> Column:
 
 
 _WORD = re.compile(r"\w+")
-_SHIFTS = np.arange(64, dtype=np.uint64)
 
 
 @F.pandas_udf(T.LongType())
@@ -53,12 +52,13 @@ def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for token in counts:
                 if token not in known:
                     known[token] = int.from_bytes(hashlib.md5(token.encode()).digest()[8:], "big")
-            h = np.array([known[t] for t in counts], dtype=np.uint64)
-            n = np.array(list(counts.values()), dtype=np.int64)
-            ones = np.zeros(64, dtype=np.int64)
-            for at in range(0, len(h), 4096):
-                ones += ((h[at : at + 4096, None] >> _SHIFTS) & np.uint64(1)).astype(np.int64).T @ n[at : at + 4096]
-            out[k] = np.bitwise_or.reduce(np.where(2 * ones > n.sum(), np.uint64(1) << _SHIFTS, np.uint64(0)))
+            h = np.fromiter((known[t] for t in counts), dtype=np.uint64, count=len(counts))
+            n = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.zeros(64)
+            for at in range(0, len(h), 65536):
+                ones += n[at : at + 65536] @ bits[at : at + 65536]
+            out[k] = np.packbits(2 * ones > n.sum(), bitorder="little").view(np.uint64)[0]
         yield pd.Series(out.view(np.int64))
 
 

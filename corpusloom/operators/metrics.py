@@ -63,3 +63,31 @@ def quantile(buckets: DataFrame, q: float, by: list[str] | None = None) -> DataF
 def spans(traces: DataFrame, stage: str = "stage", ms: str = "ms") -> DataFrame:
     """(stage, n, total_ms, mean_ms, max_ms) of trace spans."""
     return traces.groupBy(F.col(stage).alias("stage")).agg(F.count("*").alias("n"), F.sum(ms).alias("total_ms"), F.avg(ms).alias("mean_ms"), F.max(ms).alias("max_ms"))
+
+
+#: The named metrics: what each is, and the buckets and quantiles of the latencies.
+CATALOGUE: dict[str, tuple] = {
+    "pages_per_second": ("rate", 60), "error_rate": ("rate", 60), "total_pages": ("total",), "frontier_size": ("gauge",), "active_browsers": ("gauge",), "queue_depth": ("gauge",),
+    "healthy_proxies": ("gauge",), "fetch_latency": ("latency", FETCH_MS, (0.5, 0.95, 0.99)), "parse_latency": ("latency", PARSE_MS, (0.5, 0.95)), "enrich_latency": ("latency", ENRICH_MS, (0.95,)),
+    "duplicates_by_kind": ("totals",), "pages_by_language": ("totals",), "pages_by_renderer": ("totals",), "breaker_trips": ("totals",),
+}
+
+
+def named(name: str, events: DataFrame, ts: str = "ts", value: str = "value", label: str = "label") -> DataFrame:
+    """A metric of the catalogue over event rows: (window_start, label, rate), (n), (label, value), (label, q, value) or (label, n)."""
+    kind, *how = CATALOGUE[name]
+    if kind == "rate":
+        return rate(events, ts, label, *how)
+    if kind == "total":
+        return events.agg(F.count("*").alias("n"))
+    if kind == "gauge":
+        return gauge(events, ts, value, label)
+    if kind == "totals":
+        return totals(events, label)
+    bounds, quantiles = how
+    buckets = histogram(events, value, bounds, [F.col(label).alias("label")])
+    out = [quantile(buckets, q, ["label"]) for q in quantiles]
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole

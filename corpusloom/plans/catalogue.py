@@ -6,6 +6,7 @@ failure and value in milliseconds.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, urls
 from ..functions import text as tx
+from ..functions.session import checkpoint_folder
 from ..operators import dedup, frontier, graph, metrics, state
 from ..sources import store, web
 from . import crawl
@@ -149,6 +151,35 @@ def dedup_cascade(spark, sf_dir):
     return dedup.cascade(_table(spark, sf_dir, "documents"))
 
 
+#: The walk over texts in order of their first ids, with pairs of ids whose vectors match as a third layer.
+_SEMANTIC_WALK = """
+    tt AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min(doc_id)) AS n, min(doc_id) AS node, text, arg_min(u, doc_id) AS u FROM s JOIN documents USING (doc_id) GROUP BY text),
+    m AS MATERIALIZED (SELECT doc_id, node FROM documents JOIN tt USING (text)),
+    vp AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b
+           ON a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4),
+    e AS MATERIALIZED (SELECT DISTINCT least(x.node, y.node) AS a, greatest(x.node, y.node) AS b FROM vp JOIN m x ON x.doc_id = vp.a JOIN m y ON y.doc_id = vp.b WHERE x.node <> y.node),
+    o AS MATERIALIZED (SELECT tt.n, tt.node, tt.u, coalesce(list(e.a) FILTER (e.a IS NOT NULL), []) AS before FROM tt LEFT JOIN e ON e.b = tt.node GROUP BY ALL),
+    w AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS node, '' AS reason, []::UBIGINT[] AS kept, []::BIGINT[] AS ids UNION ALL
+          SELECT n, node, reason, CASE WHEN reason = '' THEN list_append(kept, u) ELSE kept END, CASE WHEN reason = '' THEN list_append(ids, node) ELSE ids END FROM
+          (SELECT o.n, o.node, o.u, w.kept, w.ids, CASE WHEN len(list_filter(w.kept, lambda k: bit_count(xor(k, o.u)) <= 4)) > 0 THEN 'near' WHEN list_has_any(w.ids, o.before) THEN 'semantic' ELSE '' END AS reason
+           FROM w JOIN o ON o.n = w.n + 1))"""
+
+
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b
+    ON a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4""")
+def semantic_pairs(spark, sf_dir):
+    """All pairs of vectors of a cosine of 0.4 or more: at the usual 0.92 the table has none."""
+    return dedup.semantic_pairs(_table(spark, sf_dir, "embeddings"), 0.4).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH RECURSIVE {_SIMHASH}, {_SEMANTIC_WALK}
+    SELECT m.doc_id, w.reason <> '' OR m.doc_id <> m.node AS is_dup, CASE WHEN w.reason <> '' THEN w.reason WHEN m.doc_id <> m.node THEN 'exact' ELSE '' END AS reason FROM w JOIN m USING (node)""")
+def cascade_semantic(spark, sf_dir):
+    """All three layers; the vector of a document is the one of its id."""
+    pairs = dedup.semantic_pairs(_table(spark, sf_dir, "embeddings"), 0.4)
+    return dedup.cascade(_table(spark, sf_dir, "documents"), semantic=pairs)
+
+
 _NEAREST = 0.3
 
 
@@ -186,9 +217,12 @@ def html_needs_js(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", extract.needs_js(F.col("html")).alias("needs_js"))
 
 
-@query("SELECT page_id, regexp_matches(html, 'g-recaptcha|cf-challenge-running|challenge-form|data-hcaptcha-widget-id') AS captcha FROM pages")
+@query("SELECT page_id, page_id % 7 < 5 AS captcha FROM pages")
 def html_captcha(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", extract.captcha(F.col("html")).alias("captcha"))
+    """Each of the five marks on a seventh of the pages, and none on two sevenths."""
+    marks = ['<div id="cf-challenge-running">', "<form id=challenge-form>", '<div class="box g-recaptcha">', '<iframe src="https://x/recaptcha/api">', "<div data-hcaptcha-widget-id=1>", "<p>no mark</p>", "<p class=captcha>"]
+    mark = F.element_at(F.array(*map(F.lit, marks)), F.expr("int(page_id % 7) + 1"))
+    return _table(spark, sf_dir, "pages").select("page_id", extract.captcha(F.concat("html", mark)).alias("captcha"))
 
 
 @query("SELECT page_id, count(*)::BIGINT AS n_links FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS u FROM pages) GROUP BY page_id")
@@ -198,13 +232,35 @@ def html_links(spark, sf_dir):
     return got.where(F.size("content.links") > 0).select("page_id", F.size("content.links").cast("long").alias("n_links"))
 
 
+#: The default detector: the profile with most hits among the words of the first 500 characters, ties in the profiles' order.
+_LANGUAGE = (
+    "CASE WHEN length({t}) < 20 THEN '' ELSE (SELECT CASE WHEN max(n) > 0 THEN arg_max(code, (n, -k)) ELSE '' END FROM (SELECT unnest(["
+    + ", ".join(
+        "{{'code': '" + code + "', 'k': " + str(k) + ", 'n': len(list_filter(string_split_regex(lower(substr({t}, 1, 500)), '[^\\p{{L}}]+'), lambda w: w IN (" + ", ".join(f"'{w}'" for w in words.split()) + ")))}}"
+        for k, (code, words) in enumerate(extract.PROFILES.items())
+    )
+    + "], recursive := true))) END"
+)
+_ARTICLE = (
+    "trim(regexp_replace(" + _ENTITIES.format("regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1), '<[^>]*>', ' ', 'g')") + ", '\\s+', ' ', 'g'))"
+)
+
+
+@query(f"""
+    WITH p AS (SELECT page_id, url, {_ARTICLE} AS article, trim({_ENTITIES.format("regexp_extract(html, '<title>([^<]*)', 1)")}) AS title FROM pages)
+    SELECT page_id, url AS key, title, '' AS author, '' AS date, {_LANGUAGE.format(t="article")} AS language, article, '{{}}' AS schema_org FROM p""")
+def page_text(spark, sf_dir):
+    """The parts of page_content that need no model of entities."""
+    return page_content(spark, sf_dir).drop("entities")
+
+
 @query()
 def page_content(spark, sf_dir):
     c = extract.extract(_table(spark, sf_dir, "pages")).withColumn("key", web.page_key(F.col("content.canonical"), F.col("url")))
     return c.select("page_id", "key", *(F.col(f"content.{x}").alias(x) for x in ("title", "author", "date", "language", "article")), F.to_json("content.entities").alias("entities"), F.to_json("content.schema_org").alias("schema_org"))
 
 
-@query()
+@query(f"SELECT doc_id, {_LANGUAGE.format(t='text')} AS language FROM documents")
 def language_detect(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", extract.detect_language(F.col("text")).alias("language"))
 
@@ -253,6 +309,17 @@ def domain_budget(spark, sf_dir):
     return frontier.within_budget(_pending(spark, sf_dir), default=2)
 
 
+@query(f"""WITH {_PENDING}, r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY priority DESC, url) AS k FROM pend)
+    SELECT url, domain, priority, seq FROM r WHERE k <= CASE WHEN domain LIKE 'blog.%' THEN 4 WHEN domain LIKE 'm.%' THEN 1 * 5 WHEN domain LIKE '%.org' THEN 1 * 20 ELSE 1 END""")
+def budget_tables(spark, sf_dir):
+    """Urls within budgets that tables of overrides and tiers give."""
+    pending = _pending(spark, sf_dir)
+    domains = pending.select("domain").distinct()
+    overrides = domains.where("domain LIKE 'blog.%'").withColumn("budget", F.lit(4))
+    tiers = domains.select("domain", F.when(F.col("domain").like("m.%"), 2).when(F.col("domain").like("%.org"), 3).otherwise(9).alias("tier"))
+    return frontier.within_budget(pending, default=1, overrides=overrides, tiers=tiers)
+
+
 @query(f"WITH {_PENDING}, c AS (SELECT domain, count(*) AS used FROM pend GROUP BY domain) SELECT domain, 3::BIGINT AS budget, used::BIGINT AS used, greatest(0, 3 - used)::BIGINT AS remaining FROM c")
 def budget_stats(spark, sf_dir):
     return frontier.budget_stats(_pending(spark, sf_dir), default=3)
@@ -333,23 +400,48 @@ def upsert_replace(spark, sf_dir):
     return store.replace(None, _writes(spark, sf_dir))
 
 
-@query("SELECT 'u' || user_id AS url, min(event_id) AS seen FROM events WHERE event_id % 2 = 1 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 50 = 0) GROUP BY user_id")
+@query("SELECT 'u' || user_id AS url, min(event_id) AS seen FROM events WHERE event_id % 50 <> 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 50 = 0) GROUP BY user_id")
 def done_ignore(spark, sf_dir):
     """Insert-ignore of completions: the first of each url, without those already done."""
     events = _table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("url"), F.col("event_id").alias("seen"))
-    return store.insert_ignore(events.where("seen % 50 = 0"), events.where("seen % 2 = 1"), ["url"])
+    return store.insert_ignore(events.where("seen % 50 = 0"), events.where("seen % 50 <> 0"), ["url"])
+
+
+@query("""SELECT 'u' || user_id AS url, arg_max(event_type, event_id) AS title, coalesce(arg_min(value, event_id) FILTER (event_id % 3 = 0), arg_min(value, event_id)) AS etag
+    FROM events GROUP BY user_id""")
+def upsert_existing(spark, sf_dir):
+    """An upsert into a stored table, of which many keys are known: a third of the writes came before."""
+    writes = _writes(spark, sf_dir)
+    return store.upsert(store.upsert(None, writes.where("seq % 3 = 0")), writes)
+
+
+@query("SELECT 'u' || user_id AS url, arg_max(event_type, event_id) AS title, arg_max(value, event_id) AS etag FROM events WHERE event_id % 3 = 0 OR user_id % 2 = 0 GROUP BY user_id")
+def replace_existing(spark, sf_dir):
+    """Whole rows replaced in a stored table by the writes of every other url."""
+    writes = _writes(spark, sf_dir)
+    return store.replace(store.replace(None, writes.where("seq % 3 = 0")), writes.where("seq % 3 = 0 OR int(substring(url, 2)) % 2 = 0"))
+
+
+@query("""WITH e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, l_linenumber = 1 AS old FROM lineitem)
+    SELECT src, dst FROM e GROUP BY ALL HAVING NOT bool_or(old)""")
+def links_into_existing(spark, sf_dir):
+    """Edges that a stored link table doesn't have."""
+    lines = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), "l_linenumber")
+    return store.insert_ignore(lines.where("l_linenumber = 1"), lines.select("src", "dst"), ["src", "dst"])
 
 
 @query("SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'fetched' END AS event, 'u' || user_id AS url, printf('status=%d ms=%.0f', CASE WHEN event_type = 'error' THEN 500 ELSE 200 END, round_even(value, 0)) AS detail, event_id::DOUBLE + 1 AS ts FROM events")
 def wal_events(spark, sf_dir):
-    """Log lines written as JSON text and read back."""
+    """The log appended to files and replayed."""
     failed = F.col("event_type") == "error"
     events = _table(spark, sf_dir, "events").select(
         F.when(failed, "error").otherwise("fetched").alias("event"), F.concat(F.lit("u"), "user_id").alias("url"),
         store.fetched_detail(F.when(failed, 500).otherwise(200), F.bround("value", 0)).alias("detail"), (F.col("event_id").cast("double") + 1).alias("ts"),
     )
-    lines = store.wal(events).select(F.to_json(F.struct("*")).alias("line"))
-    return lines.select(F.from_json("line", store.WAL_SCHEMA).alias("r")).select("r.*")
+    path = f"{checkpoint_folder(spark)}/wal-{uuid.uuid4().hex}"
+    store.append_wal(events.where("event = 'error'"), path)
+    store.append_wal(events.where("event <> 'error'"), path)
+    return store.replay_wal(spark, path)
 
 
 @query("SELECT term, doc_id AS key, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents) GROUP BY ALL")
@@ -461,6 +553,45 @@ def hist_quantile(spark, sf_dir):
     return out[0].unionByName(out[1]).unionByName(out[2]).withColumn("value", F.round("value", 6))
 
 
+def _named_histogram(bounds) -> str:
+    le = "[" + ", ".join(f"{b}::DOUBLE" for b in bounds) + ", 'inf'::DOUBLE]"
+    return f"""WITH hb AS MATERIALIZED (SELECT event_type, le, count(*) FILTER (value <= le)::BIGINT AS cumulative FROM events, (SELECT unnest({le}) AS le) WHERE value IS NOT NULL GROUP BY ALL),
+    st AS (SELECT *, coalesce(lag(le) OVER o, 0) AS low, coalesce(lag(cumulative) OVER o, 0) AS bef, max(cumulative) OVER (PARTITION BY event_type) AS tot FROM hb WINDOW o AS (PARTITION BY event_type ORDER BY le)),
+    f AS (SELECT event_type, min(le) AS le FROM st WHERE cumulative >= 0.95::DOUBLE * tot GROUP BY ALL)
+    SELECT event_type AS label, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (0.95::DOUBLE * tot - bef) / (cumulative - bef) END, 6) AS value FROM f JOIN st USING (event_type, le)"""
+
+
+def _p95(spark, sf_dir, name):
+    return metrics.named(name, _table(spark, sf_dir, "events"), value="value", label="event_type").where("q = 0.95").select("label", F.round("value", 6).alias("value"))
+
+
+@query(_named_histogram(metrics.PARSE_MS))
+def parse_p95(spark, sf_dir):
+    """The named metric of parse times, with its own buckets."""
+    return _p95(spark, sf_dir, "parse_latency")
+
+
+@query(_named_histogram(metrics.ENRICH_MS))
+def enrich_p95(spark, sf_dir):
+    return _p95(spark, sf_dir, "enrich_latency")
+
+
+@query("SELECT m AS metric, event_type AS label, arg_max(value, (ts, value)) AS value FROM events, (SELECT unnest(['frontier_size', 'active_browsers', 'queue_depth', 'healthy_proxies']) AS m) GROUP BY ALL")
+def named_gauges(spark, sf_dir):
+    """The catalogue's gauges."""
+    events = _table(spark, sf_dir, "events")
+    parts = [metrics.named(m, events, ts="ts", value="value", label="event_type").select(F.lit(m).alias("metric"), "label", "value") for m in ("frontier_size", "active_browsers", "queue_depth", "healthy_proxies")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("SELECT m AS metric, event_type AS label, count(*)::BIGINT AS n FROM events, (SELECT unnest(['duplicates_by_kind', 'pages_by_language', 'pages_by_renderer']) AS m) GROUP BY ALL")
+def named_totals(spark, sf_dir):
+    """The catalogue's totals by label."""
+    events = _table(spark, sf_dir, "events")
+    parts = [metrics.named(m, events, label="event_type").select(F.lit(m).alias("metric"), "label", "n") for m in ("duplicates_by_kind", "pages_by_language", "pages_by_renderer")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("SELECT event_type AS stage, count(*)::BIGINT AS n, round(sum(value), 3) AS total_ms, round(avg(value), 6) AS mean_ms, max(value) AS max_ms FROM events GROUP BY 1")
 def trace_spans(spark, sf_dir):
     return metrics.spans(_table(spark, sf_dir, "events"), "event_type", "value").withColumn("total_ms", F.round("total_ms", 3)).withColumn("mean_ms", F.round("mean_ms", 6))
@@ -500,15 +631,40 @@ def trips_by_domain(spark, sf_dir):
 # The whole path.
 
 
-@query()
+_BODY_SIMHASH = (
+    f"bodies AS MATERIALIZED (SELECT page_id AS doc_id, {_ARTICLE} AS article, url FROM pages), "
+    + _SIMHASH.replace("lower(text)", "lower(article)").replace("FROM documents d LEFT", "FROM bodies d LEFT").replace("AS t FROM documents)", "AS t FROM bodies)")
+)
+
+
+def _process_sql(where: str, wanted: str) -> str:
+    """The page path in SQL: article texts in order of their ids; out-of-scope languages take no part in deduplication."""
+    return f"""
+    WITH RECURSIVE {_BODY_SIMHASH}, l AS MATERIALIZED (SELECT doc_id, {_LANGUAGE.format(t="article")} AS language FROM bodies),
+    o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, u, sha256(article) AS x FROM s JOIN bodies USING (doc_id) JOIN l USING (doc_id) WHERE {wanted}),
+    w AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS doc_id, '' AS reason, []::UBIGINT[] AS kept, []::VARCHAR[] AS texts UNION ALL
+          SELECT n, doc_id, reason, CASE WHEN reason = '' THEN list_append(kept, u) ELSE kept END, CASE WHEN reason = '' THEN list_append(texts, x) ELSE texts END FROM
+          (SELECT o.n, o.doc_id, o.u, o.x, w.kept, w.texts, CASE WHEN list_contains(w.texts, o.x) THEN 'exact' WHEN len(list_filter(w.kept, lambda k: bit_count(xor(k, o.u)) <= 4)) > 0 THEN 'near' ELSE '' END AS reason
+           FROM w JOIN o ON o.n = w.n + 1))
+    SELECT bodies.doc_id AS page_id, url AS key, CASE WHEN w.n IS NULL THEN 'lang_filtered' WHEN reason = '' THEN 'stored' ELSE reason END AS status, l.language
+    FROM bodies JOIN l USING (doc_id) LEFT JOIN w ON w.doc_id = bodies.doc_id {where}"""
+
+
+@query(_process_sql("", "language IN ('en', 'de')"))
+def process_languages(spark, sf_dir):
+    """The page path with two target languages: other pages never enter deduplication."""
+    got = crawl.process(_table(spark, sf_dir, "pages"), crawl.Settings(target_languages=("en", "de")))
+    return got.select("page_id", "key", "status", F.col("content.language").alias("language"))
+
+
+@query(_process_sql("", "true"))
 def process_pages(spark, sf_dir):
     return crawl.process(_table(spark, sf_dir, "pages")).select("page_id", "key", "status", F.col("content.language").alias("language"))
 
 
 @query()
 def crawl_rounds(spark, sf_dir):
-    """A crawl from the first pages' urls: what it stores, with kinds of verdicts counted."""
+    """A crawl from all pages' urls, until no new url is found: kinds of verdicts, counted."""
     pages = _table(spark, sf_dir, "pages")
-    first = [r["url"] for r in pages.where("page_id < 25").select("url").collect()]
-    got = crawl.crawl(spark, first, pages, crawl.Settings(keep_noise_links=True, rounds=2, max_pages=1000))
+    got = crawl.crawl(spark, pages.select("url"), pages, crawl.Settings(keep_noise_links=True, max_pages=None))
     return got["kinds"]

@@ -57,18 +57,16 @@ def dedup_batches(path: str, doc_id: str = "doc_id", text: str = "text") -> Call
         spark = batch.sparkSession
         marked = cut(batch.select(F.col(doc_id).alias("doc_id"), tx.content_hash(F.col(text)).alias("hash"), tx.simhash(F.col(text)).alias("simhash")))
         known = spark.read.schema("doc_id long, hash string, simhash long, batch int").parquet(f"{path}/kept").where(F.col("batch") < number) if number else spark.createDataFrame([], "doc_id long, hash string, simhash long, batch int")
-        # Kept texts are before all new ones; they match each other nowhere, so their own pairs don't matter.
-        old = known.groupBy("simhash").agg(F.min("doc_id").alias("old_id"))
-        reps = marked.groupBy("simhash").agg(F.min("doc_id").alias("rep"))
-        order = old.select("simhash", F.struct(F.lit(0).alias("side"), F.col("old_id").alias("id")).alias("rep")).unionByName(reps.select("simhash", F.struct(F.lit(1).alias("side"), F.col("rep").alias("id")).alias("rep")))
-        pairs = cut(dedup.near_pairs(order).select("a", "b"))
-        same = reps.join(old, "simhash", "left_semi").select("rep")
-        beaten = pairs.where("a.side = 0 AND b.side = 1").select(F.col("b.id").alias("rep")).union(same).distinct()
-        open_ = cut(reps.join(beaten, "rep", "left_anti"))
-        inner = pairs.where("a.side = 1").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        inner = inner.join(open_.select(F.col("rep").alias("a")), "a", "left_semi").join(open_.select(F.col("rep").alias("b")), "b", "left_semi")
-        kept_ids = dedup.greedy(open_.select(F.col("rep").alias("node")), inner).where("kept").select(F.col("node").alias("doc_id"))
-        kept = cut(marked.join(kept_ids, "doc_id", "left_semi"))
+        # Kept texts are before all new ones and don't match each other. Of them only those that share a key with a new one take part.
+        reps = marked.groupBy("simhash").agg(F.min("doc_id").alias("doc_id"))
+        old = known.select("simhash").distinct()
+        keys = lambda df: df.select("simhash", F.explode(dedup.block_keys()).alias("key"))
+        old = keys(old).join(keys(reps).select("key").distinct(), "key", "left_semi").select("simhash").distinct()
+        new = reps.join(known.select("simhash").distinct(), "simhash", "left_anti")
+        nodes = old.select(F.col("simhash").alias("node"), "simhash", F.lit(-(2**63)).alias("rep")).unionByName(new.select(F.col("simhash").alias("node"), "simhash", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rep")))
+        state = dedup.greedy(nodes).where("kept").select(F.col("node").alias("simhash"))
+        kept_ids = new.join(state, "simhash").select("doc_id", "simhash")
+        kept = cut(marked.join(kept_ids, ["doc_id", "simhash"], "left_semi").dropDuplicates(["simhash"]))
         hashes = known.select("hash").union(kept.select("hash")).distinct().select(F.col("hash").alias("_h"))
         out = marked.join(hashes, F.col("hash") == F.col("_h"), "left").join(kept.select(F.col("doc_id").alias("_k")), F.col("doc_id") == F.col("_k"), "left")
         reason = F.when(F.col("_k").isNotNull(), "").when(F.col("_h").isNotNull(), "exact").otherwise("near")

@@ -70,10 +70,67 @@ def test_near_pairs_are_all_pairs(spark):
     assert set(got) == want and len(got) == len(want)
 
 
-def test_greedy_chain(spark):
-    nodes = spark.createDataFrame([(k,) for k in range(7)], "node long")
-    edges = spark.createDataFrame([(k, k + 1) for k in range(5)], "a long, b long")
-    assert {r["node"] for r in dedup.greedy(nodes, edges).where("kept").collect()} == {0, 2, 4, 6}
+@pytest.mark.parametrize("block,local", [(4096, 20_000), (3, 20_000), (4, 2)])
+def test_greedy_chain(spark, block, local):
+    """A chain in which each matches the next only: every other one stays, however it is decided."""
+    rows = [(k, (1 << 3 * k) - 1, k) for k in range(20)] + [(100, -1, 5), (101, -2, 6), (102, -1 << 30, 7)]
+    nodes = spark.createDataFrame(rows, "node long, simhash long, rep long")
+    got = {r["node"] for r in dedup.greedy(nodes, block=block, local=local).where("kept").collect()}
+    want = greedy_nodes(rows)
+    assert got == want and {0, 2, 4, 6} <= got
+
+
+def greedy_nodes(rows):
+    kept = []
+    for n, s, r in sorted(rows, key=lambda x: (x[2], x[0])):
+        if all(bin((s ^ t) & (2**64 - 1)).count("1") > 4 for _, t in kept):
+            kept.append((n, s))
+    return {n for n, _ in kept}
+
+
+def test_greedy_variants_of_one_page(spark):
+    """Many variants within a few bits give rows in proportion to their number, not their pairs."""
+    rng = random.Random(5)
+    base = rng.getrandbits(62)
+    sims = sorted({base ^ sum(1 << b for b in rng.sample(range(62), rng.randrange(0, 4))) for _ in range(1500)})
+    rows = [(k, s, k) for k, s in enumerate(sims)]
+    nodes = spark.createDataFrame(rows, "node long, simhash long, rep long")
+    want = greedy_nodes(rows)
+    for local in (20_000, 10):
+        assert {r["node"] for r in dedup.greedy(nodes, local=local, block=512).where("kept").collect()} == want
+
+
+def test_cascade_odd_rows(spark):
+    """One row out for each row in: repeated ids, rows without id, null texts, an empty table."""
+    rows = [(1, "same text here"), (1, "same text here"), (1, "another text, quite different from it"), (2, "same text here"), (None, "lone words of no id at all"), (None, "same text here"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for semantic in (None, spark.createDataFrame([(7, 8)], "a long, b long")):
+        got = sorted(((r["doc_id"] or 99, r["reason"]) for r in dedup.cascade(docs, semantic=semantic).collect()))
+        assert got == [(1, ""), (1, ""), (1, "exact"), (2, "exact"), (3, ""), (4, "exact"), (99, ""), (99, "exact")]
+        assert dedup.cascade(docs.limit(0), semantic=semantic).count() == 0
+
+
+def test_semantic_pairs(spark):
+    rng = random.Random(6)
+    rows = [(k, [rng.gauss(0, 1) + 3 * (d == k % 4) for d in range(5)]) for k in range(120)]
+    odd = [(200, None), (201, [0.0] * 5), (202, [float("nan")] * 5), (203, [1.0, 2.0]), (204, [1.0, 2.1]), (205, [None, 1.0]), (None, rows[0][1]), (206, [])]
+    frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
+    norm = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    unit = {k: norm(v) for k, v in rows + [odd[3], odd[4]]}
+    for threshold in (0.95, 0.4):
+        want = {(a, b) for a in unit for b in unit if a < b and len(unit[a]) == len(unit[b]) and sum(x * y for x, y in zip(unit[a], unit[b])) >= threshold}
+        for block in (4096, 7):
+            got = [(r["a"], r["b"]) for r in dedup.semantic_pairs(frame, threshold, block=block).collect()]
+            assert set(got) == want and len(got) == len(want)
+    mixed = dedup.nearest(frame.where("vec_id IN (20, 203, 201)"), frame, 0.5).collect()
+    assert {(r["query_id"], r["vec_id"]) for r in mixed if r["query_id"] == 203} == {(203, 204)}
+
+
+def test_exact_with_null_keys(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None), (None, "b")], "doc_id long, content_hash string")
+    assert sorted((r["doc_id"] or 99, r["first"]) for r in dedup.exact(docs).collect()) == [(1, True), (2, False), (3, True), (4, False), (99, False)]
+    known = spark.createDataFrame([("a",), (None,)], "content_hash string")
+    assert dedup.exact(docs, known=known).where("first").count() == 0
 
 
 def test_nearest(spark):
@@ -234,3 +291,22 @@ def test_crawl(spark):
     lang = crawl.process(web_pages, crawl.Settings(target_languages=("xx",)))
     assert {r["status"] for r in lang.collect()} == {"lang_filtered"}
     assert web.seeds(spark, ["a"]).count() == 1
+
+
+def test_crawl_reaches_the_end_of_a_chain(spark):
+    """Eight hops, the last page a copy of the first by its vector only; no limit of rounds."""
+    words = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(9)]
+    rows = [(k, f"http://h/{k or ''}", f"<html><body><article><p>{words[k]}</p><a href='/{k + 1}'>next</a></article></body></html>") for k in range(9)]
+    web_pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = crawl.crawl(spark, ["http://h/"], web_pages, crawl.Settings(max_pages=None))
+    assert got["processed"].count() == 9 and {r["label"]: r["n"] for r in got["kinds"].collect()} == {"stored": 9}
+
+
+def test_process_with_semantic_layer(spark):
+    rows = [(k, f"http://h/{k}", f"<article><p>{' '.join(f'w{k}x{j}' for j in range(30))}</p></article>") for k in range(4)]
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.99, 0.05]), (3, None)], "page_id long, embedding array<double>")
+    fetched = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["status"] for r in crawl.process(fetched, crawl.Settings(semantic_threshold=0.92), vectors).collect()}
+    assert got == {0: "stored", 1: "stored", 2: "semantic", 3: "stored"}
+    hashed = crawl.process(fetched, crawl.Settings(semantic_threshold=0.999))
+    assert hashed.where("status = 'stored'").count() == 4
