@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sparkutil import aside, cut, without
+from .sparkutil import aside, without
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -68,8 +68,9 @@ def planned(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", tex
     bits = F.when(F.col("_size") > 0, F.length(F.bin("_size"))).otherwise(0)
     classed = sized.withColumn("_class", F.when(F.col("_size") < 8, F.col("_size").cast("int")).otherwise(bits * 8 + F.expr("int(shiftright(_size, int(greatest(length(bin(_size)) - 4, 0))) & 7)")))
     dealt = classed.withColumn("_piece", F.expr(f"int(pmod(bigint(conv(substring(md5(concat('{seed}:', coalesce(string({doc_id}), ''), ':', md5(coalesce({text}, '')))), 1, 8), 16, 10)), {pieces}))"))
-    # Cut, so that the words of all texts are counted once here and once for the rows.
-    counts = cut(dealt.groupBy(source, "_class", "_piece").agg(F.count("*").alias("_n"), F.sum("_size").alias("_s")))
+    # Both uses below read both columns (the conditions always hold), so their exchange is one and the words of all texts are counted once here
+    # and once for the rows.
+    counts = dealt.groupBy(source, "_class", "_piece").agg(F.count("*").alias("_n"), F.sum("_size").alias("_s")).where("_n > 0 AND _s >= 0")
     before = Window.partitionBy(source).orderBy("_class", "_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(source, "_class", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     goals = targets(counts.groupBy(source).agg(F.sum("_s").alias("_source_size")), source, weights, most)
