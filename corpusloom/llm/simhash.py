@@ -41,6 +41,8 @@ MAX_BITS = 4
 SEED = 42
 #: Distinct fingerprints of one key that are compared in one cell; larger buckets are dealt to several.
 BLOCK = 4096
+#: A fingerprint with more than one row in so many is frequent; there are fewer than so many of them, whatever the input.
+FREQUENT = 1000
 _GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 _SEGMENT = (1 << 23) - 1
 
@@ -218,16 +220,24 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
 
 
 def by_fingerprint(marked: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(fp, root, component_id) of each distinct fingerprint of marked(doc_id, fp): its group and the group's smallest id."""
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    """(fp, n, root, component_id) of each distinct fingerprint of marked(doc_id, fp): its rows, its group and the group's smallest id."""
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     roots = components(links(distinct, max_bits))
-    return lowest(distinct, roots, "fp", "low").select("fp", "root", "component_id")
+    return lowest(distinct, roots, "fp", "low").select("fp", "n", "root", "component_id")
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id): each row's fingerprint and the smallest doc_id of its group."""
+    """(doc_id, fp, component_id): each row's fingerprint and the smallest doc_id of its group.
+
+    Rows of frequent fingerprints stay where they are, so a group of copies of a third of all rows is no task of its own.
+    """
     marked = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), keep=["doc_id"]))
-    return marked.join(by_fingerprint(marked, max_bits), "fp").select("doc_id", "fp", "component_id")
+    found = cut(by_fingerprint(marked, max_bits))
+    frequent = F.col("n") * FREQUENT > marked.count()
+    few = found.where(frequent).select(F.col("fp").alias("_fp"), "component_id")
+    rows = marked.join(F.broadcast(few), F.col("fp") == F.col("_fp"), "left")
+    rest = rows.where("_fp IS NULL").select("doc_id", "fp").join(found.where(~frequent).select("fp", "component_id"), "fp")
+    return rows.where("_fp IS NOT NULL").select("doc_id", "fp", "component_id").unionByName(rest)
 
 
 def hex16(fp: str = "fp") -> Column:

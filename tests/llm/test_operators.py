@@ -221,8 +221,10 @@ def groups_of(fps):
     return low
 
 
-def test_simhash_groups(spark):
+@pytest.mark.parametrize("frequent", [1000, 40])
+def test_simhash_groups(spark, monkeypatch, frequent):
     """doc_id, fingerprint and component_id of every row, against all comparisons, with texts that differ in a word."""
+    monkeypatch.setattr(simhash, "FREQUENT", frequent)
     rng = np.random.default_rng(7)
     vocabulary = [f"{a}{b}" for a in ("ri", "sto", "clo", "pa") for b in ("ver", "ne", "ud", "per")]
     rows = [(k, t) for k, t in enumerate([None, "", " \n", "one", "One", "one two three", "é " * 9])]
