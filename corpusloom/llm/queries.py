@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, html_text, language_model, mixing, quality, secrets, sharding, simhash, toxicity
-from .sparkutil import table
+from . import decontaminate, embeddings, fingerprints, html_text, language_model, mixing, quality, secrets, sharding, simhash, toxicity, vector_codes, whitening
+from .sparkutil import cut, table
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,21 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.joined(cut(fingerprints.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.hex_of("f").alias("fingerprint"), fingerprints.hex_of("e").alias("edited_fingerprint"), "near_edited", "near_next", "n_links", "component_id"
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_sharding": op2_sharding,
@@ -82,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_html": op9_html,
     "op10_language_model": op10_language_model,
+    "op11_whitening": op11_whitening,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -98,6 +116,7 @@ _BLOCKS = "string_split_regex(regexp_replace(regexp_extract(coalesce(html, ''),
 _PLAIN = "trim(regexp_replace(regexp_replace(replace(b, '&quot;', '\"'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))"
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_vector_codes": vector_codes.oracle_sql(),
     "op2_sharding": f"""
         WITH {_CRC_TABLE}, d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(doc_id, 0) AS k FROM documents),
         h AS MATERIALIZED (SELECT d.*, octet_length(encode(text)) + 1 AS size, {sharding.jump_sql("k", 16)} AS shard, {sharding.jump_sql("k", 17)} AS grown,

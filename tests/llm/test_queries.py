@@ -34,10 +34,10 @@ def texts(con):
 
 def test_every_operator_has_one_query():
     numbers = [int(re.match(r"op(\d+)_", q)[1]) for q in entry.queries() if re.match(r"op\d+_", q)]
-    assert sorted(numbers) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(numbers) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
-@pytest.mark.parametrize("name", ["op2_sharding", "op3_decontamination", "op4_mixing", "op7_embeddings", "op9_html", "op10_language_model"])
+@pytest.mark.parametrize("name", ["op2_sharding", "op3_decontamination", "op4_mixing", "op7_embeddings", "op9_html", "op10_language_model", "op13_vector_codes"])
 def test_against_sql(spark, con, name):
     want = con.execute(entry.oracle_sql()[name]).df()
     got = entry.queries()[name](spark, SF).toPandas()
