@@ -229,12 +229,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, bits: int = BITS, block: in
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n = column_of(batch, "node"), column_of(batch, "n")
             fp = np.stack([column_of(batch, c).to_numpy() for c in lanes], axis=1).view(np.uint64)
             lead = _leading(fp, blocks)
             for t in range(len(blocks)):
                 key = (mix(lead[:, t]) & np.uint64((1 << 56) - 1)).view(np.int64) | np.int64(t) << 56
-                yield pa.RecordBatch.from_arrays([pa.array(key), node, n, *(column_of(batch, c) for c in lanes)], ["key", "node", "n", *lanes])
+                yield pa.RecordBatch.from_arrays([pa.array(key), column_of(batch, "node")], ["key", "node"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in whole_runs(batches, ["key", "i", "j"]):
@@ -269,9 +268,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, bits: int = BITS, block: in
                 pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[1])], ["u", "n", "v"])
 
-    words_ = ", ".join(f"{c} long" for c in lanes)
-    rows = distinct.select("node", "n", *lanes).mapInArrow(tables, f"key long, node long, n long, {words_}")
-    dealt = cells(rows, "key", "node", block, alone=True)
+    # Runs of a single row have no pair; only rows of the others bring their fingerprints along.
+    dealt = cells(distinct.select("node", *lanes).mapInArrow(tables, "key long, node long"), "key", "node", block)
+    dealt = dealt.select("key", "i", "j", "piece", "node").join(distinct.select("node", "n", *lanes), "node")
     parts = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return parts.select("key", "i", "j", "piece", "node", "n", *lanes).mapInArrow(compare, "u long, n long, v long")
 
