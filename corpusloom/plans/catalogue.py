@@ -17,6 +17,7 @@ from ..functions import text as tx
 from ..functions.session import checkpoint_folder
 from ..operators import dedup, frontier, graph, metrics, state
 from ..sources import store, web
+from ..streaming import streams
 from . import crawl
 
 
@@ -151,6 +152,26 @@ def dedup_cascade(spark, sf_dir):
     return dedup.cascade(_table(spark, sf_dir, "documents"))
 
 
+@query(f"""
+    WITH RECURSIVE {_SIMHASH},
+    o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, u, sha256(text) AS x FROM s JOIN documents USING (doc_id)),
+    w AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS doc_id, '' AS reason, []::UBIGINT[] AS kept, []::VARCHAR[] AS texts UNION ALL
+          SELECT n, doc_id, reason, CASE WHEN reason = '' THEN list_append(kept, u) ELSE kept END, CASE WHEN reason = '' THEN list_append(texts, x) ELSE texts END FROM
+          (SELECT o.n, o.doc_id, o.u, o.x, w.kept, w.texts, CASE WHEN list_contains(w.texts, o.x) THEN 'exact' WHEN len(list_filter(w.kept, lambda k: bit_count(xor(k, o.u)) <= 4)) > 0 THEN 'near' ELSE '' END AS reason
+           FROM w JOIN o ON o.n = w.n + 1)),
+    f AS (SELECT avg(doc_id) AS cut FROM documents)
+    SELECT doc_id, doc_id >= cut AS second, reason <> '' AS is_dup, reason FROM w, f WHERE n > 0""")
+def dedup_two_batches(spark, sf_dir):
+    """The verdicts of a stream of two micro-batches, cut at the mean id: the second is judged against what the first kept."""
+    documents = _table(spark, sf_dir, "documents")
+    middle = documents.agg(F.avg("doc_id")).first()[0]
+    path = f"{checkpoint_folder(spark)}/batches-{uuid.uuid4().hex}"
+    judge = streams.dedup_batches(path)
+    for number, part in enumerate(("doc_id < {m}", "doc_id >= {m} OR doc_id IS NULL")):
+        judge(documents.where(part.format(m=repr(float(middle or 0)) + "D")), number)
+    return spark.read.parquet(f"{path}/verdicts").select("doc_id", (F.col("batch") == 1).alias("second"), "is_dup", "reason")
+
+
 #: The walk over texts in order of their first ids, with pairs of ids whose vectors match as a third layer.
 _SEMANTIC_WALK = """
     tt AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min(doc_id)) AS n, min(doc_id) AS node, text, arg_min(u, doc_id) AS u FROM s JOIN documents USING (doc_id) GROUP BY text),
@@ -348,14 +369,15 @@ def scope_filter(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
+    """Links with repetitions, both ways."""
     return _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).union(
-        _table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey"))
+        _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey"))
     )
 
 
 _RANKS = (
-    "e AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_linenumber = 1)), "
-    "nodes AS MATERIALIZED (SELECT src AS url FROM e UNION SELECT dst FROM e), deg AS MATERIALIZED (SELECT src, count(*) AS d FROM e GROUP BY src), n AS (SELECT count(*) AS n FROM nodes), r0 AS MATERIALIZED (SELECT url, 1.0::DOUBLE / n AS pr FROM nodes, n), "
+    "raw AS MATERIALIZED (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem), e AS MATERIALIZED (SELECT DISTINCT src, dst FROM raw), "
+    "nodes AS MATERIALIZED (SELECT src AS url FROM e UNION SELECT dst FROM e), deg AS MATERIALIZED (SELECT src, count(*) AS d FROM raw GROUP BY src), n AS (SELECT count(*) AS n FROM nodes), r0 AS MATERIALIZED (SELECT url, 1.0::DOUBLE / n AS pr FROM nodes, n), "
     + ", ".join(
         f"r{k} AS MATERIALIZED (SELECT nodes.url, 0.15::DOUBLE / (SELECT n FROM n) + 0.85::DOUBLE * coalesce(g.got, 0) AS pr FROM nodes LEFT JOIN "
         f"(SELECT e.dst, sum(r.pr / deg.d) AS got FROM e JOIN deg USING (src) JOIN r{k - 1} r ON r.url = e.src GROUP BY e.dst) g ON g.dst = nodes.url)"
@@ -450,10 +472,11 @@ def inverted_index(spark, sf_dir):
 
 
 @query("""WITH i AS (SELECT term, doc_id AS key, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents) WHERE term IN ('license', 'copyright') GROUP BY ALL)
-    SELECT key, round(sum(tf * ln(1 + 1000.0::DOUBLE / df)), 6) AS score FROM i JOIN (SELECT term, count(*) AS df FROM i GROUP BY term) USING (term) GROUP BY key""")
+    SELECT key, round(sum(tf * ln(1 + (SELECT count(*) FROM documents)::DOUBLE / df)), 6) AS score FROM i JOIN (SELECT term, count(*) AS df FROM i GROUP BY term) USING (term) GROUP BY key""")
 def search_terms(spark, sf_dir):
-    index = store.inverted_index(_table(spark, sf_dir, "documents"), "doc_id", ("text",))
-    return store.search(index, ["License", "copyright"], 1000).withColumn("score", F.round("score", 6))
+    documents = _table(spark, sf_dir, "documents")
+    index = store.inverted_index(documents, "doc_id", ("text",))
+    return store.search(index, ["License", "copyright"], documents.count()).withColumn("score", F.round("score", 6))
 
 
 @query()

@@ -69,7 +69,7 @@ def stored(processed: DataFrame) -> DataFrame:
 
 def crawl(spark: SparkSession, seeds: list[str] | DataFrame, web_pages: DataFrame, settings: Settings | None = None) -> dict[str, DataFrame]:
     """A crawl of a table of pages (page_id, url, html) from seeds (urls, or a table with column url): rounds until no new url is found, or
-    the limit of pages is reached. Returns pages, links, seen and done.
+    the limit of stored pages is reached. Returns pages, links, seen and done.
 
     Each round is a set: admitted urls are joined with the web, only the new pages are extracted, and the links of those of them that are stored are the
     next candidates. Verdicts are given over all pages so far, in order of their ids, so they are those of one pass.
@@ -77,31 +77,38 @@ def crawl(spark: SparkSession, seeds: list[str] | DataFrame, web_pages: DataFram
     s = settings or Settings()
     how = {"default": s.default_budget, "overrides": s.domain_overrides, "tiers": s.domain_tiers}
     start = web.seeds(spark, seeds) if isinstance(seeds, list) else seeds.select("url")
-    candidates, seen, pages, n = start, None, None, 0
-    site = cut(web_pages.select(urls.normalise(F.col("url")).alias("url"), "page_id", "html").where("url <> ''").dropDuplicates(["url"]))
+    candidates, seen, pages, waiting, n = start, None, None, None, 0
+    # Of pages with one normal form that of the smallest id.
+    site = cut(web_pages.select(urls.normalise(F.col("url")).alias("url"), "page_id", "html").where("url <> ''").groupBy("url").agg(F.min(F.struct("page_id", "html")).alias("p")).select("url", "p.*"))
     done = processed = offered = None
     while True:
         used = done.groupBy("domain").agg(F.count("*").alias("used")) if done is not None else None
         new = frontier.admit(frontier.scope(candidates, start) if s.same_domain_only else candidates, seen, used, seq="seq" if "seq" in candidates.columns else None, **how)
         new = cut(frontier.within_budget(new, used, **how))
-        if not new.limit(1).count():
+        if not new.limit(1).count() and (waiting is None or not waiting.limit(1).count()):
             break
         seen = cut(new.select("url") if seen is None else seen.union(new.select("url")))
         got = new.join(site, "url").select("page_id", "url", "html", "priority")
+        got = got if waiting is None else got.unionByName(waiting)
         found = got.count()
         if s.max_pages is not None and n + found > s.max_pages:
-            got = got.orderBy(F.desc("priority"), "url").limit(max(0, s.max_pages - n))
-        n += found
+            # The limit counts stored pages: those beyond it wait, in case some of the round's are dropped.
+            every = cut(got)
+            got = cut(every.orderBy(F.desc("priority"), "url").limit(max(0, s.max_pages - n)))
+            waiting = cut(every.join(got.select("url"), "url", "left_anti"))
+        else:
+            waiting = None
         if found or pages is None:
             fresh = cut(extracted(got, s))
             pages = fresh if pages is None else cut(pages.unionByName(fresh))
             processed = cut(judged(pages, s))
             done = processed.where("status = 'stored'").select("url", urls.domain(F.col("url")).alias("domain"))
-        if not found or not s.follow_links or (s.max_pages is not None and n >= s.max_pages):
+            n = done.count()
+        if not found or (not s.follow_links and waiting is None) or (s.max_pages is not None and n >= s.max_pages):
             break
         # Links of pages that were offered before are seen already.
         links = processed if offered is None else processed.join(offered, "page_id", "left_anti")
-        candidates = frontier.discover(stored(links))
+        candidates = frontier.discover(stored(links)) if s.follow_links else start.limit(0)
         offered = processed.where("status = 'stored'").select("page_id")
     if processed is None:
         return {}

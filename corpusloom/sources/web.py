@@ -51,7 +51,7 @@ def sitemap_urls(roots: DataFrame, documents: DataFrame, depth: int = SITEMAP_DE
     documents(url, status, body) stands for the network. A missing, failed or malformed file lists nothing; what other
     files list stays. Each level is one join.
     """
-    ok = documents.where("status = 200").select(F.col("url").alias("_u"), _sitemap("body").alias("s")).dropDuplicates(["_u"])
+    ok = documents.where("status = 200").groupBy(F.col("url").alias("_u")).agg(F.min("body").alias("body")).select("_u", _sitemap("body").alias("s"))
     level = roots.select(F.col("url").alias("root"), F.col("url").alias("at")).distinct()
     found = None
     for d in range(depth + 1):

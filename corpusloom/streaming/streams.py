@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import text as tx
+from ..functions.session import cut
 from ..operators import dedup, state
 from ..sources import store
 
@@ -43,34 +45,49 @@ def rate(events: DataFrame, ts: str, label: str, seconds: int = 60, late: str =
     return out.select(F.col("w.start").alias("window_start"), "label", "rate")
 
 
+KEPT_SCHEMA = "doc_id long, hash string, simhash long, batch int"
+
+
+def judge_batch(batch: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(verdicts, kept): greedy first-come dedup of one batch against known(doc_id, hash, simhash), the kept texts of earlier ones.
+
+    Verdicts are (doc_id, is_dup, reason), one for each row; kept has the marks of texts that this batch adds. As in the batch cascade, a null text counts as
+    an empty one, rows without an id come last in their batch, and of rows that repeat an id and a text one is the first.
+    """
+    marked = cut(batch.select(F.col(doc_id).alias("doc_id"), tx.content_hash(F.col(text)).alias("hash"), tx.simhash(F.col(text)).alias("simhash")))
+    rows = marked.groupBy("doc_id", "hash", "simhash").agg(F.count("*").alias("n"))
+    place = F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("rep"), "hash", "doc_id")
+    nodes = cut(rows.groupBy("simhash").agg(F.min(place).alias("first")))
+    # Kept texts are before all new ones and don't match each other. Of them only those that share a key with a new one take part.
+    old = known.groupBy("simhash").agg(F.min("hash").alias("hash"))
+    keys = lambda df: df.select("simhash", F.explode(dedup.block_keys()).alias("key"))
+    near_old = cut(keys(old).join(keys(nodes).select("key").distinct(), "key", "left_semi").select("simhash").distinct().join(old, "simhash"))
+    new = nodes.join(near_old, "simhash", "left_anti")
+    both = near_old.select(F.col("simhash").alias("node"), "simhash", F.lit(-(2**63)).alias("rep")).unionByName(new.select(F.col("simhash").alias("node"), "simhash", "first.rep"))
+    state = dedup.greedy(both).where("kept").select(F.col("node").alias("simhash"))
+    kept = cut(new.join(state, "simhash").select("first.doc_id", "first.hash", "simhash"))
+    # Equal texts have equal simhashes, of which one text is kept at most.
+    owners = near_old.select("simhash", F.col("hash").alias("h"), F.lit(None).cast("long").alias("d"), F.lit(False).alias("fresh")).unionByName(kept.select("simhash", F.col("hash").alias("h"), F.col("doc_id").alias("d"), F.lit(True).alias("fresh")))
+    out = rows.join(owners, "simhash", "left")
+    first = F.coalesce(F.col("fresh") & (F.col("hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")), F.lit(False))
+    why = F.when(F.col("hash") == F.col("h"), "exact").otherwise("near")
+    judged = out.select("doc_id", first.alias("first"), why.alias("why"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
+    is_dup = ~(F.col("first") & (F.col("k") == 1))
+    return judged.select("doc_id", is_dup.alias("is_dup"), F.when(~is_dup, "").otherwise(F.col("why")).alias("reason")), kept
+
+
 def dedup_batches(path: str, doc_id: str = "doc_id", text: str = "text") -> Callable[[DataFrame, int], None]:
     """For foreachBatch: greedy first-come dedup against the kept table under path, then within the batch.
 
-    Verdicts go to path/verdicts and kept texts' marks (hash, simhash, id) to path/kept, one folder for each batch, overwritten if a
+    Verdicts go to path/verdicts and kept texts' marks (id, hash, simhash) to path/kept, one folder for each batch, overwritten if a
     batch is run again; so a rerun after a failure gives the same rows. Micro-batches come in order of their ids.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        from ..functions import text as tx
-        from ..functions.session import cut
-
         spark = batch.sparkSession
-        marked = cut(batch.select(F.col(doc_id).alias("doc_id"), tx.content_hash(F.col(text)).alias("hash"), tx.simhash(F.col(text)).alias("simhash")))
-        known = spark.read.schema("doc_id long, hash string, simhash long, batch int").parquet(f"{path}/kept").where(F.col("batch") < number) if number else spark.createDataFrame([], "doc_id long, hash string, simhash long, batch int")
-        # Kept texts are before all new ones and don't match each other. Of them only those that share a key with a new one take part.
-        reps = marked.groupBy("simhash").agg(F.min("doc_id").alias("doc_id"))
-        old = known.select("simhash").distinct()
-        keys = lambda df: df.select("simhash", F.explode(dedup.block_keys()).alias("key"))
-        old = keys(old).join(keys(reps).select("key").distinct(), "key", "left_semi").select("simhash").distinct()
-        new = reps.join(known.select("simhash").distinct(), "simhash", "left_anti")
-        nodes = old.select(F.col("simhash").alias("node"), "simhash", F.lit(-(2**63)).alias("rep")).unionByName(new.select(F.col("simhash").alias("node"), "simhash", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rep")))
-        state = dedup.greedy(nodes).where("kept").select(F.col("node").alias("simhash"))
-        kept_ids = new.join(state, "simhash").select("doc_id", "simhash")
-        kept = cut(marked.join(kept_ids, ["doc_id", "simhash"], "left_semi").dropDuplicates(["simhash"]))
-        hashes = known.select("hash").union(kept.select("hash")).distinct().select(F.col("hash").alias("_h"))
-        out = marked.join(hashes, F.col("hash") == F.col("_h"), "left").join(kept.select(F.col("doc_id").alias("_k")), F.col("doc_id") == F.col("_k"), "left")
-        reason = F.when(F.col("_k").isNotNull(), "").when(F.col("_h").isNotNull(), "exact").otherwise("near")
-        out.select("doc_id", F.col("_k").isNull().alias("is_dup"), reason.alias("reason")).write.mode("overwrite").parquet(f"{path}/verdicts/batch={number}")
+        known = spark.read.schema(KEPT_SCHEMA).parquet(f"{path}/kept").where(F.col("batch") < number) if number else spark.createDataFrame([], KEPT_SCHEMA)
+        verdicts, kept = judge_batch(batch, known, doc_id, text)
+        verdicts.write.mode("overwrite").parquet(f"{path}/verdicts/batch={number}")
         kept.write.mode("overwrite").parquet(f"{path}/kept/batch={number}")
 
     return run

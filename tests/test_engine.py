@@ -167,10 +167,11 @@ def test_frontier(spark):
 
 
 def pagerank(edges, d=0.85, rounds=20):
+    """Membership of an edge counts once, the number of a source's links with repetitions."""
     nodes = {x for e in edges for x in e}
     out = {}
-    for a, b in set(edges):
-        out.setdefault(a, set()).add(b)
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
     pr = dict.fromkeys(nodes, 1 / len(nodes))
     for _ in range(rounds):
         pr = {u: (1 - d) / len(nodes) + d * sum(pr[v] / len(out[v]) for v in out if u in out[v]) for u in nodes}
@@ -310,3 +311,60 @@ def test_process_with_semantic_layer(spark):
     assert got == {0: "stored", 1: "stored", 2: "semantic", 3: "stored"}
     hashed = crawl.process(fetched, crawl.Settings(semantic_threshold=0.999))
     assert hashed.where("status = 'stored'").count() == 4
+
+
+# Fixes by definition: repeated edges, stored pages as the limit, batches of a stream.
+
+
+def test_the_limit_of_a_crawl_counts_stored_pages(spark):
+    """Six pages, of which three are copies: a limit of three stores three."""
+    page = "<html><body><article><p>{}</p></article></body></html>"
+    texts = ["the same text on three pages and more of it"] * 3 + [f"another {w} text with {w} words that nobody else has, {w}" for w in ("first", "second", "third")]
+    pages = spark.createDataFrame([(k, f"https://x.example/{k}", page.format(t)) for k, t in enumerate(texts)], "page_id long, url string, html string")
+    got = crawl.crawl(spark, pages.select("url"), pages, crawl.Settings(max_pages=3))
+    assert got["pages"].count() == 3
+
+
+ODD = [(1, "a b c d"), (1, "e f g h"), (2, "a b c d"), (None, "i j k l"), (None, "i j k l"), (None, "a b c d"), (3, None), (4, ""), (3, None), (5, "a b c d"), (5, "a b c d"), (6, "e f g h"), (7, "m n o p")]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_a_stream_of_batches_gives_the_verdicts_of_one_batch(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [*ODD, *((rng.randrange(8, 40), " ".join(rng.choice(("red", "blue", "green", "x")) for _ in range(rng.randrange(1, 4)))) for _ in range(20))]
+    rows.sort(key=lambda r: (r[0] is None, r[0] or 0))
+    schema = "doc_id long, text string"
+    want = sorted(map(repr, dedup.cascade(spark.createDataFrame(rows, schema)).collect()))
+    run = streams.dedup_batches(str(tmp_path / "t"))
+    # A batch begins with a new id; the rows without one are the last.
+    starts = sorted(rng.sample([k for k in range(1, len(rows)) if rows[k][0] != rows[k - 1][0]], 2))
+    for number, (a, b) in enumerate(zip([0, *starts], [*starts, len(rows)])):
+        part = spark.createDataFrame(rows[a:b], schema).repartition(2)
+        run(part, number)
+        if number == 1:
+            run(part, number)  # after a failure
+    got = spark.read.parquet(str(tmp_path / "t" / "verdicts")).select("doc_id", "is_dup", "reason")
+    assert sorted(map(repr, got.collect())) == want
+
+
+def test_a_batch_of_odd_rows(spark):
+    rows = [(1, "a"), (1, "b"), (2, "a"), (None, "c")]
+    verdicts, kept = streams.judge_batch(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([], streams.KEPT_SCHEMA))
+    assert sorted(map(repr, verdicts.collect())) == sorted(map(repr, dedup.cascade(spark.createDataFrame(rows, "doc_id long, text string")).collect())) and kept.count() == 3
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert streams.judge_batch(empty, spark.createDataFrame([], streams.KEPT_SCHEMA))[0].collect() == []
+
+
+def test_first_seen_and_rates_of_a_stream(spark, tmp_path):
+    events = [("u1", "2024-01-01 00:00:01", "a"), ("u1", "2024-01-01 00:00:05", "a"), ("u2", "2024-01-01 00:00:30", "b"), ("u3", "2024-01-01 00:01:10", "a")]
+    spark.createDataFrame(events, "url string, ts string, label string").selectExpr("url", "timestamp(ts) AS ts", "label").write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("url string, ts timestamp, label string").parquet(str(tmp_path / "in"))
+
+    def rows(df, name, mode):
+        df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name).collect()
+
+    assert sorted(r["url"] for r in rows(streams.first_seen(stream()), "seen1", "append")) == ["u1", "u2", "u3"]
+    assert sorted(r["url"] for r in rows(streams.first_seen(stream(), ts="ts"), "seen2", "append")) == ["u1", "u2", "u3"]
+    got = {(str(r["window_start"]), r["label"]): r["rate"] for r in rows(streams.rate(stream(), "ts", "label"), "rates", "complete")}
+    assert got == {("2024-01-01 00:00:00", "a"): 2 / 60, ("2024-01-01 00:00:00", "b"): 1 / 60, ("2024-01-01 00:01:00", "a"): 1 / 60}
