@@ -7,10 +7,15 @@ fused by their geometric mean; a path's score is the logarithm of its fused rati
 Paths whose score is above the threshold, zero, are content; so are headings, lists and short paragraphs that stand among them.
 
 What the markup says weighs in on the score, it doesn't decide: a path in an article or main gains INSIDE, one outside of those that the page
-has loses OUTSIDE, and names in class or id that are whole words of a list lose WEAK or STRONG. So a paragraph of text in an
-article stays under a name like "related" or "notice", and a list of links there goes without any name. A name doesn't count
+has loses OUTSIDE, and names in class or id with a word of a list lose WEAK or STRONG. So a paragraph of text in an
+article stays under a name like "related" or "notice". Links are text like other where they stand in the article, under no such name, and in headings; elsewhere
+they are taken off. A name doesn't count
 where the element holds the page's article or main (as much of their text as stands outside such elements, or, within one, nine tenths of it) or,
-without any of that outside, most of the plain text. Elements that HTML defines as no part of the text (nav, form, script and the like, and the
+without any of that outside, most of the plain text.
+
+Some parts are told by their structure, whatever their names: elements side by side with the same path that each have a short line with a date or
+time, after a quarter of the page's text (reader comments, with the element that holds little else), and elements that stand around a button or field with at most
+NOTICE characters and less than half of the page's text (notices, sign-ups). Those lose BESIDE. Elements that HTML defines as no part of the text (nav, form, script and the like, and the
 page's own header and footer) are left out before.
 
 Edge cases: a null or empty page, or one without text, gives an empty text. Unclosed tags are closed by the rules for p, li,
@@ -42,6 +47,9 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""(?<![^\s/"'])([^\s=/"'>]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""")
 _SPACE = re.compile(r"\s+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: A date or time in figures.
+_DATE = re.compile(r"\b\d{4}-\d{1,2}-\d{1,2}\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d{1,2}:\d{2}\b|\b\d{1,2}\.? [^\W\d]+ \d{4}\b|\b[^\W\d]+ \d{1,2}, \d{4}\b")
 _MARK = re.compile(r"[.,;:!?。，；：！？…]")
 #: Elements whose content is no markup.
 _RAW = frozenset(("script", "style", "noscript", "textarea", "template", "iframe", "svg", "math", "title", "xmp", "noembed", "noframes"))
@@ -80,7 +88,15 @@ _AMONG = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "p", "ul", "ol", "li", "
 RADIUS = 1
 SHARE = 0.6
 #: What the markup weighs, as logarithms.
-INSIDE, OUTSIDE, WEAK, STRONG = 2.0, 1.0, 1.5, 3.5
+INSIDE, OUTSIDE, WEAK, STRONG, BESIDE = 2.0, 1.0, 1.5, 3.5, 8.0
+#: Characters of a line that may be a comment's head, and of a notice.
+LINE, NOTICE = 80, 400
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: What a user acts on; elements that are the page's text or hold it; tags that a comment may have; parts that no notice has.
+_FIELDS = frozenset(("button", "input", "select", "textarea", "form"))
+_WHOLE = frozenset(("", "html", "body", "main", "article"))
+_ITEMS = frozenset(("li", "div", "section", "article", "dd", "tr", "blockquote"))
+_SOLID = frozenset(("pre", "table", "figure", "h1"))
 DEPTH = 256
 
 
@@ -88,9 +104,12 @@ class _Blocks:
     """Reads one page into blocks: (path, text, linked characters, tags)."""
 
     def __init__(self, page: str) -> None:
-        self.stack: list[tuple[str, str, bool, tuple[int, ...], bool]] = []  # tag, path without inline elements, noise, elements named like noise, in an article
+        self.stack: list[tuple[str, str, bool, tuple[int, ...], bool, int]] = []  # tag, path without inline elements, noise, elements named like noise, in an article, block element
         self.raw: list[tuple[str, list, int]] = []
-        self.parts: list[tuple[str, bool, tuple[int, ...], bool]] = []
+        self.parts: list[tuple[str, bool, tuple[int, ...], bool, int]] = []
+        # Of each block element: the one around it, tag, path, and whether a field, a date or a solid part stands in it.
+        self.above, self.tag_of, self.path_of = [-1], [""], [""]
+        self.field, self.dated, self.solid = set(), set(), set()
         self.named = 0
         self.tags = 0
         self.open_tags: dict[str, int] = defaultdict(int)
@@ -131,11 +150,14 @@ class _Blocks:
 
     def text(self, raw: str) -> None:
         if raw and not self.noisy():
-            named, article = self.stack[-1][3:] if self.stack else ((), False)
-            self.parts.append((html.unescape(raw) if "&" in raw else raw, any(x[0] == "a" for x in self.stack[-3:]), named, article))
+            named, article, element = self.stack[-1][3:] if self.stack else ((), False, 0)
+            self.parts.append((html.unescape(raw) if "&" in raw else raw, any(x[0] == "a" for x in self.stack[-3:]), named, article, element))
 
     def flush(self) -> None:
         if self.parts:
+            line = "".join(x[0] for x in self.parts) if sum(len(x[0]) for x in self.parts) <= 2 * LINE else ""
+            if len(line.strip()) <= LINE and _DATE.search(line):
+                self.dated.add(self.parts[0][4])
             self.raw.append((self.stack[-1][1] if self.stack else "", self.parts, self.tags + 1))
             self.parts = []
         self.tags = 0
@@ -145,7 +167,7 @@ class _Blocks:
         plain, article = np.zeros(self.named), np.zeros(self.named)
         total = outside = within = 0
         for _, parts, _ in self.raw:
-            for x, link, named, inside in parts:
+            for x, link, named, inside, _ in parts:
                 n = 0 if link else len(_SPACE.sub(" ", x).strip())
                 total += n
                 within += n * inside
@@ -157,17 +179,58 @@ class _Blocks:
         part = np.array(self.within, dtype=bool)
         counts = np.where(part, 10 * article <= 9 * within, ((2 * plain <= total) | (outside > 0)) & ((article == 0) | (article < outside)))
         found = []
+        beside = self.beside()
         for path, parts, tags in self.raw:
-            weights = [(INSIDE if inside else -OUTSIDE if within else 0.0) - max((self.weight[k] for k in named if counts[k]), default=0.0) for _, _, named, inside in parts]
+            lost = [max((self.weight[k] for k in named if counts[k]), default=0.0) for _, _, named, _, _ in parts]
+            weights = [(INSIDE if inside else -OUTSIDE if within else 0.0) - max(w, BESIDE * beside[element]) for (_, _, _, inside, element), w in zip(parts, lost)]
             # The block weighs what most of its text does; an inline element with a strong name goes by itself.
             main = max(zip((len(x[0]) for x in parts), weights))[1]
-            parts = [x for x, w in zip(parts, weights) if w > main - STRONG]
+            heading = path.rpartition("/")[2].partition(".")[0] in _HEADINGS
+            # Links of the article itself, and in headings, are its text.
+            parts = [(x[0], x[1] and not heading and (bool(lost[k]) or not x[3])) for k, x in enumerate(parts) if weights[k] > main - STRONG]
             text = _SPACE.sub(" ", "".join(x[0] for x in parts)).strip()
             if text:
                 linked = sum(len(_SPACE.sub(" ", x[0]).strip()) for x in parts if x[1])
                 found.append((path, main, text, min(linked, len(text)), tags))
         return found
 
+    def beside(self) -> list[bool]:
+        """Whether a block element is one of a list of dated parts or stands around a button or field, or within such a one."""
+        n = len(self.above)
+        size, before, text_before = [0] * n, [0] * n, 0
+        for _, parts, _ in self.raw:
+            for x, _, _, _, element in parts:
+                before[element] = before[element] or text_before + 1
+                m = len(x.strip())
+                size[element] += m
+                text_before += m
+        dated, solid = [k in self.dated for k in range(n)], [k in self.solid for k in range(n)]
+        for k in range(n - 1, 0, -1):
+            up = self.above[k]
+            size[up] += size[k]
+            dated[up] |= dated[k]
+            solid[up] |= solid[k]
+            if before[k] and (not before[up] or before[k] < before[up]):
+                before[up] = before[k]
+        total, marked = size[0], [False] * n
+        alike: dict[tuple[int, str], list[int]] = defaultdict(list)
+        for k in range(1, n):
+            if size[k] and self.tag_of[k] in _ITEMS:
+                alike[self.above[k], self.path_of[k]].append(k)
+        for (up, _), own in alike.items():
+            if len(own) > 1 and all(dated[k] for k in own) and 2 * sum(size[k] for k in own) <= total and 4 * before[own[0]] > total:
+                whole = self.tag_of[up] not in _WHOLE and 2 * sum(size[k] for k in own) >= size[up]
+                for k in [up] if whole else own:
+                    marked[k] = True
+        for k in self.field:
+            while k and not size[k]:
+                k = self.above[k]
+            if self.tag_of[k] not in _WHOLE and size[k] <= NOTICE and 2 * size[k] < total and not solid[k]:
+                marked[k] = True
+        for k in range(1, n):
+            marked[k] |= marked[self.above[k]]
+        return marked
+
     def open(self, tag: str, attributes: str) -> None:
         self.tags += 1
         if tag == "br" or tag not in _INLINE:
@@ -179,11 +242,15 @@ class _Blocks:
             self.close_until(("p",), _P_STOPS)
         if tag in _CLOSES:
             self.close_until(*_CLOSES[tag])
+        named, article, element = self.stack[-1][3:] if self.stack else ((), False, 0)
+        if tag in _FIELDS and 'type="hidden"' not in attributes:
+            self.field.add(element)
         if tag in _VOID:
             return
         if len(self.stack) >= DEPTH:
             return
-        named, article = self.stack[-1][3:] if self.stack else ((), False)
+        if tag == "time":
+            self.dated.add(element)
         name, noise = tag, self.noisy() or tag in _NOISE_TAGS or tag in _RAW or (tag in _PAGE_TAGS and not article)
         if tag in _PAGE_TAGS and article:
             named = self.name(named, STRONG if tag == "aside" else WEAK)
@@ -191,14 +258,21 @@ class _Blocks:
             given = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
             if cls := given.get("class", ""):
                 name += "." + ".".join(sorted(cls.split()))
-            if not noise and tag not in ("html", "body", "article", "main"):
+            if not noise and (tag not in ("html", "body", "article", "main") or (article and tag == "article")):
                 noise = given.get("role", "").lower() in _NOISE_ROLES or given.get("aria-hidden") == "true" or "hidden" in re.sub(r"=\s*(\"[^\"]*\"|'[^']*')", "", attributes).lower().split()
-                words = f"{cls} {given.get('id', '')}".lower().split()
+                words = [x.lower() for x in _NAME.findall(f"{cls} {given.get('id', '')}")]
                 if not noise and not (strong := _NOISE_WORDS.isdisjoint(words)) or not _WEAK_WORDS.isdisjoint(words):
                     named = self.name(named, WEAK if strong else STRONG)
         above = self.stack[-1][1] if self.stack else ""
         path = above if tag in _INLINE else f"{above}/{name}" if above else name
-        self.stack.append((tag, path, noise, named, article or tag in ("article", "main")))
+        if tag not in _INLINE and not noise:
+            self.above.append(element)
+            self.tag_of.append(tag)
+            self.path_of.append(path)
+            element = len(self.above) - 1
+            if tag in _SOLID:
+                self.solid.add(element)
+        self.stack.append((tag, path, noise, named, article or tag in ("article", "main"), element))
         self.open_tags[tag] += 1
 
     def name(self, named: tuple[int, ...], weight: float) -> tuple[int, ...]:

@@ -453,8 +453,40 @@ def test_html_without_article():
 def test_html_names_inside_article(name):
     page = f"<body><div class=ad>Buy now, please.</div><article><header><h1>Head</h1></header><p>{PARAGRAPHS[0]}</p><div class='{name}'><p>{PARAGRAPHS[1]}</p></div><div class='comments'><p>{PARAGRAPHS[0]} Thanks, all of you.</p></div><p>{PARAGRAPHS[2]}</p></article></body>"
     assert html_text.main_text(page) == "\n".join(["Head", *PARAGRAPHS])
-    links = f"<article><p>{PARAGRAPHS[0]}</p><ul>{'<li><a href=x>Some other page</a></li>' * 6}</ul><p>{PARAGRAPHS[1]}</p></article>"
+    links = f"<article><p>{PARAGRAPHS[0]}</p><ul class='{name}'>{'<li><a href=x>Some other page</a></li>' * 6}</ul><p>{PARAGRAPHS[1]}</p></article>"
     assert html_text.main_text(links) == "\n".join(PARAGRAPHS[:2])
+    links = links.replace(f" class='{name}'", "")
+    assert html_text.main_text(links) == "\n".join([PARAGRAPHS[0], *["Some other page"] * 6, PARAGRAPHS[1]])
+
+
+def in_article(inner):
+    return f"<body><nav><a href=/>Home</a></nav><article>{inner}</article><footer>(c)</footer></body>"
+
+
+P0, P1, P2 = "The river carried the boats slowly down to the harbour, where people waited.", "Nobody had expected the weather to change, yet by noon the clouds were gone.", "At last, after a long day, the travellers found a place to rest and eat."
+COMMENTS = "<div class='{0}'>{2}<div class='{1}'><p>Anna, 3 May 2024</p><p>I agree, really, and so on.</p></div><div class='{1}'><p>Bo, 4 May 2024</p><p>Me too, thanks, all of you.</p></div></div>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (in_article(f"<h1><a href=x>The title</a></h1><p>{P0}</p><p>{P1}</p>"), ["The title", P0, P1]),
+        (f"<body><div class=menu><a href=/>Home</a></div><div class=post><h1><a href=x>The title</a></h1><p>{P0}</p><p>{P1}</p></div></body>", ["The title", P0, P1]),
+        (in_article(f"<h1>T</h1><p>{P0}</p><h2>References</h2><ul><li><a href=1>One source of it</a></li><li><a href=2>Another</a></li></ul>"), ["T", P0, "References", "One source of it", "Another"]),
+        (in_article("<h1>Two links</h1><ul><li><a href=1>First link here</a></li><li><a href=2>Second link here</a></li></ul>"), ["Two links", "First link here", "Second link here"]),
+        (in_article(f"<h1>T</h1><p>{P0}</p><p>{P1}</p>{COMMENTS.format('comment-list', 'comment-body', '')}"), ["T", P0, P1]),
+        (in_article(f"<h1>T</h1><p>{P0}</p><p>{P1}</p><p>{P2}</p>{COMMENTS.format('x', 'z', '<h3>Said below</h3>')}"), ["T", P0, P1, P2]),
+        (in_article(f"<h1>T</h1><p>{P0}</p><div class='ad-slot'><p>Buy now, please, and pay later.</p></div><p>{P1}</p>"), ["T", P0, P1]),
+        (f"<body><div class='cookie-banner'><p>We use cookies to improve the site, and so on.</p><button>OK</button></div><div class=story><h1>T</h1><p>{P0}</p><p>{P1}</p><p>{P2}</p></div>", ["T", P0, P1, P2]),
+        (f"<body><div class='x'><p>We use cookies to improve the site, and so on.</p><div><button>OK</button></div></div><div class=story><h1>T</h1><p>{P0}</p><p>{P1}</p><p>{P2}</p></div>", ["T", P0, P1, P2]),
+        # What looks like those, but is the article's: a code block with a button, dated paragraphs, dated lines above its sections.
+        (in_article(f"<h1>T</h1><p>{P0}</p><div class=code><button>Copy</button><pre>x = 1</pre></div><p>{P1}</p><p>On 3 May 2024 we left.</p><p>On 4 May 2024 we came.</p>"), ["T", P0, "x = 1", P1, "On 3 May 2024 we left.", "On 4 May 2024 we came."]),
+        (in_article(f"<h1>T</h1><p>By A, 3 May 2024</p><p>{P0}</p><section><h2>A</h2><p>{P1}</p></section><section><h2>B</h2><p>{P2}</p></section>"), ["T", "By A, 3 May 2024", P0, "A", P1, "B", P2]),
+        (in_article(f"<h1>Log</h1><div class=day><p>3 May 2024</p><p>{P0}</p></div><div class=day><p>4 May 2024</p><p>{P1}</p></div>"), ["Log", "3 May 2024", P0, "4 May 2024", P1]),
+    ],
+)
+def test_html_structure(page, want):
+    assert html_text.main_text(page) == "\n".join(want)
 
 
 def test_html_ratios_decide(monkeypatch):
