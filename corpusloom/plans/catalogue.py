@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import extract, urls
 from ..functions import text as tx
 from ..functions.session import checkpoint_folder
-from ..operators import dedup, frontier, graph, metrics, state
+from ..operators import dedup, frontier, graph, metrics, state, vector_index
 from ..sources import store, web
 from ..streaming import streams
 from . import crawl
@@ -213,6 +213,30 @@ def semantic_nearest(spark, sf_dir):
     return dedup.nearest(vectors.where("vec_id % 20 = 0"), vectors, _NEAREST).withColumn("score", F.round("score", 6))
 
 
+#: The table, and a neighbour of each vector: the vector with a tenth of itself reversed added.
+_TWINS = (
+    "tw AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings UNION ALL "
+    "SELECT vec_id + 1000000, list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE + 0.3::DOUBLE * embedding[len(embedding) + 1 - i]::DOUBLE) FROM embeddings)"
+)
+
+
+def _twins(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    beside = F.zip_with("embedding", F.reverse("embedding"), lambda a, b: a + 0.3 * b)
+    return rows.unionByName(rows.select((F.col("vec_id") + 1000000).alias("vec_id"), beside.alias("embedding")))
+
+
+@query(f"""
+    WITH {_TWINS}, p AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS s FROM tw q JOIN tw v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
+    SELECT query_id, arg_min(vec_id, (-s, vec_id)) AS vec_id, round(max(s), 6) AS score FROM p GROUP BY query_id HAVING max(s) >= 0.92""")
+def semantic_index(spark, sf_dir):
+    """Nearest neighbours of a cosine of 0.92 or more by the index, over the table and a neighbour of each of its vectors. Queries are the rows whose id is divisible by 20."""
+    rows = _twins(spark, sf_dir)
+    model = vector_index.fit(rows)
+    found = vector_index.search(rows.where("vec_id % 20 = 0"), vector_index.index(rows, model), model, 0.92)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
 # Extraction.
 
 _ENTITIES = "replace(regexp_replace(replace({}, '&quot;', '\"'), '&amp;?', '&', 'g'), '&middot;', '·')"
