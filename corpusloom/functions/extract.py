@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import article as article_
 from . import text as tx
 from . import urls
 
@@ -50,10 +51,11 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.noise, self.keep_noise_links = frozenset(noise), keep_noise_links
         self.stack: list[str] = []
+        self.tree, self.at = article_.Tree(), [0]  # block elements, and those open
         self.depth = 0  # open noise elements
         self.title: list[str] | None = None
         self.in_title = self.in_json = self.in_body = self.in_article = False
-        self.done_title = False
+        self.has_article = False
         self.canonical = ""
         self.texts: list[str] = []
         self.articles: list[str] = []
@@ -79,10 +81,11 @@ class _Page(HTMLParser):
         if tag in _VOID:
             return
         self.stack.append(tag)
+        self.at.append(self.at[-1] if tag in article_.INLINE or self.depth else self.tree.open(tag, self.at[-1], f"{given.get('class', '')} {given.get('id', '')}"))
         if tag in self.noise:
             self.depth += 1
         if tag == "article":
-            self.in_article = True
+            self.in_article = self.has_article = True
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -98,6 +101,7 @@ class _Page(HTMLParser):
             return
         while self.stack:
             top = self.stack.pop()
+            self.at.pop()
             if top in self.noise:
                 self.depth -= 1
             if top == "article":
@@ -112,6 +116,7 @@ class _Page(HTMLParser):
             self.json[-1] += data
         elif not self.depth and data.strip() and (self.in_body or "head" not in self.stack):
             self.texts.append(data.strip())
+            self.tree.texts.append((self.at[-1], data.strip(), "a" in self.stack[-3:]))
             if self.in_article:
                 self.articles.append(data.strip())
 
@@ -122,7 +127,7 @@ def parse_page(html: str | None, noise: tuple[str, ...] = NOISE, keep_noise_link
     page.close()
     join = lambda parts: re.sub(r"\s+", " ", " ".join(parts)).strip()
     return {
-        "title": "".join(page.title or []).strip(), "text": join(page.texts)[: tx.TEXT_CAP], "article": join(page.articles), "hrefs": page.hrefs, "meta": page.meta,
+        "title": "".join(page.title or []).strip(), "text": join(page.texts)[: tx.TEXT_CAP], "article": join(page.articles if page.has_article else page.tree.body()), "hrefs": page.hrefs, "meta": page.meta,
         "canonical_href": page.canonical, "json_ld": [x.strip() for x in page.json if x.strip()],
     }
 
@@ -245,7 +250,7 @@ def extract(
 ) -> DataFrame:
     """pages with column content: title, text, article, author, date, language, json_ld, schema_org, entities, links, meta, canonical.
 
-    article(html, url) gives a body; the default is the text in <article>. language and ner take the article or else the text.
+    article(html, url) gives a body; the default is the text in <article>, or else that of the element that scores best. language and ner take the article or else the text.
     """
     page = pages.withColumn("_p", parsed(F.col(html), keep_noise_links=keep_noise_links))
     page = page.withColumn("_s", schema_org("_p.json_ld")).withColumn("_a", F.coalesce(article(F.col(html), F.col(url)), F.lit("")) if article else F.col("_p.article"))

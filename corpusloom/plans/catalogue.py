@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import extract, urls
+from ..functions import extract, language, urls
 from ..functions import text as tx
 from ..functions.session import checkpoint_folder
 from ..operators import dedup, frontier, graph, metrics, state, vector_index
@@ -299,6 +299,43 @@ def page_text(spark, sf_dir):
     return page_content(spark, sf_dir).drop("entities")
 
 
+@query(f"SELECT page_id, {_ARTICLE} AS article FROM pages")
+def article_scored(spark, sf_dir):
+    """The body of pages whose <article> became a plain element: what the tag held is found by scores."""
+    pages = _table(spark, sf_dir, "pages").withColumn("html", F.replace(F.replace("html", F.lit("<article>"), F.lit("<div>")), F.lit("</article>"), F.lit("</div>")))
+    return pages.select("page_id", extract.parsed(F.col("html"))["article"].alias("article"))
+
+
+#: Page templates around the texts of the first three paragraphs of an article, and what of them is the body.
+_LAYOUTS = (
+    "<body><div id=m><a href=/>Home</a> <a href=/x>More of it</a></div><div><div><h2>A head</h2><p>{a}</p><p>{b}</p><p>{c}</p></div></div><div><p>Some words, beside.</p></div>",
+    "<body><table><tr><td><a href=/>Home</a></td><td><p>{a}</p><p>{b}</p><ul><li><a href=1>one</a></li><li><a href=2>two</a></li></ul><p>{c}</p></td></tr></table>",
+    "<body><h1>A head</h1><section><p>{a}</p></section><section><p>{b}</p><p>{c}</p></section><div><a href=/>Home</a></div>",
+)
+
+
+def _paragraph(k: int, sql: bool):
+    """The k-th sentence of three, each with the page's number."""
+    words = ("The page of the number {n}, which is long enough, tells of a river, a town and a bridge, and of those who live there.", "Its second part, of the number {n}, goes on to say, at some length, how the town came to be, and by whom it was built.", "In the end, number {n} comes back to the river, the bridge and the people, as it began, and says no more.")
+    before, after = words[k].split("{n}")
+    return f"'{before}' || page_id || '{after}'" if sql else F.concat(F.lit(before), F.col("page_id").cast("string"), F.lit(after))
+
+
+@query(f"""SELECT page_id, layout, CASE WHEN layout IN (0, 2) THEN 'A head ' ELSE '' END || {_paragraph(0, True)} || ' ' || {_paragraph(1, True)} || ' ' || {_paragraph(2, True)} AS article
+    FROM pages, (SELECT unnest(range(3))::INTEGER AS layout)""")
+def article_layouts(spark, sf_dir):
+    """The body in layouts without any <article>: nested containers, a table with a list of links, sections beside one another."""
+    def filled(layout):
+        rest, parts = layout, []
+        for name, k in (("{a}", 0), ("{b}", 1), ("{c}", 2)):
+            before, rest = rest.split(name)
+            parts += [F.lit(before), _paragraph(k, False)]
+        return F.concat(*parts, F.lit(rest))
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.array(*map(filled, _LAYOUTS))).alias("layout", "html"))
+    return pages.select("page_id", "layout", extract.parsed(F.col("html"))["article"].alias("article"))
+
+
 @query()
 def page_content(spark, sf_dir):
     c = extract.extract(_table(spark, sf_dir, "pages")).withColumn("key", web.page_key(F.col("content.canonical"), F.col("url")))
@@ -310,6 +347,31 @@ def language_detect(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", extract.detect_language(F.col("text")).alias("language"))
 
 
+def _gram_hash(size: int) -> str:
+    h = "0::BIGINT"
+    for d in range(size):
+        h = f"(({h}) * {language.FACTOR} + ord(substr(t, k + {d}, 1))) % {language.PRIME}"
+    return h
+
+
+#: The n-gram models trained and applied in SQL: buckets of all rows, counts of the four fifths that train.
+_GRAMS = " UNION ALL ".join(f"SELECT doc_id, lang, train, unnest(list_transform(range(1, length(t) - {size - 2}), lambda k: {_gram_hash(size)})) % {language.BUCKETS} AS b FROM c WHERE length(t) > 2 AND length(t) >= {size}" for size in language.SIZES)
+
+
+@query(f"""
+    WITH c AS MATERIALIZED (SELECT doc_id, lang, doc_id % 5 <> 0 AS train, text, ' ' || trim(regexp_replace(lower(substr(text, 1, {language.PREFIX})), '[^\p{{L}}]+', ' ', 'g')) || ' ' AS t FROM documents),
+    b AS MATERIALIZED (SELECT doc_id, lang, train, b, count(*) AS n FROM ({_GRAMS}) GROUP BY ALL),
+    k AS (SELECT lang, b, sum(n) AS n FROM b WHERE train AND lang IS NOT NULL GROUP BY ALL), l AS (SELECT lang, sum(n) AS total FROM k GROUP BY lang),
+    s AS (SELECT b.doc_id, l.lang, sum(b.n * ln((coalesce(k.n, 0) + 1)::DOUBLE / (l.total + {language.BUCKETS})::DOUBLE)) AS s FROM b CROSS JOIN l LEFT JOIN k ON k.lang = l.lang AND k.b = b.b GROUP BY ALL),
+    m AS (SELECT doc_id, arg_max(lang, s) AS language FROM s GROUP BY doc_id)
+    SELECT doc_id, lang, NOT train AS held_out, CASE WHEN length(text) >= {language.LEAST} THEN coalesce(language, '') ELSE '' END AS language FROM c LEFT JOIN m USING (doc_id)""")
+def language_trained(spark, sf_dir):
+    """Languages by models that four fifths of the documents train; the others are held out."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.expr("doc_id % 5 = 0").alias("held_out"))
+    model = language.train(documents.where("NOT held_out"))
+    return documents.select("doc_id", "lang", "held_out", model.detect(F.col("text")).alias("language"))
+
+
 @query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de')")
 def lang_filter(spark, sf_dir):
     return _table(spark, sf_dir, "documents").where(extract.in_scope(F.col("lang"), ("en", "de"))).select("doc_id", "lang")
