@@ -30,8 +30,6 @@ JSON_LD_KEYS = (
     "name", "headline", "description", "author", "datePublished", "dateModified", "publisher", "url", "image", "price", "priceCurrency",
     "ratingValue", "reviewCount", "articleBody", "breadcrumb", "@type", "itemListElement",
 )
-# Entity labels.
-LABELS = ("PERSON", "ORG", "GPE", "LOC", "DATE", "MONEY", "PRODUCT")
 FLATTEN_DEPTH = 4
 JS_LENGTH, JS_PREFIX = 3000, 5000
 LANGUAGE_LEAST, LANGUAGE_PREFIX, ENTITY_PREFIX = 20, 500, 5000

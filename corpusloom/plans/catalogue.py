@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import extract, language, urls
+from ..functions import entities, extract, language, urls
 from ..functions import text as tx
 from ..functions.session import checkpoint_folder
 from ..operators import dedup, frontier, graph, metrics, state, vector_index
@@ -359,7 +359,7 @@ _GRAMS = " UNION ALL ".join(f"SELECT doc_id, lang, train, unnest(list_transform(
 
 
 @query(f"""
-    WITH c AS MATERIALIZED (SELECT doc_id, lang, doc_id % 5 <> 0 AS train, text, ' ' || trim(regexp_replace(lower(substr(text, 1, {language.PREFIX})), '[^\p{{L}}]+', ' ', 'g')) || ' ' AS t FROM documents),
+    WITH c AS MATERIALIZED (SELECT doc_id, lang, doc_id % 5 <> 0 AS train, text, ' ' || trim(regexp_replace(lower(substr(text, 1, {language.PREFIX})), '[^\\p{{L}}]+', ' ', 'g')) || ' ' AS t FROM documents),
     b AS MATERIALIZED (SELECT doc_id, lang, train, b, count(*) AS n FROM ({_GRAMS}) GROUP BY ALL),
     k AS (SELECT lang, b, sum(n) AS n FROM b WHERE train AND lang IS NOT NULL GROUP BY ALL), l AS (SELECT lang, sum(n) AS total FROM k GROUP BY lang),
     s AS (SELECT b.doc_id, l.lang, sum(b.n * ln((coalesce(k.n, 0) + 1)::DOUBLE / (l.total + {language.BUCKETS})::DOUBLE)) AS s FROM b CROSS JOIN l LEFT JOIN k ON k.lang = l.lang AND k.b = b.b GROUP BY ALL),
@@ -372,6 +372,25 @@ def language_trained(spark, sf_dir):
     return documents.select("doc_id", "lang", "held_out", model.detect(F.col("text")).alias("language"))
 
 
+#: Words with their places, for ASCII letters, digits and what is beyond ASCII.
+_PHRASES = "regexp_extract(text, '^\\S+ \\S+')"
+
+
+@query(f"""
+    WITH g AS MATERIALIZED (SELECT DISTINCT CASE WHEN length(phrase) % 2 = 0 THEN 'ORG' ELSE 'PRODUCT' END AS label, phrase FROM (SELECT {_PHRASES} AS phrase FROM benchmark) WHERE regexp_matches(phrase, '[\\p{{L}}\\p{{N}}]')),
+    p AS (SELECT doc_id, text, label, phrase, string_split(text, phrase) AS pieces FROM documents JOIN g ON contains(text, phrase)),
+    h AS (SELECT doc_id, text, label, phrase, unnest(range(1, len(pieces))) AS k, pieces FROM p),
+    s AS (SELECT doc_id, text, label, phrase, list_sum(list_transform(pieces[1:k], lambda x: length(x)))::BIGINT + (k - 1) * length(phrase) AS a FROM h)
+    SELECT doc_id, label, phrase, a::INTEGER AS "start", (a + length(phrase))::INTEGER AS "end" FROM s
+    WHERE NOT (regexp_matches(substr(text, a, 1), '[\\p{{L}}\\p{{N}}_]') AND a > 0 AND regexp_matches(phrase, '^[\\p{{L}}\\p{{N}}_]'))
+      AND NOT (regexp_matches(substr(text, a + length(phrase) + 1, 1), '[\\p{{L}}\\p{{N}}_]') AND regexp_matches(phrase, '[\\p{{L}}\\p{{N}}_]$'))""")
+def entity_gazetteer(spark, sf_dir):
+    """Mentions of a gazetteer, the first two words of each benchmark item, in whole documents."""
+    phrases = _table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", r"^\S+ \S+", 0).alias("phrase"))
+    held = entities.gazetteer(phrases.withColumn("label", F.when(F.char_length("phrase") % 2 == 0, "ORG").otherwise("PRODUCT")))
+    return entities.gazetteer_hits(_table(spark, sf_dir, "documents"), held)
+
+
 @query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de')")
 def lang_filter(spark, sf_dir):
     return _table(spark, sf_dir, "documents").where(extract.in_scope(F.col("lang"), ("en", "de"))).select("doc_id", "lang")
