@@ -16,7 +16,7 @@ from ..functions import entities, extract, language, urls
 from ..functions import text as tx
 from ..functions.session import checkpoint_folder
 from ..operators import dedup, frontier, graph, metrics, state, vector_index
-from ..sources import store, web
+from ..sources import buckets, store, web
 from ..streaming import streams
 from . import crawl
 
@@ -549,6 +549,27 @@ def replace_existing(spark, sf_dir):
     return store.replace(store.replace(None, writes.where("seq % 3 = 0")), writes.where("seq % 3 = 0 OR int(substring(url, 2)) % 2 = 0"))
 
 
+@query("SELECT 'u' || user_id AS url, arg_max(event_type, (event_id % 3, event_id)) AS title, arg_min(value, (event_id % 3, event_id)) AS etag FROM events GROUP BY user_id")
+def merge_on_read(spark, sf_dir):
+    """Three batches of writes into a table by buckets, two of them merged by a compaction before the third comes."""
+    table = buckets.MergeTable(spark, f"{checkpoint_folder(spark)}/merge-{uuid.uuid4().hex}", "url string, title string, etag double", buckets=16)
+    writes = _writes(spark, sf_dir)
+    for number in range(3):
+        table.write(writes.where(f"seq % 3 = {number}"), number)
+        if number == 1:
+            table.compact(2)
+    return table.read()
+
+
+@query("SELECT 'u' || user_id AS url, min(event_id % 3)::INTEGER AS first_batch FROM events GROUP BY user_id")
+def seen_table(spark, sf_dir):
+    """The batch in which each url was new, of three that are added to a persistent set one after the other."""
+    table = buckets.SeenTable(spark, f"{checkpoint_folder(spark)}/seen-{uuid.uuid4().hex}", buckets=16)
+    writes = _writes(spark, sf_dir)
+    found = [table.add(writes.where(f"seq % 3 = {number}"), number).select(F.col("key").alias("url"), F.lit(number).alias("first_batch")) for number in range(3)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("""WITH e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, l_linenumber = 1 AS old FROM lineitem)
     SELECT src, dst FROM e GROUP BY ALL HAVING NOT bool_or(old)""")
 def links_into_existing(spark, sf_dir):
