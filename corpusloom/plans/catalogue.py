@@ -17,7 +17,7 @@ from ..functions import text as tx
 from ..functions.session import checkpoint_folder
 from ..operators import dedup, frontier, graph, metrics, state, vector_index
 from ..sources import buckets, store, web
-from ..streaming import streams
+from ..streaming import budget, streams
 from . import crawl
 
 
@@ -451,6 +451,22 @@ def budget_stats(spark, sf_dir):
     return frontier.budget_stats(_pending(spark, sf_dir), default=3)
 
 
+@query("""SELECT 'u' || user_id AS domain, event_id AS id, CASE WHEN k <= b THEN k END AS place, k <= b AS allowed FROM (SELECT user_id, event_id, CASE WHEN user_id % 3 = 0 THEN 9 ELSE 4 END AS b,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, ts, event_id) AS k FROM events)""")
+def budget_stream(spark, sf_dir):
+    """Running budgets: three parts of the requests, the stream stopped and started again between them."""
+    path = f"{checkpoint_folder(spark)}/budget-{uuid.uuid4().hex}"
+    requests = _table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("domain"), F.col("event_id").alias("id"), "ts", "user_id")
+    overrides = requests.where("user_id % 3 = 0").select("domain", F.lit(9).alias("budget")).distinct()
+    with budget.state_store(spark):
+        for part in range(3):
+            requests.where(f"id % 3 = {part}").drop("user_id").write.mode("append").parquet(f"{path}/requests")
+            stream = spark.readStream.schema("domain string, id long, ts timestamp").parquet(f"{path}/requests")
+            granted = budget.grants(stream, default=4, overrides=overrides).drop("ts")
+            granted.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/granted").awaitTermination()
+    return spark.read.parquet(f"{path}/granted")
+
+
 @query(f"WITH {_PENDING} SELECT url FROM pend WHERE url NOT IN (SELECT url FROM pend WHERE seq % 3 = 0)")
 def resume_pending(spark, sf_dir):
     pending = _pending(spark, sf_dir)
