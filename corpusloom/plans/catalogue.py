@@ -12,11 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import entities, extract, language, urls
+from ..functions import entities, extract, language, stem, urls
 from ..functions import text as tx
 from ..functions.session import checkpoint_folder
 from ..operators import dedup, frontier, graph, metrics, state, vector_index
-from ..sources import buckets, store, web
+from ..sources import buckets, search, store, web
 from ..streaming import budget, streams
 from . import crawl
 
@@ -621,6 +621,59 @@ def search_terms(spark, sf_dir):
     return store.search(index, ["License", "copyright"], documents.count()).withColumn("score", F.round("score", 6))
 
 
+_SEARCHES = {"one": "the ratings of things, erring", "two": "orantions hehely", "three": "copyrights licensed to heeding", "four": "thtion"}
+
+
+def _cases(of: str, table: dict[str, str]) -> str:
+    return f"CASE {of} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+
+
+def _stem_sql(words: str) -> str:
+    """CTEs up to stems(t, term) of the words of the CTE words(t): a step of the rules each."""
+    ends = lambda name, source, found: f"{name} AS (SELECT *, regexp_extract(w, '({'|'.join(found)})$', 1) AS s, left(w, length(w) - length(s)) AS r FROM {source})"
+    step = lambda name, source, w: f"{name} AS (SELECT t, a, b, {w} AS w FROM {source})"
+    region, short = "[^aeiouy]*[aeiouy]+[^aeiouy]", "(^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$"
+    own = {**stem.EXCEPTIONS, **{w + e: w for w in stem.KEPT for e in ("", "s")}}
+    return ", ".join((
+        f"m0 AS (SELECT t, regexp_replace(regexp_replace(t, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w FROM {words})",
+        f"m1 AS (SELECT t, w, regexp_extract(w, '^({'|'.join(stem.HEADS)}|{region})') AS h, CASE WHEN h = '' THEN length(w) ELSE length(h) END AS a FROM m0)",
+        f"m2 AS (SELECT t, w, a, regexp_extract(substr(w, a + 1), '^{region}') AS g, CASE WHEN g = '' THEN length(w) ELSE a + length(g) END AS b FROM m1)",
+        ends("e1", "m2", ("sses", "ied", "ies", "us", "ss", "s")),
+        step("m3", "e1", "CASE WHEN s = 'sses' THEN r || 'ss' WHEN s IN ('ied', 'ies') THEN r || CASE WHEN length(r) > 1 THEN 'i' ELSE 'ie' END WHEN s = 's' AND regexp_matches(left(r, length(r) - 1), '[aeiouy]') THEN r ELSE w END"),
+        ends("e2", "m3", ("eedly", "ingly", "edly", "eed", "ing", "ed")),
+        f"""m4 AS (SELECT t, a, b, CASE WHEN s LIKE 'eed%' THEN CASE WHEN length(r) >= a THEN r || 'ee' ELSE w END WHEN s = '' OR NOT regexp_matches(r, '[aeiouy]') THEN w WHEN regexp_matches(r, '(at|bl|iz)$') THEN r || 'e'
+            WHEN regexp_matches(r, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(r, length(r) - 1) WHEN length(r) <= a AND regexp_matches(r, '{short}') THEN r || 'e' ELSE r END AS w FROM e2)""",
+        step("m5", "m4", "regexp_replace(w, '^(.+[^aeiouy])[yY]$', '\\1i')"),
+        ends("e3", "m5", stem.SECOND),
+        step("m6", "e3", f"CASE WHEN s = '' OR length(r) < a OR (s = 'ogi' AND r NOT LIKE '%l') OR (s = 'li' AND NOT regexp_matches(r, '[cdeghkmnrt]$')) THEN w ELSE r || {_cases('s', stem.SECOND)} END"),
+        ends("e4", "m6", stem.THIRD),
+        step("m7", "e4", f"CASE WHEN s = '' OR length(r) < a OR (s = 'ative' AND length(r) < b) THEN w ELSE r || {_cases('s', stem.THIRD)} END"),
+        ends("e5", "m7", stem.FOURTH),
+        step("m8", "e5", "CASE WHEN s = '' OR length(r) < b OR (s = 'ion' AND NOT regexp_matches(r, '[st]$')) THEN w ELSE r END"),
+        f"""m9 AS (SELECT t, CASE WHEN w LIKE '%e' AND (length(w) > b OR (length(w) > a AND NOT regexp_matches(left(w, length(w) - 1), '{short}'))) OR w LIKE '%ll' AND length(w) > b
+            THEN left(w, length(w) - 1) ELSE w END AS w FROM m8)""",
+        f"stems AS (SELECT t, CASE WHEN length(t) <= 2 THEN t ELSE coalesce({_cases('t', own)}, replace(w, 'Y', 'y')) END AS term FROM m9)",
+    ))
+
+
+@query(f"""
+    WITH q(query, text) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in _SEARCHES.items())}), stop(t) AS (VALUES {', '.join(f"('{w}')" for w in stem.STOP)}),
+    f AS (SELECT doc_id, 1 AS w, text FROM documents UNION ALL SELECT doc_id, 10, substr(text, 1, 60) FROM documents),
+    dt AS (SELECT * FROM (SELECT doc_id AS doc, w, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM f) ANTI JOIN stop USING (t)),
+    qt AS (SELECT * FROM (SELECT query, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM q) ANTI JOIN stop USING (t)),
+    words AS (SELECT t FROM dt UNION SELECT t FROM qt), {_stem_sql("words")},
+    bag AS (SELECT doc, term, sum(w) AS w FROM dt JOIN stems USING (t) GROUP BY ALL), len AS (SELECT doc, sum(w) AS n FROM bag GROUP BY doc), size AS (SELECT count(*) AS n, avg(n) AS mean FROM len),
+    idf AS (SELECT term, ln(1 + ((SELECT n FROM size) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM bag GROUP BY term),
+    score AS (SELECT query, doc, round(sum(idf * w * 2.2 / (w + 1.2 * (0.25 + 0.75 * len.n / (SELECT mean FROM size)))), 9) AS score
+        FROM (SELECT DISTINCT query, term FROM qt JOIN stems USING (t)) JOIN idf USING (term) JOIN bag USING (term) JOIN len USING (doc) GROUP BY ALL)
+    SELECT query, place::INTEGER AS place, doc, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS place FROM score) WHERE place <= 10""")
+def search_top(spark, sf_dir):
+    """The ten best documents of four queries, by an index over the first 60 characters, which weigh ten times, and the whole texts."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.col("text").alias("body"))
+    index = search.Index(spark, f"{checkpoint_folder(spark)}/search-{uuid.uuid4().hex}").build(documents, weights={"title": 10, "body": 1}, folders=16)
+    return index.top(_SEARCHES, 10).withColumn("score", F.round("score", 6))
+
+
 @query()
 def search_documents(spark, sf_dir):
     c = F.col("content")
