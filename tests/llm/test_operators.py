@@ -64,6 +64,57 @@ def test_secrets(spark, docs):
     assert by_id[101]["s"] == by_id[102]["s"] == ""
 
 
+def test_secrets_against_plain_ratios(spark):
+    """Every token's ratio worked out one character at a time, overlaps by comparing all spans; many matches, long and repeated texts, no rows."""
+    ordinary = spark.createDataFrame([("the ordinary words of a benchmark",), *((m.__doc__,) for m in (secrets, simhash, mixing))], "text string")
+    labelled = secrets.samples(spark, ordinary, rows=300)
+    ratios = secrets.train(labelled)
+    alphabet = secrets.ALPHABET
+    counts = [[[1.0] * len(alphabet) for _ in range(len(alphabet) + 1)] for _ in range(2)]
+    for r in labelled.collect():
+        for k, c in enumerate(r["sample"]):
+            if c in alphabet and (k == 0 or r["sample"][k - 1] in alphabet):
+                counts[r["label"]][alphabet.index(r["sample"][k - 1]) + 1 if k else 0][alphabet.index(c)] += 1
+
+    def ratio(token):
+        total = 0.0
+        for k, c in enumerate(token):
+            rows = [counts[x][alphabet.index(token[k - 1]) + 1 if k else 0] for x in (0, 1)]
+            total += math.log(rows[1][alphabet.index(c)] / sum(rows[1])) - math.log(rows[0][alphabet.index(c)] / sum(rows[0]))
+        return total
+
+    rng = np.random.default_rng(5)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    makers = (
+        lambda: draw(alphabet[:62], int(rng.integers(20, 50))), lambda: "password=" + draw(alphabet[:64], int(rng.integers(3, 30))), lambda: draw("0123456789abcdef", int(rng.integers(18, 40))), lambda: "AKIA" + draw(alphabet[:26], 17),
+        lambda: "the_ordinary_words_of_a_benchmark", lambda: "é, and so on", lambda: "token: " + draw(alphabet[:62], 5) + "/" + draw(alphabet[:62], 30) + "==",
+    )
+    texts = [" ".join(makers[int(rng.integers(len(makers)))]() for _ in range(n)) for n in (1, 2, 3, 5, 8, 30, 100, 400) for _ in range(3)]
+    long = " ".join("secret=abcdefgh" for _ in range(20000))
+    rows = [*texts, texts[-1], None, "", "word " * 400000, long]
+    started = time.time()
+    got = secrets.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), ratios).select("doc_id", secrets.listed("base").alias("b"), secrets.listed("spans").alias("s"), secrets.redacted().alias("r")).collect()
+    assert time.time() - started < 60
+    found = {r["doc_id"]: r for r in got}
+    n_random = 0
+    for k, t in enumerate(rows[:-1]):
+        base = [tuple(map(int, x.split(":")[1:])) for x in found[k]["b"].split(",") if x]
+        token = re.compile(secrets.TOKEN)
+        random = [(m.start(), m.end()) for m in token.finditer(t or "") if ratio(m[0]) >= max(secrets.LEAST_TOTAL, secrets.LEAST_EACH * len(m[0]))]
+        random = [s for s in random if not any(a < s[1] and s[0] < b for a, b in base)]
+        n_random += len(random)
+        want = sorted([(a, secrets.KINDS.index(x.split(":")[0]), b) for x, (a, b) in zip(found[k]["b"].split(","), base)] + [(a, 3, b) for a, b in random])
+        assert found[k]["s"] == ",".join(f"{secrets.KINDS[i]}:{a}:{b}" for a, i, b in want), k
+        out, at = "", 0
+        for a, _, b in want:
+            out, at = (out + (t[at:a] + "[SECRET]" if a >= at else "")), max(at, b)
+        assert found[k]["r"] == (None if t is None else out + t[at:]) or (t is None and found[k]["r"] in (None, "")), k
+    assert n_random > 100
+    assert found[len(rows) - 1]["s"] == ",".join(f"assign:{16 * k}:{16 * k + 15}" for k in range(20000)) and found[len(rows) - 1]["r"] == " ".join(["[SECRET]"] * 20000)
+    empty = secrets.scan(spark.createDataFrame([], "doc_id long, text string"), secrets.train(spark.createDataFrame([], "sample string, label int")))
+    assert empty.collect() == []
+
+
 def test_secrets_unquoted(spark):
     """Every maximal run of the token alphabet is judged, whatever stands before or after it."""
     ordinary = spark.createDataFrame([("the ordinary words of a benchmark",), *((m.__doc__,) for m in (secrets, simhash, mixing, sharding, language_model, html_text, embeddings))], "text string")
