@@ -73,9 +73,14 @@ CATALOGUE: dict[str, tuple] = {
 }
 
 
-def named(name: str, events: DataFrame, ts: str = "ts", value: str = "value", label: str = "label") -> DataFrame:
-    """A metric of the catalogue over event rows: (window_start, label, rate), (n), (label, value), (label, q, value) or (label, n)."""
+def named(name: str, events: DataFrame, ts: str = "ts", value: str = "value", label: str = "label", metric: str | None = None) -> DataFrame:
+    """A metric of the catalogue over event rows: (window_start, label, rate), (n), (label, value), (label, q, value) or (label, n).
+
+    With metric, a column of names, events hold several metrics and only those of this one count.
+    """
     kind, *how = CATALOGUE[name]
+    if metric:
+        events = events.where(F.col(metric) == name)
     if kind == "rate":
         return rate(events, ts, label, *how)
     if kind == "total":

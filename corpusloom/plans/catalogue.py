@@ -336,6 +336,55 @@ def article_layouts(spark, sf_dir):
     return pages.select("page_id", "layout", extract.parsed(F.col("html"))["article"].alias("article"))
 
 
+#: Heads of pages ({n} stands for the page's number), and what is to be found in them: key, title, author, date, meta and flattened JSON-LD.
+_HEADS = (
+    (
+        '<title> T{n} </title><meta name="description" content="d {n} &amp; more"><meta property="og:title" content="o{n}"><meta charset="utf-8"><link rel="canonical" href="/c/{n}/?utm_source=x&amp;b=2&amp;a=1"><script type="application/ld+json">'
+        '{"@type": "Article", "headline": "h{n}", "author": {"@type": "Person", "name": "A {n}"}, "datePublished": "2024-01-02", "other": {n}}</script>',
+        "/c/{n}?a=1&b=2", "T{n}", "A {n}", "2024-01-02", '{"description":"d {n} & more","og:title":"o{n}"}',
+        '{"@type":"Article","author":"{\\"@type\\": \\"Person\\", \\"name\\": \\"A {n}\\"}","datePublished":"2024-01-02","headline":"h{n}","name":"A {n}"}',
+    ),
+    (
+        '<script type="application/ld+json">[{"name": "first {n}", "author": ["B {n}", "C"]}, {"name": "second", "price": {n}.5}]</script>', "", "", "B {n}", "", "{}",
+        '{"author":"[\\"B {n}\\", \\"C\\"]","name":"first {n}","price":"{n}.5"}',
+    ),
+    (
+        '<link rel="canonical" href="HTTPS://Other.Example/x{n}"><script type="application/ld+json">{"@graph": [{"x": {"url": "deep{n}"}, "headline": "h{n}"}, {"author": "D {n}", "url": "late"}]}</script>', "https://other.example/x{n}", "h{n}", "D {n}", "",
+        "{}", '{"author":"D {n}","headline":"h{n}","url":"deep{n}"}',
+    ),
+    (
+        '<title>T</title><script type="application/ld+json">{"a": {"a": {"a": {"a": {"name": "five {n}", "a": {"price": "six", "a": {"url": "seven"}}}}}}}</script>', "", "T", "", "", "{}", '{"name":"five {n}"}',
+    ),
+    (
+        '<meta name="k" content="one"><meta name="k" content="two"><script type="application/ld+json">{"name": oops {n}}</script><script type="application/ld+json">  </script><script type="application/ld+json">{"name": "ok {n}", "datePublished": ""}</script>',
+        "", "", "", "", '{"k":"two"}', '{"datePublished":"","name":"ok {n}"}',
+    ),
+    ('<meta content="no name"><script>{"name": "no type"}</script>', "", "", "", "", "{}", "{}"),
+)
+
+
+def _numbered(text: str) -> str:
+    """SQL of a text with the page's number in each place of {n}."""
+    return "replace('" + text.replace("'", "''") + "', '{n}', page_id::VARCHAR)"
+
+
+_ORIGIN = "regexp_extract(url, '^[a-zA-Z]+://', 0) || " + _AUTH
+_HEAD_CASES = [
+    "CASE page_id % 6 " + " ".join(f"WHEN {k} THEN {_numbered(head[part])}" for k, head in enumerate(_HEADS)) + " END" for part in range(1, 7)
+]
+
+
+@query(f"""SELECT page_id, CASE WHEN k = '' THEN url WHEN k LIKE '/%' THEN {_ORIGIN} || k ELSE k END AS key, title, author, date, meta, schema_org FROM (
+    SELECT page_id, url, {", ".join(f"{c} AS {name}" for c, name in zip(_HEAD_CASES, ("k", "title", "author", "date", "meta", "schema_org")))} FROM pages)""")
+def page_heads(spark, sf_dir):
+    """Canonical link, title, author, date, meta and JSON-LD of heads with objects, arrays, graphs, depths of five and six, and malformed blocks."""
+    heads = F.array(*(F.lit("<html><head>" + h[0] + "</head><body><p>Some text of the page.</p></body></html>") for h in _HEADS))
+    html = F.replace(F.element_at(heads, F.expr("int(page_id % 6) + 1")), F.lit("{n}"), F.col("page_id").cast("string"))
+    c = extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))).withColumn("key", web.page_key(F.col("content.canonical"), F.col("url")))
+    in_order = lambda m: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
+    return c.select("page_id", "key", *(F.col(f"content.{x}").alias(x) for x in ("title", "author", "date")), in_order("content.meta").alias("meta"), in_order("content.schema_org").alias("schema_org"))
+
+
 @query()
 def page_content(spark, sf_dir):
     c = extract.extract(_table(spark, sf_dir, "pages")).withColumn("key", web.page_key(F.col("content.canonical"), F.col("url")))
@@ -532,6 +581,16 @@ def _writes(spark, sf_dir):
     return _table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("url"), F.col("event_type").alias("title"), F.col("value").alias("etag"), F.col("event_id").alias("seq"))
 
 
+@query("""SELECT 'u' || user_id AS url, arg_max(event_type, event_id) AS title, arg_max(value, event_id) AS status_code, arg_max(event_id % 5, event_id)::BIGINT AS simhash, arg_min(event_type, event_id) AS article,
+    arg_min(event_id, event_id) AS language FROM events GROUP BY user_id""")
+def upsert_older(spark, sf_dir):
+    """The older columns: status and simhash are updated; article and language, which the newer set updates, keep their first values."""
+    writes = _table(spark, sf_dir, "events").select(
+        F.concat(F.lit("u"), "user_id").alias("url"), F.col("event_type").alias("title"), F.col("value").alias("status_code"), F.expr("event_id % 5").alias("simhash"), F.col("event_type").alias("article"), F.col("event_id").alias("language"), F.col("event_id").alias("seq")
+    )
+    return store.upsert(None, writes, updated=store.UPDATED_OLD)
+
+
 @query("SELECT 'u' || user_id AS url, arg_max(event_type, event_id) AS title, arg_min(value, event_id) AS etag FROM events GROUP BY user_id")
 def upsert_pg(spark, sf_dir):
     """title is updated; etag keeps its first value."""
@@ -794,20 +853,33 @@ def enrich_p95(spark, sf_dir):
     return _p95(spark, sf_dir, "enrich_latency")
 
 
-@query("SELECT m AS metric, event_type AS label, arg_max(value, (ts, value)) AS value FROM events, (SELECT unnest(['frontier_size', 'active_browsers', 'queue_depth', 'healthy_proxies']) AS m) GROUP BY ALL")
+_GAUGES = ("frontier_size", "active_browsers", "queue_depth", "healthy_proxies")
+_TOTALS = ("duplicates_by_kind", "pages_by_language", "pages_by_renderer", "breaker_trips")
+
+
+def _measured(spark, sf_dir, names):
+    """One table of events of several metrics, named in a column."""
+    name = F.element_at(F.array(*map(F.lit, names)), F.expr("int(event_id % 4) + 1"))
+    return _table(spark, sf_dir, "events").withColumn("metric", name).withColumn("label", F.expr("if(event_id % 7 = 0, '', event_type)"))
+
+
+_MEASURED = "SELECT *, ({names})[event_id % 4 + 1] AS metric, CASE WHEN event_id % 7 = 0 THEN '' ELSE event_type END AS label FROM events"
+
+
+@query(f"SELECT metric, label, arg_max(value, (ts, value)) AS value FROM ({_MEASURED.format(names=list(_GAUGES))}) GROUP BY ALL")
 def named_gauges(spark, sf_dir):
-    """The catalogue's gauges."""
-    events = _table(spark, sf_dir, "events")
-    parts = [metrics.named(m, events, ts="ts", value="value", label="event_type").select(F.lit(m).alias("metric"), "label", "value") for m in ("frontier_size", "active_browsers", "queue_depth", "healthy_proxies")]
+    """The catalogue's gauges, told apart by the events' metric."""
+    events = _measured(spark, sf_dir, _GAUGES)
+    parts = [metrics.named(m, events, metric="metric").select(F.lit(m).alias("metric"), "label", "value") for m in _GAUGES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query("SELECT m AS metric, event_type AS label, count(*)::BIGINT AS n FROM events, (SELECT unnest(['duplicates_by_kind', 'pages_by_language', 'pages_by_renderer']) AS m) GROUP BY ALL")
+@query(f"SELECT metric, coalesce(nullif(label, ''), 'unknown') AS label, count(*)::BIGINT AS n FROM ({_MEASURED.format(names=list(_TOTALS))}) GROUP BY ALL")
 def named_totals(spark, sf_dir):
-    """The catalogue's totals by label."""
-    events = _table(spark, sf_dir, "events")
-    parts = [metrics.named(m, events, label="event_type").select(F.lit(m).alias("metric"), "label", "n") for m in ("duplicates_by_kind", "pages_by_language", "pages_by_renderer")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """The catalogue's totals by label, told apart by the events' metric; empty labels are unknown."""
+    events = _measured(spark, sf_dir, _TOTALS)
+    parts = [metrics.named(m, events, metric="metric").select(F.lit(m).alias("metric"), "label", "n") for m in _TOTALS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query("SELECT event_type AS stage, count(*)::BIGINT AS n, round(sum(value), 3) AS total_ms, round(avg(value), 6) AS mean_ms, max(value) AS max_ms FROM events GROUP BY 1")
