@@ -774,6 +774,20 @@ def sitemap_scan(spark, sf_dir):
     return web.sitemap_urls(index.select("url"), files)
 
 
+@query(f"WITH {_N} SELECT DISTINCT 'p' || page_id AS root, url FROM n WHERE page_id % 5 <= 3")
+def sitemap_nested(spark, sf_dir):
+    """Chains of indexes of up to four levels below each root, the last of them too deep; each index lists itself, the root, and a file that is cut off."""
+    pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("root"), F.expr("int(page_id % 5)").alias("last"), F.replace("url", F.lit("&"), F.lit("&amp;")).alias("u"))
+    files = pages.select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("level")).withColumn("url", F.when(F.col("level") == 0, F.col("root")).otherwise(F.concat_ws("/", "root", "level")))
+    below = F.concat_ws("/", "root", F.col("level") + 1)
+    entry = lambda c: F.concat(F.lit("<sitemap><loc> "), c, F.lit(" </loc></sitemap>"))
+    index = F.concat(F.lit('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), entry(F.col("url")), entry(F.col("root")), entry(F.concat("root", F.lit("/cut"))), entry(below), F.lit("</sitemapindex>"))
+    listed = F.concat(F.lit("<urlset><url><loc>"), "u", F.lit("</loc><priority>1</priority></url></urlset>"))
+    whole = files.select("url", F.when(F.col("level") < F.col("last"), index).otherwise(listed).alias("body"))
+    cut_off = pages.select(F.concat("root", F.lit("/cut")).alias("url"), F.lit("<urlset><url><loc>http://cut.example/off</loc></url><url>").alias("body"))
+    return web.sitemap_urls(pages.select(F.col("root").alias("url")), whole.unionByName(cut_off).withColumn("status", F.lit(200)))
+
+
 # Metrics and state.
 
 _TS = "strftime(time_bucket(INTERVAL '1 minute', ts), '%Y-%m-%d %H:%M:%S')"

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import extract, urls
+from ..functions.session import cut
 
 SITEMAP_DEPTH = 3
 
@@ -28,39 +29,40 @@ def pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.format(fmt).load(path)
 
 
-_LISTED = T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in ("children", "urls")])
+_SITEMAP = "sitemap array<struct<loc: array<string>>>, url array<struct<loc: array<string>>>, _bad string"
 
 
-@F.udf(_LISTED, useArrow=True)
-def _sitemap(xml):
-    from xml.etree import ElementTree
+def _locations(nodes: str) -> Column:
+    """Trimmed locations of an array of elements, those without any left out."""
+    given = F.flatten(F.transform(nodes, lambda x: F.coalesce(x["loc"], F.array().cast("array<string>"))))
+    return F.filter(F.transform(given, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
-    try:
-        root = ElementTree.fromstring(xml or "")
-    except (ElementTree.ParseError, ValueError):
-        return [], []
-    space = re.match(r"\{[^}]*\}", root.tag)
-    ns = space[0] if space else ""
-    texts = lambda tag: [loc.text.strip() for node in root.iter(f"{ns}{tag}") for loc in node.findall(f"{ns}loc") if loc.text and loc.text.strip()]
-    return texts("sitemap"), texts("url")
+
+def sitemap_files(documents: DataFrame) -> DataFrame:
+    """(at, children, urls) of each file of documents(url, status, body): the sitemaps and the pages that it lists.
+
+    Files without status 200 and malformed ones, truncated ones too, list nothing; what follows the end of the first element is not read. Of several bodies of a url the smallest counts. Namespaces are not told apart.
+    """
+    ok = documents.where("status = 200").groupBy(F.col("url").alias("at")).agg(F.min("body").alias("body"))
+    read = ok.select("at", F.from_xml("body", _SITEMAP, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "ignoreNamespace": "true"}).alias("x")).where("x._bad IS NULL")
+    return read.select("at", _locations("x.sitemap").alias("children"), _locations("x.url").alias("urls"))
 
 
 def sitemap_urls(roots: DataFrame, documents: DataFrame, depth: int = SITEMAP_DEPTH) -> DataFrame:
     """(root, url) of all pages listed by the sitemaps in roots(url), following index files for depth levels below the root.
 
     documents(url, status, body) stands for the network. A missing, failed or malformed file lists nothing; what other
-    files list stays. Each level is one join.
+    files list stays. Files are parsed once; each level is one join, of the files that no level of the same root had before, so lists that name one another are read once a root.
     """
-    ok = documents.where("status = 200").groupBy(F.col("url").alias("_u")).agg(F.min("body").alias("body")).select("_u", _sitemap("body").alias("s"))
-    level = roots.select(F.col("url").alias("root"), F.col("url").alias("at")).distinct()
-    found = None
-    for d in range(depth + 1):
-        read = level.join(ok, level["at"] == ok["_u"]).select("root", "s")
-        listed = read.select("root", F.explode("s.urls").alias("u")).select("root", urls.normalise(F.col("u")).alias("url"))
-        found = listed if found is None else found.union(listed)
-        if d < depth:
-            level = read.select("root", F.explode("s.children").alias("at")).distinct()
-    return found.where("url <> ''").distinct()
+    files = cut(sitemap_files(documents).where("size(children) > 0 OR size(urls) > 0"))
+    edges = files.select("at", F.explode("children").alias("child")).distinct()
+    reached = level = roots.select(F.col("url").alias("root"), F.col("url").alias("at")).distinct()
+    for _ in range(depth):
+        below = level.join(edges, "at").select("root", F.col("child").alias("at")).distinct()
+        level = below.join(reached, ["root", "at"], "left_anti")
+        reached = reached.unionByName(level)
+    listed = reached.join(files, "at").select("root", F.explode("urls").alias("u"))
+    return listed.select("root", urls.normalise(F.col("u")).alias("url")).where("url <> ''").distinct()
 
 
 def sitemap_places(domains: DataFrame, robots: DataFrame) -> DataFrame:

@@ -67,6 +67,17 @@ def test_sitemaps(spark):
     files += [("d1", 200, index("d2")), ("d2", 200, index("d3")), ("d3", 200, index("d4") .replace("</sitemapindex>", "<url><loc>http://h/5</loc></url></sitemapindex>")), ("d4", 200, page("http://h/6"))]
     got = web.sitemap_urls(spark.createDataFrame([("r",)], "url string"), spark.createDataFrame(files, "url string, status int, body string"))
     assert {r["url"] for r in got.collect()} == {"http://h/1", "http://h/2", "http://h/5"}
+    odd = [
+        ("a", 200, "<?xml version='1.0' encoding='UTF-8'?>\n<!-- c --><urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9' xmlns:i='http://i'><url><loc>\n http://h/1?a=1&amp;b=2 \n</loc><i:image><i:loc>http://h/no</i:loc></i:image><lastmod>2024</lastmod></url><url><lastmod>1</lastmod></url><url><loc/></url></urlset>\n"),
+        ("b", 200, "<urlset><url><loc>http://h/2</loc></url><url><loc>http://h/3</loc></url>"), ("c", 200, "<urlset><url><loc>http://h/4</loc></url></urlse>"), ("d", 200, None), ("e", 200, ""), ("f", 200, "no xml"), ("g", 404, page("http://h/5")),
+        ("h", 200, "<urlset><url><loc><![CDATA[http://h/6?x=1&y=2]]></loc></url></urlset>"), ("i", 200, "<urlset><url><loc>http://h/7 & more</loc></url></urlset>"), ("j", 200, page("http://h/b")), ("j", 200, page("http://h/a")), ("k", 200, "<urlset/>"),
+        ("l", 200, index("l", "m")), ("m", 200, index("l", "m", "j")), ("n", 200, "<urlset><url><loc>http://h/8</loc></url></urlset><urlset>"),
+    ]
+    files = spark.createDataFrame(odd, "url string, status int, body string")
+    listed = {r["at"]: (sorted(r["children"] or []), sorted(r["urls"] or [])) for r in web.sitemap_files(files).collect()}
+    assert {k: v for k, v in listed.items() if v != ([], [])} == {"a": ([], ["http://h/1?a=1&b=2"]), "h": ([], ["http://h/6?x=1&y=2"]), "j": ([], ["http://h/a"]), "l": (["l", "m"], []), "m": (["j", "l", "m"], []), "n": ([], ["http://h/8"])}
+    got = web.sitemap_urls(spark.createDataFrame([("l",), ("a",), ("b",)], "url string"), files)
+    assert sorted(map(tuple, got.collect())) == [("a", "http://h/1?a=1&b=2"), ("l", "http://h/a")]
     places = web.sitemap_places(spark.createDataFrame([("h",), ("k",)], "domain string"), spark.createDataFrame([("h", "x\nSitemap: http://h/s.xml\nsitemap:http://h/t.xml")], "domain string, body string"))
     assert {(r[0], r[1]) for r in places.collect()} == {("h", "http://h/s.xml"), ("h", "http://h/t.xml"), ("k", "https://k/sitemap.xml")}
 
