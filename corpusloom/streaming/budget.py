@@ -76,7 +76,8 @@ def grants(
 
     how: overrides, tiers and default as in frontier.budgets. With a period (seconds) each period of event time has the budget anew, and a
     timer clears its count once the watermark (ts less `late`) has passed its end; requests later than that are dropped by it. With
-    idle_seconds a domain that got no grant for so long starts anew. Neither: counts stay for good. Rows without a domain share one budget,
+    idle_seconds a domain that got no grant for so long, by the clock, starts anew; such a stream runs empty batches on and on, so under
+    availableNow it only ends with spark.sql.streaming.noDataMicroBatches.enabled false. Neither: counts stay for good. Rows without a domain share one budget,
     under an empty name, rows without a time come last in their micro-batch and belong to the period of 1970; repeated ids are
     requests of their own. The stream needs the RocksDB state store (see `state_store`).
     """

@@ -63,6 +63,17 @@ def test_periods_end_by_timers(spark, tmp_path):
     assert [r["period"] for r in kept] == [int((START + timedelta(seconds=360) - datetime(1970, 1, 1)).total_seconds() * 1000)]
 
 
+def test_idle_domains_start_anew(spark, tmp_path):
+    batches = [[("a", 10 * b + k, START) for k in range(3)] for b in range(2)]
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        for name, idle, places in (("long", 3600, [1, 2]), ("short", 1, [1, 1, 2, 2])):
+            seen = replayed(spark, tmp_path / name, batches, default=2, idle_seconds=idle)  # a run takes longer than a second to start
+            assert sorted(r["place"] for r in seen[-1] if r["allowed"]) == places and len(seen[-1]) == 6
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
 def test_idle_and_period_exclude_each_other(spark):
     with pytest.raises(ValueError):
         budget.grants(spark.createDataFrame([], ROWS), period=60, idle_seconds=5)
