@@ -124,10 +124,15 @@ def robots_allowed(requests: DataFrame, robots: DataFrame, agent: str = "*", url
 
 
 def conditional(requests: DataFrame, pages_: DataFrame | None, url: str = "url") -> DataFrame:
-    """requests with header and value of a conditional request: the known etag, else the last modification, else ""."""
+    """requests with header and value of a conditional request: the known etag, else the last modification, else "".
+
+    Column url is the key of both tables. Each request gives one row: of several known rows of a key the one with the greatest etag counts, then
+    with the greatest last modification, so one with an etag goes before those without. A null key is not known.
+    """
     if pages_ is None:
         return requests.withColumn("header", F.lit("")).withColumn("value", F.lit(""))
-    known = pages_.select(F.col(url).alias("_u"), F.col("etag").alias("_e"), F.col("last_modified").alias("_m"))
+    held = F.struct(extract.filled(F.col("etag")).alias("e"), extract.filled(F.col("last_modified")).alias("m"))
+    known = pages_.groupBy(F.col(url).alias("_u")).agg(F.max(held).alias("_k")).select("_u", F.col("_k.e").alias("_e"), F.col("_k.m").alias("_m"))
     out = requests.join(known, F.col(url) == F.col("_u"), "left")
     etag, modified = extract.filled(F.col("_e")), extract.filled(F.col("_m"))
     header = F.when(etag != "", "If-None-Match").when(modified != "", "If-Modified-Since").otherwise("")

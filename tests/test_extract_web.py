@@ -2,9 +2,12 @@
 
 import json
 
+import duckdb
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpusloom.functions import extract
+from corpusloom.plans import catalogue
 from corpusloom.sources import web
 
 PAGE = """<html><head><title> A &amp; B </title><meta name="k" content="1"><meta property="k" content="2"><meta name="e">
@@ -90,3 +93,13 @@ def test_predicates(spark):
     known = spark.createDataFrame([("a", "E", "M"), ("b", "", "M"), ("c", None, None)], "url string, etag string, last_modified string")
     got = web.conditional(spark.createDataFrame([(u,) for u in "abcd"], "url string"), known)
     assert {r["url"]: (r["header"], r["value"]) for r in got.collect()} == {"a": ("If-None-Match", "E"), "b": ("If-Modified-Since", "M"), "c": ("", ""), "d": ("", "")}
+
+
+def test_conditional_repeats(spark, tmp_path):
+    """One row a request, whatever repeats: known urls, requests, null keys, and urls that several pages of the query's table share."""
+    known = spark.createDataFrame([("a", "", "M2"), ("a", "E1", "M1"), ("a", "E1", "M1"), ("b", None, "M1"), ("b", "", "M2"), (None, "E", "M")], "url string, etag string, last_modified string")
+    got = web.conditional(spark.createDataFrame([(u,) for u in ("a", "a", "b", "c", None)], "url string"), known)
+    assert sorted(map(str, got.collect())) == sorted(map(str, [Row(url=u, header=h, value=v) for u, h, v in [("a", "If-None-Match", "E1")] * 2 + [("b", "If-Modified-Since", "M2"), ("c", "", ""), (None, "", "")]]))
+    spark.createDataFrame([(k, "http://a.example/" + "xy"[k % 2]) for k in range(-6, 12)] + [(3, None), (None, "http://a.example/x")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = duckdb.sql(catalogue.ORACLE_SQL["conditional_request"].replace("FROM pages", f"FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")).fetchall()
+    assert len(want) == 20 and sorted(map(str, want)) == sorted(str(tuple(r)) for r in catalogue.QUERIES["conditional_request"](spark, str(tmp_path)).collect())
