@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import glob
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import vector_index as vi
+from corpusloom.plans import catalogue
 
 SCHEMA = "vec_id long, embedding array<double>"
 
@@ -110,3 +112,43 @@ def test_odd_rows(spark):
     assert got == {1: (2, 1.0), 2: (1, 1.0), 9: (1, 1.0)}
     empty = given.limit(0)
     assert vi.fit(empty) is None and vi.search(given, indexed, None).collect() == [] and vi.search(empty, indexed, model).collect() == []
+
+
+def test_exact_misses_none(spark, built):
+    """Where the search looks at one cell and one code a query it misses most; the exact one does not, in bundles and pieces of any size."""
+    x, rows, model, indexed = built
+    queries = list(range(0, 9400, 47))
+    order, score = brute(x, queries, 3)
+    asked = rows.where("vec_id % 47 = 0")
+    for threshold, bundle, least in ((0.3, 1000, 100), (0.9, 50, 1), (-1.0, 65536, 1024)):
+        want = {(q, int(order[i, k]), k + 1) for i, q in enumerate(queries) for k in range(3) if score[i, k] >= threshold}
+        got = {(r["query_id"], r["vec_id"], r["rank"]) for r in vi.exact(asked, indexed, model, threshold, k=3, n_probes=1, rerank=1, bundle=bundle, least=least).collect()}
+        assert got == want
+    found = {(r["query_id"], r["vec_id"]) for r in vi.search(asked, indexed, model, 0.3, n_probes=1, rerank=1).collect()}
+    assert len({(q, int(order[i, 0])) for i, q in enumerate(queries) if score[i, 0] >= 0.3} - found) > 20
+
+
+def test_exact_odd_rows(spark):
+    """Many copies and multiples of one vector, repeated ids and pairs of flipped signs: the smallest other id of the best."""
+    rows = [(k, [0.3, 0.7, -0.2]) for k in range(200, 40, -1)] + [(7, [0.1, 0.9, 0.4]), (7, [0.1, 0.9, 0.4]), (8, [-0.1, -0.9, 0.4]), (300, [0.6, 1.4, -0.4]), (301, [-0.3, -0.7, -0.2]), (41, [0.3, 0.7, -0.2]), (400, [0.0, 0.0, 0.0]), (401, None), (None, [1.0, 0.0, 0.0])]
+    given = spark.createDataFrame(rows, SCHEMA)
+    model = vi.fit(given)
+    indexed = vi.index(given, model)
+    got = {}
+    for r in vi.exact(given, indexed, model, 0.95, k=2, bundle=50, least=1).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    want = {k: {1: 41, 2: 42} for k in [*range(43, 201), 300]} | {41: {1: 42, 2: 43}, 42: {1: 41, 2: 43}}
+    assert got == want
+    empty = given.limit(0)
+    assert vi.exact(empty, indexed, model).collect() == [] and vi.exact(given, vi.index(empty, model), model).collect() == []
+    assert vi.exact(given, vi.index(given, None), None).collect() == []
+
+
+def test_query_equals_its_sql(spark, tmp_path):
+    """Tight clusters, whose vectors' codes say little, and copies beyond the number that is compared exactly."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(4, 64)), 300, axis=0) + 0.3 * rng.normal(size=(1200, 64))
+    x[1000:1150] = x[1000]
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = duckdb.sql(catalogue.ORACLE_SQL["semantic_index"].replace("FROM embeddings", f"FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")).fetchall()
+    assert len(want) == 120 and sorted(want) == sorted(map(tuple, catalogue.QUERIES["semantic_index"](spark, str(tmp_path)).collect()))
