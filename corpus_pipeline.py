@@ -30,7 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Candidates are not op8's: its four bits hold few pairs of a similarity of 0.8 (see README)."""
+    """Candidates by op8's links (fingerprints, Golay keys, four bits) over five words; MinHash bands for pairs beyond their reach, and exact sets decide (see README)."""
     return shingles.keep_one(docs)
 
 

@@ -1,8 +1,9 @@
-"""Near-dedup by exact Jaccard similarity of word shingles, with MinHash candidates.
+"""Near-dedup by exact Jaccard similarity of word shingles, with candidates from SimHash fingerprints by Golay keys and from MinHash bands.
 
 A text is the set of its shingles of SHINGLE words (lower case, cut at white space); two texts are near copies if their sets have a
-Jaccard similarity of THRESHOLD or more. BANDS keys of ROWS minima each deal texts to buckets: a pair at the threshold shares
-one with probability 1 - (1 - 0.8^5)^20 = 0.9996, a closer one more surely. Each text is shingled once for its keys and its sketch, 16 bits of each minimum.
+Jaccard similarity of THRESHOLD or more. First come op8's links over these shingles: sets whose SimHash fingerprints its Golay keys find
+within four bits are candidates. At the threshold some ten bits differ, so the rest come by BANDS keys of ROWS minima each: a pair at the threshold shares one with probability 1 - (1 - 0.8^5)^20 = 0.9996, a closer one more surely. Each text is shingled once
+for its fingerprint, its bands and its sketch, 16 bits of each minimum.
 Rows of a bucket are told apart by their sketches: those that agree in fewer minima than a pair at the threshold does, less 4.5 standard deviations, are not
 compared. What is left joins texts to families; a family's texts are brought together once and compared by exact sets. Groups are connected components.
 
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .arrowtext import LOWER, NOT_SPACE, chunks, column_of, mix, spans_hash, words
 from .graphs import cells, components, runs, whole_runs
 from .sparkutil import cut, fresh
@@ -70,6 +72,12 @@ def set_ids(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mix(total[ends] - total[ends - n] + n.astype(np.uint64)), np.uint64(0)).view(np.int64)
 
 
+def fingerprints(h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """SimHash fingerprints of sets as signed longs, null for the empty one."""
+    fp = simhash.majority(h, np.repeat(np.arange(len(n)), n), len(n)).view(np.int64)
+    return pa.array(fp, mask=n == 0)
+
+
 def minima(h: np.ndarray, n: np.ndarray, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> np.ndarray:
     """(sets that are not empty, bands * rows) smallest hashes by as many functions."""
     factors = np.random.default_rng(seed).integers(0, 1 << 63, (bands * rows, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,7 +91,7 @@ def minima(h: np.ndarray, n: np.ndarray, bands: int = BANDS, rows: int = ROWS, s
 
 def band_keys(least: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """(sets, bands) keys of minima."""
-    rows = least.shape[1] // bands
+    rows = least.shape[1] // max(1, bands)
     out = np.zeros((len(least), bands), dtype=np.uint64)
     for b in range(bands):
         key = np.full(len(least), np.uint64(b + 1))
@@ -148,8 +156,14 @@ def _cells(run: pa.Table) -> Iterator[tuple[int, int]]:
 
 
 def families(classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(node, root): sets that may be near copies, by keys and sketches of classes(sid, keys, sketch)."""
+    """(node, root): sets that may be near copies, by fingerprints, keys and sketches of classes(sid, fp, keys, sketch)."""
     keys = classes.select("sid", F.explode("keys").alias("key"))
+    # op8's links of distinct fingerprints, each by its smallest set, with which the other sets of the same fingerprint are linked.
+    marked = classes.where("fp IS NOT NULL").select("sid", "fp")
+    low = cut(marked.groupBy("fp").agg(F.min("sid").alias("low")))
+    side = lambda c: low.select(F.col("fp").alias(c), F.col("low").alias(f"_{c}"))
+    by_bits = simhash.links(low).join(side("u"), "u").join(side("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    by_bits = by_bits.unionByName(marked.join(low, "fp").where("sid <> low").select(F.col("sid").alias("u"), F.col("low").alias("v")))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.min("sid").alias("least"), F.max("sid").alias("most")).where("n > 1")
     # Near copies share most of their bands: buckets with the same members are one.
     once = shared.groupBy("n", "x", "least", "most").agg(F.min("key").alias("key")).select("key")
@@ -170,11 +184,11 @@ def families(classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
 
     dealt = cells(keys.join(once, "key"), "key", "sid", block).select("key", "i", "j", "sid").join(classes.select("sid", "sketch"), "sid")
     parts = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "sid")
-    return components(parts.select("key", "i", "j", "sid", "sketch").mapInArrow(alike, "u long, v long"))
+    return components(by_bits.unionByName(parts.select("key", "i", "j", "sid", "sketch").mapInArrow(alike, "u long, v long")))
 
 
 def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, cell: int = CELL) -> DataFrame:
-    """Edges (u, v) that span the groups of near copies among classes(sid, low, hash, size, keys, sketch); docs(doc_id, text, hash) has their texts."""
+    """Edges (u, v) that span the groups of near copies among classes(sid, low, hash, size, fp, keys, sketch); docs(doc_id, text, hash) has their texts."""
     found = cut(families(classes, threshold, block).withColumnsRenamed({"node": "sid", "root": "key"}).join(classes.select("sid", "low", "hash", "size"), "sid"))
     pieces = found.groupBy("key").agg(F.ceil(F.sum("size") / cell).cast("int").alias("_c"))
     dealt = found.join(pieces, "key").withColumn("piece", F.expr("int(pmod(xxhash64(sid), _c))"))
@@ -201,10 +215,10 @@ def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, blo
     return parts.select("key", "i", "j", "sid", "text").mapInArrow(verify, "u long, v long").distinct()
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, block: int = BLOCK, cell: int = CELL) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, block: int = BLOCK, cell: int = CELL, bands: int = BANDS) -> DataFrame:
     """One row of each group of near copies, with all columns of docs: that of the smallest id.
 
-    If several rows have that id, one of them stays. A group in which no row has an id keeps one row as well.
+    bands: MinHash keys (up to BANDS); with none the candidates are the fingerprints' alone. If several rows have that id, one of them stays. A group in which no row has an id keeps one row as well.
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("hash", F.xxhash64("text"))
 
@@ -213,17 +227,17 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
             for a, b, data, offsets in chunks(column_of(batch, "text")):
                 h, n = shingle_sets(data, offsets)
                 least = minima(h, n)
-                ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(least).ravel()))
+                ends = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(least[:, : bands * ROWS], bands).ravel()))
                 short = iter(sketches(least))
                 sketch = pa.array([next(short).tobytes() if k else b"" for k in n.tolist()], pa.binary())
                 rows = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([column_of(rows, "doc_id"), column_of(rows, "hash"), pa.array(set_ids(h, n)), pa.array(n), keys, sketch], ["doc_id", "hash", "sid", "size", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([column_of(rows, "doc_id"), column_of(rows, "hash"), pa.array(set_ids(h, n)), pa.array(n), fingerprints(h, n), keys, sketch], ["doc_id", "hash", "sid", "size", "fp", "keys", "sketch"])
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    marked = cut(slim.mapInArrow(run, f"doc_id {kind}, hash long, sid long, size long, keys array<long>, sketch binary"))
+    marked = cut(slim.mapInArrow(run, f"doc_id {kind}, hash long, sid long, size long, fp long, keys array<long>, sketch binary"))
     # Of each set: its smallest id, the hash of a text that has it, and how many rows have both.
-    of_set = ("size", "keys", "sketch")
+    of_set = ("size", "fp", "keys", "sketch")
     counted = marked.groupBy("sid", "doc_id", "hash").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in of_set))
     least = counted.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "n")).alias("low"), *(F.first(c).alias(c) for c in of_set))
     classes = cut(least.select("sid", F.col("low.doc_id").alias("low"), F.col("low.hash").alias("hash"), F.col("low.n").alias("n"), *of_set))

@@ -122,11 +122,16 @@ def fingerprint_texts(data: np.ndarray, offsets: np.ndarray, shingle: int = SHIN
     end = np.minimum(begin + shingle, (first + counts)[text[begin]]) - 1
     pieces = [buffer[s:e] for s, e in zip(to[begin].tolist(), (to[end] + size[end]).tolist())]
     h = np.fromiter(map(xxh64_intdigest, pieces, repeat(SEED)), dtype=np.uint64, count=len(pieces))
-    owner = text[begin]
+    return majority(h, text[begin], n)
+
+
+def majority(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Unsigned 64-bit fingerprints of n texts from the hashes of their shingles, text by text: a bit is 1 if set in over half of them."""
     per = np.bincount(owner, minlength=n)
     ones = np.zeros((n, 64), dtype=np.int64)
-    for at in range(0, len(h), 1 << 16):
-        part, whose = h[at : at + (1 << 16)], owner[at : at + (1 << 16)]
+    # Short steps: the sums take their bits as longs.
+    for at in range(0, len(h), 1 << 13):
+        part, whose = h[at : at + (1 << 13)], owner[at : at + (1 << 13)]
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         new = np.flatnonzero(np.concatenate([[True], whose[1:] != whose[:-1]]))
         np.add.at(ones, whose[new], np.add.reduceat(bits, new, axis=0, dtype=np.int64))
@@ -149,6 +154,19 @@ def fingerprints(docs: DataFrame, text: str = "text", to: str = "fp", keep: list
     return source.mapInArrow(run, schema)
 
 
+def exploded(distinct: DataFrame, member: str = "fp") -> DataFrame:
+    """(key, member) of all keys of distinct(fp, member), longs."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, who = column_of(batch, "fp").to_numpy(), column_of(batch, member).to_numpy()
+            for at in range(0, len(fp), 1 << 12):
+                rows, keys = fuzzy_keys(fp[at : at + (1 << 12)].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(who[at + rows])], ["key", member])
+
+    return distinct.select("fp", *(c for c in (member,) if c != "fp")).mapInArrow(explode, f"key long, {member} long")
+
+
 def _forest(fp: np.ndarray, most: int) -> tuple[list[int], list[int]]:
     """Tree edges of the graph of links among fp: each search step takes the reached rows out of those left."""
     left = np.arange(len(fp))
@@ -176,14 +194,6 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
     if max_bits > MAX_BITS:
         raise ValueError("the keys find up to 4 differing bits")
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = column_of(batch, "fp").to_numpy()
-            for at in range(0, len(fp), 1 << 14):
-                part = fp[at : at + (1 << 14)]
-                rows, keys = fuzzy_keys(part.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], ["key", "fp"])
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in whole_runs(batches, ["key", "i", "j"]):
             key, i, j, fp = (run.column(c).to_numpy() for c in ("key", "i", "j", "fp"))
@@ -213,8 +223,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
                 pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1) if len(u) else np.zeros((2, 0), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
 
-    keys = distinct.select("fp").mapInArrow(explode, "key long, fp long")
-    dealt = cells(keys, "key", "fp", block, alone=True)
+    dealt = cells(exploded(distinct), "key", "fp", block, alone=True)
     parts = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
     return parts.select("key", "i", "j", "fp").mapInArrow(verify, "u long, v long").distinct()
 

@@ -94,3 +94,26 @@ def test_recall_on_documents(spark):
     want = {low[k] for k in texts if k not in empty} | set(sorted(empty)[:1])
     kept = {r["doc_id"] for r in shingles.keep_one(docs).collect()}
     assert len(different) > 10 and kept == want
+
+
+def test_fingerprints_give_candidates(spark):
+    """Without MinHash bands op8's method alone, over five words, finds close copies: all whose fingerprints are within four bits, in one group by exact sets."""
+    rng = np.random.default_rng(11)
+    vocabulary = np.array([f"w{k}" for k in range(3000)])
+    texts = [None, "", "a b c"]
+    for _ in range(60):
+        own = rng.choice(vocabulary, 400)
+        texts.append(" ".join(own))
+        for changes in (1, 2):
+            copy = own.copy()
+            copy[rng.integers(0, 400, changes)] = "other"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], SCHEMA)
+    data = [np.frombuffer((t or "").encode(), np.uint8) for t in texts]
+    h, n = shingles.shingle_sets(np.concatenate(data), np.cumsum([0, *map(len, data)]))
+    fp = np.array(shingles.fingerprints(h, n).fill_null(0).to_pylist()).view(np.uint64)
+    kept = {r["doc_id"] for r in shingles.keep_one(docs, bands=0).collect()}
+    firsts = set(groups(texts))
+    near = [k for k in range(3, len(texts)) if (k - 3) % 3 and np.bitwise_count(fp[k] ^ fp[k - (k - 3) % 3]) <= 4]
+    assert len(near) > 60 and firsts <= kept and not kept & set(near)
+    assert shingles.fingerprints(h, n)[1].as_py() is None
